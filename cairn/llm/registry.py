@@ -1,13 +1,16 @@
 """The operators' queries and their SQL, by name."""
 
-from . import mixing, url_filters, warc
+from . import decontamination, mixing, secret_scans, url_filters, warc
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_warc": warc.op5_warc,
+    "op6_secret_scans": secret_scans.op6_secret_scans,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLES = {
     "op5_warc": warc.OP5_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
 }
