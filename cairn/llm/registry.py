@@ -1,8 +1,9 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, mixing, secret_scans, url_filters, warc
+from . import decontamination, mixing, secret_scans, suffix_dedup, url_filters, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_warc": warc.op5_warc,
     "op6_secret_scans": secret_scans.op6_secret_scans,
