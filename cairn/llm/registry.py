@@ -1,16 +1,18 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, mixing, secret_scans, suffix_dedup, url_filters, warc
+from . import decontamination, jaccard_join, mixing, secret_scans, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_warc": warc.op5_warc,
     "op6_secret_scans": secret_scans.op6_secret_scans,
     "op7_url_filters": url_filters.op7_url_filters,
     "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLES = {
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
