@@ -1,9 +1,10 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, jaccard_join, mixing, secret_scans, suffix_dedup, url_filters, warc
+from . import decontamination, jaccard_join, lattice_neardup, mixing, secret_scans, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_lattice_neardup": lattice_neardup.op2_lattice_neardup,
     "op3_mixing": mixing.op3_mixing,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_warc": warc.op5_warc,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLES = {
+    "op2_lattice_neardup": lattice_neardup.OP2_SQL,
     "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
