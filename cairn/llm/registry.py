@@ -1,6 +1,6 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, jaccard_join, lattice_neardup, mixing, secret_scans, suffix_dedup, url_filters, warc
+from . import decontamination, jaccard_join, lattice_neardup, mixing, quality_classifier, secret_scans, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_secret_scans": secret_scans.op6_secret_scans,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLES = {
