@@ -1,6 +1,6 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, jaccard_join, lattice_neardup, mixing, quality_classifier, secret_scans, suffix_dedup, url_filters, warc
+from . import decontamination, jaccard_join, lattice_neardup, lm_scoring, mixing, quality_classifier, secret_scans, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 ORACLES = {
     "op2_lattice_neardup": lattice_neardup.OP2_SQL,
