@@ -213,6 +213,15 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, size: int = 3, per_cent: int = 90) -> DataFrame:
+    """The rows of docs (doc_id, text and more) with the least doc_id of their component; of rows that repeat doc_id and text, one. A null doc_id is kept."""
+    gone = joined(docs, "doc_id", size, per_cent).where("doc_id <> component_id").select("doc_id").distinct()
+    once = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    named = F.row_number().over(once).alias("_copy")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.select(*docs.columns, named).where("_copy = 1 or doc_id is null").select(*docs.columns)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies."""
     return joined(table(spark, sf_dir, "documents"))

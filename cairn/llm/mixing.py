@@ -114,15 +114,15 @@ def rounded(seed: int, level: int, last: bool):
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, bucket: int = BUCKET, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, size, source_size, target, copies and taken (copies times size) of every row of docs (doc_id, text, source)."""
-    sized = cut(sizes(docs.select(*dict.fromkeys([*keep, "source", "text"]))).select(*[F.col(c).alias(f"k_{c}") for c in keep], "source", "size"), "sizes")
+    sized = sizes(docs.select(*dict.fromkeys([*keep, "source", "text"]))).select(*[F.col(c).alias(f"k_{c}") for c in keep], "source", "size", F.xxhash64(*keep, F.lit(seed)).alias("order"), F.monotonically_increasing_id().alias("row"))
+    sized = cut(sized, "sizes")  # row numbers hold from here on; only they, sources and sizes go through the tree
     by = targets(sized, weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     # sources are far fewer than documents, but not bounded: Spark picks the join, and AQE splits a hot source
-    rows = sized.join(by.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    rows = sized.select("row", "order", "source", "size").join(by.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     rows = rows.withColumn("ratio", F.when(F.col("size") > 0, ratio).otherwise(0.0)).withColumn("base", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base")))
-    rows = rows.withColumn("order", F.xxhash64(*[F.col(f"k_{c}") for c in keep], F.lit(seed)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(1)), F.ceil(F.col("rows") / bucket)).cast("long")).withColumn("open", F.lit(False))
-    rows = rows.select(*[f"k_{c}" for c in keep], "size", "source_size", "target", "rank", "rows", "base", "p", "order", "bucket", "open")
+    rows = rows.select("row", "size", "source_size", "target", "rank", "rows", "base", "p", "order", "bucket", "open")
     whole = F.col("p") <= 1e-12
     largest = by.agg(F.max("rows")).first()[0] or 0
     done, level, left = [rows.where(whole)], 0, -(-largest // bucket)
@@ -139,7 +139,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("base") + F.round("p")).cast("long")
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return sized.select("row", *[f"k_{c}" for c in keep]).join(out, "row").select(*[F.col(f"k_{c}").alias(c) for c in keep], "size", "source_size", "target", "copies", "taken")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
