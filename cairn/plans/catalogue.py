@@ -1,8 +1,17 @@
-"""Named queries over the driver's tables, with SQL for the same rows."""
+"""Named queries over the driver's tables, with SQL for the same rows.
+
+Points are line items (l_quantity, l_extendedprice) and embeddings' first components. The network is English words in
+sequence: cue, next word, number of times, kept where that number reaches a fiftieth of the number of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions.columns import AGGREGATES, described, floor_div, max_normalised, ordinal
+from cairn.operators import centrality, community, describe, distribution, grid, kmeans, lexical, network, sweep, walks
+from cairn.plans.lineage import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,5 +29,641 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as points of two dimensions."""
+    t = table(spark, sf_dir, "lineitem")
+    return t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array("l_quantity", "l_extendedprice").alias("features"))
+
+
+def embedded(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("features"))
+
+
+def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight, ord) of the word network."""
+    docs = table(spark, sf_dir, "documents")
+    least = docs.agg(F.ceil(F.count("*") / 50).alias("least"))
+    w = docs.where("lang = 'en'").select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("w")).where(F.size("w") > 1)
+    pairs = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
+    by = pairs.where("p.a <> p.b").groupBy(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    return by.join(F.broadcast(least), F.col("weight") >= F.col("least")).select("src", "dst", "weight", F.concat_ws(" ", "src", "dst").alias("ord"))  # one row
+
+
+def words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of the word network."""
+    e = cut(bigrams(spark, sf_dir), "bigrams")
+    v = ordinal(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node").select("idx", "node")
+    return v, e.withColumn("key", F.lit(0))
+
+
+def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of nations: from customers' to suppliers', by number of line items."""
+    t = lambda n: table(spark, sf_dir, n)
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = rows.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").cast("double").alias("weight"))
+    n = t("nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("node"))
+    named = e.join(n.withColumnsRenamed({"idx": "c_nationkey", "node": "src"}), "c_nationkey").join(n.withColumnsRenamed({"idx": "s_nationkey", "node": "dst"}), "s_nationkey")
+    return n, named.select("src", "dst", "weight", F.concat_ws(" ", "src", "dst").alias("ord"), F.lit(0).alias("key"))
+
+
+#: CTEs that several oracles start with.
+NET = """WITH RECURSIVE lim AS (SELECT ceil(count(*) / 50.0) AS least FROM documents),
+tok AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'),
+two AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM tok)),
+e AS (SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS weight FROM two WHERE a <> b GROUP BY ALL HAVING count(*) >= (SELECT least FROM lim)),
+v AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)),
+u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_max(weight, src || ' ' || dst) AS weight FROM e GROUP BY ALL),
+arcs AS (SELECT a AS src, b AS dst, weight FROM u UNION ALL SELECT b, a, weight FROM u WHERE a <> b)
+"""
+GRID = """WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p),
+g AS (SELECT id, x, y, CAST(least(round(((x - lx) - ((x - lx) % ((hx - lx) / {m}))) / ((hx - lx) / {m})), {m} - 1) AS BIGINT) AS cx,
+  CAST(least(round(((y - ly) - ((y - ly) % ((hy - ly) / {m}))) / ((hy - ly) / {m})), {m} - 1) AS BIGINT) AS cy FROM p, b)
+"""
+CENTERS = [[10.0, 15000.0], [25.0, 40000.0], [45.0, 70000.0]]
+NEAR = """WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+c AS (SELECT * FROM (VALUES (0, 10.0, 15000.0), (1, 25.0, 40000.0), (2, 45.0, 70000.0)) AS t(k, cx, cy)),
+n AS (SELECT id, x, y, min((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d2, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM p, c GROUP BY ALL)
+"""
+
+
+def r6(c):
+    return F.bround(c, 6)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return QUERIES["grid_summary"](spark, sf_dir)
+
+
+# --- grid summaries and clustering
+
+
+@query("bounding_box", "SELECT min(l_quantity) AS lo0, min(l_extendedprice) AS lo1, max(l_quantity) AS hi0, max(l_extendedprice) AS hi1 FROM lineitem")
+def _(spark, d):
+    lo, hi = grid.bounds(items(spark, d), 2)
+    return spark.createDataFrame([(*lo, *hi)], "lo0 double, lo1 double, hi0 double, hi1 double")
+
+
+@query("grid_assignment", GRID.format(m=16) + "SELECT id, cx AS c0, cy AS c1 FROM g")
+def _(spark, d):
+    p = items(spark, d)
+    cell = grid.cell(16, *grid.bounds(p, 2))
+    return p.select("id", cell.alias("c")).select("id", F.col("c")[0].alias("c0"), F.col("c")[1].alias("c1"))
+
+
+@query("grid_summary", GRID.format(m=16) + "SELECT cx AS c0, cy AS c1, round_even(avg(x), 6) AS m0, round_even(avg(y), 4) AS m1, count(*) AS card FROM g GROUP BY ALL")
+def _(spark, d):
+    p = items(spark, d)
+    r = grid.representatives(p, 16, *grid.bounds(p, 2))
+    return r.select(F.col("cell")[0].alias("c0"), F.col("cell")[1].alias("c1"), r6(F.col("rep")[0]).alias("m0"), F.bround(F.col("rep")[1], 4).alias("m1"), "card")
+
+
+@query("grid_singletons", GRID.format(m=64) + "SELECT count(*) AS cells, count(*) FILTER (card > 1) AS heavy, count(*) FILTER (card = 1) AS single FROM (SELECT cx, cy, count(*) AS card FROM g GROUP BY ALL)")
+def _(spark, d):
+    p = items(spark, d)
+    r = grid.representatives(p, 64, *grid.bounds(p, 2))
+    return r.agg(F.count("*").alias("cells"), F.count_if(F.col("card") > 1).alias("heavy"), F.count_if(F.col("card") == 1).alias("single"))
+
+
+@query("compression_ratio", GRID.format(m=16) + "SELECT round_even(count(DISTINCT (cx, cy)) / count(*), 9) AS ratio FROM g")
+def _(spark, d):
+    p = items(spark, d)
+    return spark.createDataFrame([(grid.compression(p, grid.representatives(p, 16, *grid.bounds(p, 2))),)], "ratio double").select(F.bround("ratio", 9).alias("ratio"))
+
+
+@query("grid_lines", "SELECT i AS line, round_even(lo + (hi - lo) * i / 8, 6) AS at FROM (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), range(9) AS t(i)")
+def _(spark, d):
+    lo, hi = grid.bounds(items(spark, d), 1)
+    return spark.createDataFrame(list(enumerate(grid.grid_lines(lo[0], hi[0], 3))), "line long, at double").select("line", r6("at").alias("at"))
+
+
+@query("nearest_center", NEAR + "SELECT id, label, round_even(d2, 3) AS d2 FROM n")
+def _(spark, d):
+    return kmeans.assign(items(spark, d), CENTERS).select("id", "label", F.bround("d2", 3).alias("d2"))
+
+
+@query("center_update", NEAR + "SELECT label, round_even(avg(x), 6) AS x, round_even(avg(y), 4) AS y, count(*) AS n FROM n GROUP BY label")
+def _(spark, d):
+    f = F.col("features")
+    return kmeans.assign(items(spark, d), CENTERS).groupBy("label").agg(r6(F.avg(f[0])).alias("x"), F.bround(F.avg(f[1]), 4).alias("y"), F.count("*").alias("n"))
+
+
+@query("weighted_center_update", GRID.format(m=16) + """, r AS (SELECT cx AS i, cy AS j, avg(x) AS x, avg(y) AS y, count(*) AS w FROM g GROUP BY ALL),
+c AS (SELECT * FROM (VALUES (0, 10.0, 15000.0), (1, 25.0, 40000.0), (2, 45.0, 70000.0)) AS t(k, cx, cy)),
+n AS (SELECT i, j, x, y, w, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM r, c GROUP BY ALL)
+SELECT label, round_even(sum(x * w) / sum(w), 6) AS x, round_even(sum(y * w) / sum(w), 4) AS y FROM n GROUP BY label""")
+def _(spark, d):
+    p = items(spark, d)
+    r = grid.representatives(p, 16, *grid.bounds(p, 2))
+    c = kmeans.updated(kmeans.assign(r, CENTERS, "rep"), CENTERS, "rep", "card")
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "label int, x double, y double").select("label", r6("x").alias("x"), F.bround("y", 4).alias("y"))
+
+
+@query("inertia_of_cells", GRID.format(m=16) + """, r AS (SELECT avg(x) AS x, avg(y) AS y FROM g GROUP BY cx, cy),
+c AS (SELECT * FROM (VALUES (0, 10.0, 15000.0), (1, 25.0, 40000.0), (2, 45.0, 70000.0)) AS t(k, cx, cy)),
+n AS (SELECT x, y, min((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d2 FROM r, c GROUP BY ALL)
+SELECT CAST(round_even(sum(d2), 0) AS BIGINT) AS inertia FROM n""")
+def _(spark, d):
+    p = items(spark, d)
+    return spark.createDataFrame([(kmeans.inertia(grid.representatives(p, 16, *grid.bounds(p, 2)), CENTERS),)], "inertia long")
+
+
+@query("clustering_error", NEAR + "SELECT round_even(sum(sqrt(d2)), 2) AS error FROM n")
+def _(spark, d):
+    return spark.createDataFrame([(kmeans.error(kmeans.assign(items(spark, d), CENTERS), CENTERS),)], "error double").select(F.bround("error", 2).alias("error"))
+
+
+@query("lloyd_two_steps", NEAR + """, c1 AS (SELECT label AS k, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY label),
+n1 AS (SELECT id, x, y, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM p, c1 GROUP BY ALL)
+SELECT label, round_even(avg(x), 6) AS x, round_even(avg(y), 4) AS y FROM n1 GROUP BY label""")
+def _(spark, d):
+    c, *_ = kmeans.lloyd(items(spark, d), CENTERS, 2, 0.0)
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "label int, x double, y double").select("label", r6("x").alias("x"), F.bround("y", 4).alias("y"))
+
+
+@query("label_propagation", GRID.format(m=16) + """, r AS (SELECT cx, cy, avg(x) AS mx, avg(y) AS my FROM g GROUP BY cx, cy),
+c AS (SELECT * FROM (VALUES (0, 10.0, 15000.0), (1, 25.0, 40000.0), (2, 45.0, 70000.0)) AS t(k, kx, ky)),
+l AS (SELECT cx, cy, arg_min(k, (mx - kx) * (mx - kx) + (my - ky) * (my - ky)) AS label FROM r, c GROUP BY cx, cy)
+SELECT id, label FROM g JOIN l USING (cx, cy)""")
+def _(spark, d):
+    p = items(spark, d)
+    lo, hi = grid.bounds(p, 2)
+    return kmeans.propagated(p, grid.representatives(p, 16, lo, hi), 16, lo, hi, CENTERS, 3).select("id", "label")
+
+
+@query("summary_kmeans_fit")
+def _(spark, d):
+    return kmeans.fit(items(spark, d), 3, 5, 20, 7, 1e-4).metrics(spark)
+
+
+@query("summary_kmeans_labels")
+def _(spark, d):
+    return kmeans.fit_predict(embedded(spark, d, 3), clusters=4, max_part=2, max_iter=10, seed=3)
+
+
+@query("summary_kmeans_predict")
+def _(spark, d):
+    p = embedded(spark, d, 3)
+    return kmeans.fit(p, 4, 2, 10, 3).predict(p)
+
+
+@query("kmeans_full_baseline")
+def _(spark, d):
+    c, n = kmeans.plus_plus(embedded(spark, d), 4, 1, 20)
+    return spark.createDataFrame([(i, *x, n) for i, x in enumerate(c)], "cluster int, x0 double, x1 double, x2 double, x3 double, iterations int")
+
+
+@query("kmeans_mini_batch")
+def _(spark, d):
+    c, n = kmeans.mini_batch(embedded(spark, d, 2), 3, 100, 5)
+    return spark.createDataFrame([(i, *x, n) for i, x in enumerate(c)], "cluster int, x0 double, x1 double, iterations int")
+
+
+@query("kmeans_seeded_baseline")
+def _(spark, d):
+    p = embedded(spark, d, 2)
+    c, n = kmeans.seeded(p, kmeans.fit(p, 3, 2, 10, 1).centers, 10)
+    return spark.createDataFrame([(i, *x, n) for i, x in enumerate(c)], "cluster int, x0 double, x1 double, iterations int")
+
+
+@query("sweep_means")
+def _(spark, d):
+    return sweep.means(sweep.sweep(lambda n, dims, k, rep: sweep.blobs(spark, n, k, dims, rep), [3], [2], [500], 2, 2, (100,), max_iter=5))
+
+
+@query("synthetic_blobs")
+def _(spark, d):
+    return sweep.blobs(spark, 1000, 3, 2, 1)
+
+
+@query("row_subset")
+def _(spark, d):
+    return sweep.subset(embedded(spark, d, 8), [0, 3], 50, 1)
+
+
+# --- networks
+
+
+@query("word_network", NET + "SELECT src, dst, weight FROM e")
+def _(spark, d):
+    return bigrams(spark, d).select("src", "dst", "weight")
+
+
+@query("word_vertices", NET + "SELECT idx, node FROM v")
+def _(spark, d):
+    return words(spark, d)[0]
+
+
+@query("undirected_projection", NET + "SELECT * FROM u")
+def _(spark, d):
+    return network.undirected(words(spark, d)[1])
+
+
+@query("digraph_projection", "WITH e AS (SELECT user_id, event_type, arg_max(value, event_id) AS weight FROM events GROUP BY ALL) SELECT CAST(user_id AS VARCHAR) AS src, event_type AS dst, weight FROM e")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("dst"), F.col("value").alias("weight"), F.col("event_id").alias("ord"))
+    return network.digraph(e)
+
+
+@query("integer_relabel", NET + "SELECT s.idx AS src, t.idx AS dst, weight FROM e JOIN v s ON s.node = src JOIN v t ON t.node = dst")
+def _(spark, d):
+    v, e = words(spark, d)
+    return network.relabelled(e, v).select("src", "dst", "weight")
+
+
+_SEEDS = "(SELECT node FROM v WHERE idx % 3 = 0)"
+
+
+def _seeds(v):
+    return v.where("idx % 3 = 0").select("node")
+
+
+@query("induced_subgraph", NET + f"SELECT src, dst, weight FROM e WHERE src IN {_SEEDS} AND dst IN {_SEEDS}")
+def _(spark, d):
+    v, e = words(spark, d)
+    return network.induced(e, _seeds(v)).select("src", "dst", "weight")
+
+
+@query("subgraph_with_neighbours", NET + f", k AS (SELECT node FROM {_SEEDS} UNION SELECT src FROM e WHERE src IN {_SEEDS} UNION SELECT dst FROM e WHERE src IN {_SEEDS}) SELECT src, dst, weight FROM e WHERE src IN (FROM k) AND dst IN (FROM k)")
+def _(spark, d):
+    v, e = words(spark, d)
+    return network.subgraph(e, _seeds(v), True).select("src", "dst", "weight")
+
+
+@query("edge_subgraph", NET + ", h AS (SELECT src, dst FROM e WHERE weight > (SELECT avg(weight) FROM e)) SELECT src, dst, weight FROM e JOIN h USING (src, dst)")
+def _(spark, d):
+    e = words(spark, d)[1]
+    mean = e.agg(F.avg("weight").alias("m"))
+    return network.edge_subgraph(e, e.crossJoin(F.broadcast(mean)).where("weight > m")).select("src", "dst", "weight")  # one row
+
+
+@query("boundary_edges", NET + f"SELECT src, dst, weight FROM e WHERE src IN {_SEEDS} AND dst NOT IN {_SEEDS}")
+def _(spark, d):
+    v, e = words(spark, d)
+    return network.boundary(e, _seeds(v)).select("src", "dst", "weight")
+
+
+@query("out_edges", NET + f"SELECT src, dst, weight AS value FROM e WHERE src IN {_SEEDS}")
+def _(spark, d):
+    v, e = words(spark, d)
+    return network.out_edges(e, _seeds(v), "weight")
+
+
+@query("network_counts", NET + "SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges")
+def _(spark, d):
+    return network.counts(*words(spark, d))
+
+
+@query("node_degrees", NET + "SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
+def _(spark, d):
+    return network.degrees(words(spark, d)[1])
+
+
+@query("node_strengths", NET + "SELECT node, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY node")
+def _(spark, d):
+    return network.degrees(words(spark, d)[1], "weight")
+
+
+@query("top_nodes", NET + "SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node ORDER BY degree DESC, node LIMIT 8")
+def _(spark, d):
+    return network.top(network.degrees(words(spark, d)[1]), "degree", 8)
+
+
+@query("max_normalised_degree", NET + ", g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node) SELECT node, round_even(n / max(n) OVER (), 9) AS score FROM g")
+def _(spark, d):
+    return max_normalised(network.degrees(words(spark, d)[1]).withColumnRenamed("degree", "score"), "score").select("node", F.bround("score", 9).alias("score"))
+
+
+@query("above_threshold", NET + ", g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node) SELECT node FROM (SELECT node, n / max(n) OVER () AS score FROM g) WHERE score > 0.4")
+def _(spark, d):
+    s = max_normalised(network.degrees(words(spark, d)[1]).withColumnRenamed("degree", "score"), "score")
+    return network.above(s, "score", 0.4).select("node")
+
+
+@query("visual_scales", NET + ", g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node) SELECT node, round_even(n / max(n) OVER () * 80 + 20, 6) AS size FROM g")
+def _(spark, d):
+    return network.visual_scales(*words(spark, d))[0].select("node", r6("size").alias("size"))
+
+
+# --- descriptors and distributions
+
+
+@query("aggregates_by_name", "SELECT max(l_quantity) AS a0, min(l_quantity) AS a1, round_even(avg(l_quantity), 6) AS a2, round_even(stddev_pop(l_quantity), 6) AS a3, round_even(sum(l_quantity * l_extendedprice) / sum(l_extendedprice), 6) AS a4 FROM lineitem")
+def _(spark, d):
+    t, v, w = table(spark, d, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice")
+    names = ("max", "min", "mean", "std", "weighted average")
+    return t.agg(*[(AGGREGATES[n](v, w) if i < 2 else r6(AGGREGATES[n](v, w))).alias(f"a{i}") for i, n in enumerate(names)])
+
+
+@query("weighted_std", "WITH m AS (SELECT sum(l_quantity * l_extendedprice) / sum(l_extendedprice) AS m FROM lineitem) SELECT round_even(sqrt(sum(l_extendedprice * (l_quantity - m) * (l_quantity - m)) / sum(l_extendedprice)), 6) AS value FROM lineitem, m")
+def _(spark, d):
+    return described(table(spark, d, "lineitem"), "weighted std", "l_quantity", "l_extendedprice").select(r6("value").alias("value"))
+
+
+@query("degree_descriptor", NET + ", g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node) SELECT round_even(avg(n), 6) AS value FROM g")
+def _(spark, d):
+    return describe.degree_descriptor(words(spark, d)[1], "mean").select(r6("value").alias("value"))
+
+
+@query("edge_descriptor", NET + f"SELECT round_even(avg(weight), 6) AS value FROM e WHERE src IN {_SEEDS}")
+def _(spark, d):
+    v, e = words(spark, d)
+    return describe.edge_descriptor(e, "mean", "weight", _seeds(v)).select(r6("value").alias("value"))
+
+
+@query("node_descriptor", "SELECT coalesce(round_even(avg(c_acctbal), 6), -1) AS value FROM customer WHERE c_acctbal >= 0")
+def _(spark, d):
+    return describe.node_descriptor(table(spark, d, "customer"), "mean", "c_acctbal").select(r6("value").alias("value"))
+
+
+@query("numeric_descriptors", NET + """, g AS (SELECT node, count(*) AS n, sum(weight) AS s FROM (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY node),
+o AS (SELECT src, count(*) AS k FROM e GROUP BY src),
+x AS (SELECT s.k AS k, coalesce(t.k, 0) AS kd, weight FROM e JOIN o s ON s.src = e.src LEFT JOIN o t ON t.src = e.dst),
+nb AS (SELECT avg(m) AS a, avg(mw) AS b FROM (SELECT k, avg(kd) AS m, sum(weight * kd) / sum(weight) AS mw FROM x GROUP BY k)),
+tri AS (SELECT a.src AS node, count(*) AS t FROM arcs a JOIN arcs b ON b.src = a.dst JOIN arcs c ON c.src = b.dst AND c.dst = a.src GROUP BY a.src),
+dg AS (SELECT src AS node, count(*) AS k FROM arcs GROUP BY src),
+cl AS (SELECT avg(CASE WHEN k >= 2 THEN coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) AS c FROM dg LEFT JOIN tri USING (node)),
+m AS (SELECT 'max_degree' AS metric, max(n) AS value FROM g UNION ALL SELECT 'min_degree', min(n) FROM g UNION ALL SELECT 'avg_degree', avg(n) FROM g UNION ALL SELECT 'max_strength', max(s) FROM g
+  UNION ALL SELECT 'min_strength', min(s) FROM g UNION ALL SELECT 'avg_strength', avg(s) FROM g UNION ALL SELECT 'std_strength', stddev_pop(s) FROM g UNION ALL SELECT 'edges', count(*) FROM e
+  UNION ALL SELECT 'max_weight', max(weight) FROM e UNION ALL SELECT 'min_weight', min(weight) FROM e UNION ALL SELECT 'avg_weight', avg(weight) FROM e UNION ALL SELECT 'std_weight', stddev_pop(weight) FROM e
+  UNION ALL SELECT 'nodes', count(*) FROM v UNION ALL SELECT 'avg_neighbour_degree', a FROM nb UNION ALL SELECT 'avg_neighbour_weight', b FROM nb UNION ALL SELECT 'avg_clustering', c FROM cl)
+SELECT metric, round_even(CAST(value AS DOUBLE), 6) AS value FROM m""")
+def _(spark, d):
+    return describe.numeric(*words(spark, d)).select("metric", r6("value").alias("value"))
+
+
+_HIST = NET + ", g AS (SELECT node, count(*) AS value FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node), s AS (SELECT min(value) AS lo, max(value) AS hi FROM g)"
+
+
+def _degree_values(spark, d):
+    return network.degrees(words(spark, d)[1]).withColumnRenamed("degree", "value")
+
+
+@query("linear_histogram", _HIST + """, b AS (SELECT i AS bin, lo + (hi - lo) * i / 9 AS l, lo + (hi - lo) * (i + 1) / 9 AS h FROM s, range(9) AS t(i)),
+c AS (SELECT bin, l, h, count(value) AS n FROM b LEFT JOIN g ON value >= l AND (value < h OR (bin = 8 AND value <= h)) GROUP BY ALL)
+SELECT CAST(bin AS INT) AS bin, round_even(l, 6) AS lo, round_even(h, 6) AS hi, n AS count, round_even(n / sum(n) OVER (), 9) AS pdf, round_even(1 - sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 9) + 0.0 AS ccdf FROM c""")
+def _(spark, d):
+    v = _degree_values(spark, d)
+    lo, hi, _ = distribution.span(v)
+    h = distribution.densities(distribution.histogram(v, distribution.linear_edges(lo, hi)))
+    return h.select("bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "count", F.bround("pdf", 9).alias("pdf"), (F.bround("ccdf", 9) + 0.0).alias("ccdf"))
+
+
+@query("unit_histogram", _HIST + ", b AS (SELECT i AS bin, lo + i AS l, lo + i + 1 AS h, hi - lo - 1 AS n FROM s, range((SELECT hi - lo - 1 FROM s)) AS t(i)) SELECT CAST(bin AS INT) AS bin, CAST(l AS DOUBLE) AS lo, CAST(h AS DOUBLE) AS hi, count(value) AS count FROM b LEFT JOIN g ON value >= l AND (value < h OR (bin = n - 1 AND value <= h)) GROUP BY ALL")
+def _(spark, d):
+    v = _degree_values(spark, d)
+    lo, hi, _ = distribution.span(v)
+    return distribution.histogram(v, distribution.unit_edges(lo, hi))
+
+
+@query("power_law_exponent", _HIST + "SELECT round_even(1 + count(*) / sum(ln(value / (lo - 0.5))), 6) AS gamma FROM g, s")
+def _(spark, d):
+    return distribution.power_law(_degree_values(spark, d)).select(r6("gamma").alias("gamma"))
+
+
+@query("unknown_share", "SELECT round_even(avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END), 9) AS unknown_share FROM customer")
+def _(spark, d):
+    return distribution.unknown_share(table(spark, d, "customer"), "c_acctbal").select(F.bround("unknown_share", 9).alias("unknown_share"))
+
+
+@query("rebinned_histogram", "SELECT CAST(floor((ceil(p_size) - 1) / 10) AS INT) AS bin, sum(p_retailprice > 1000) + 0.0 AS mass FROM part WHERE p_size > 0 AND p_size <= 50 GROUP BY ALL")
+def _(spark, d):
+    m = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") > 1000).cast("double").alias("mass"))
+    return distribution.rebinned(m, [0.0, 10.0, 20.0, 30.0, 40.0, 50.0]).select("bin", "mass")
+
+
+@query("distributions")
+def _(spark, d):
+    e = words(spark, d)[1]
+    return distribution.distribution({"degree": network.degrees(e).withColumnRenamed("degree", "value"), "strength": network.degrees(e, "weight").withColumnRenamed("degree", "value")})
+
+
+@query("tag_frequency", "WITH t AS (SELECT p_size % 10 AS tag, count(*) AS n FROM part GROUP BY ALL) SELECT tag, n, round_even(n / sum(n) OVER (), 2) AS share FROM t")
+def _(spark, d):
+    return describe.tag_frequency(table(spark, d, "part").select((F.col("p_size") % 10).alias("tag")))
+
+
+# --- graph algorithms
+
+
+@query("clustering_coefficients", NET + """, tri AS (SELECT a.src AS node, count(*) AS t FROM arcs a JOIN arcs b ON b.src = a.dst JOIN arcs c ON c.src = b.dst AND c.dst = a.src GROUP BY a.src),
+dg AS (SELECT src AS node, count(*) AS k FROM arcs GROUP BY src)
+SELECT node, round_even(CASE WHEN k >= 2 THEN coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 9) AS clustering FROM dg LEFT JOIN tri USING (node)""")
+def _(spark, d):
+    return centrality.clustering(*words(spark, d)).select("node", F.bround("clustering", 9).alias("clustering"))
+
+
+@query("mean_neighbour_degree", NET + ", o AS (SELECT src, count(*) AS k FROM e GROUP BY src), x AS (SELECT s.k AS k, avg(coalesce(t.k, 0)) AS m FROM e JOIN o s ON s.src = e.src LEFT JOIN o t ON t.src = e.dst GROUP BY s.k) SELECT round_even(avg(m), 6) AS value FROM x")
+def _(spark, d):
+    return centrality.mean_neighbour_degree(words(spark, d)[1]).select(r6("value").alias("value"))
+
+
+_BFS = NET + ", h(source, node, depth) AS (SELECT src, src, 0 FROM arcs UNION SELECT source, arcs.dst, depth + 1 FROM h JOIN arcs ON arcs.src = node WHERE depth < 20), dist AS (SELECT source, node, min(depth) AS depth FROM h GROUP BY ALL)"
+
+
+@query("hop_distances", _BFS + "SELECT source, node, CAST(depth AS INT) AS depth FROM dist")
+def _(spark, d):
+    return centrality.hops(words(spark, d)[1])
+
+
+@query("connected_components", _BFS + "SELECT source AS node, min(node) AS component FROM dist GROUP BY source")
+def _(spark, d):
+    return centrality.components(*words(spark, d))
+
+
+_BIG = _BFS + ", comp AS (SELECT source AS node, min(node) AS c FROM dist GROUP BY source), big AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1), ecc AS (SELECT source AS node, max(depth) AS ecc FROM dist WHERE source IN (SELECT node FROM comp WHERE c IN (FROM big)) GROUP BY source)"
+
+
+def _largest(spark, d):
+    v, e = words(spark, d)
+    n = cut(centrality.largest_component(v, e), "largest")
+    return n, network.induced(e, n)
+
+
+@query("eccentricity", _BIG + "SELECT node, CAST(ecc AS INT) AS ecc FROM ecc")
+def _(spark, d):
+    return centrality.eccentricity(*_largest(spark, d))
+
+
+@query("radius_diameter", _BIG + "SELECT CAST(min(ecc) AS INT) AS radius, CAST(max(ecc) AS INT) AS diameter FROM ecc")
+def _(spark, d):
+    return centrality.radius_diameter(centrality.eccentricity(*_largest(spark, d)))
+
+
+@query("scaled_eccentricity", _BIG + "SELECT node, round_even((d - ecc) / nullif(d - r, 0) * 0.9 + 0.1, 9) AS score FROM ecc, (SELECT min(ecc) AS r, max(ecc) AS d FROM ecc)")
+def _(spark, d):
+    return centrality.scaled_eccentricity(cut(centrality.eccentricity(*_largest(spark, d)), "ecc")).select("node", F.bround("score", 9).alias("score"))
+
+
+@query("pagerank", NET + """, n AS (SELECT count(*) AS n FROM v), tot AS (SELECT src, sum(weight) AS t FROM e GROUP BY src),
+p AS (SELECT src, dst, weight / t AS p FROM e JOIN tot USING (src) UNION ALL SELECT d.node, v.node, 1.0 / n FROM v d, v, n WHERE d.node NOT IN (SELECT src FROM tot) UNION ALL SELECT node, node, 0.0 FROM v),
+r(t, node, x) AS (SELECT 0, node, 1.0 / n FROM v, n UNION ALL SELECT t + 1, p.dst, 0.15 / any_value(n) + 0.85 * sum(x * p) FROM r JOIN p ON p.src = r.node, n WHERE t < 20 GROUP BY t + 1, p.dst)
+SELECT node, round_even(x, 9) AS score FROM r WHERE t = 20""")
+def _(spark, d):
+    return centrality.pagerank(*words(spark, d), iterations=20, tol=0.0, normalise=False).select("node", F.bround("score", 9).alias("score"))
+
+
+@query("eigenvector_centrality")
+def _(spark, d):
+    return centrality.eigenvector(*trade(spark, d))
+
+
+@query("betweenness_centrality")
+def _(spark, d):
+    return centrality.betweenness(*words(spark, d))
+
+
+_TRADE = """WITH RECURSIVE e AS (SELECT c.n_name AS src, s.n_name AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation c ON c.n_nationkey = c_nationkey JOIN nation s ON s.n_nationkey = s_nationkey GROUP BY ALL)
+"""
+
+
+@query("trade_network", _TRADE + "SELECT * FROM e")
+def _(spark, d):
+    return trade(spark, d)[1].select("src", "dst", "weight")
+
+
+@query("expected_visits", _TRADE + """, p AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM e),
+r(t, a, b, x) AS (SELECT DISTINCT 0, src, src, 1.0::DOUBLE FROM p UNION ALL SELECT t + 1, a, p.dst, sum(x * p) FROM r JOIN p ON p.src = b WHERE t < 4 GROUP BY t + 1, a, p.dst)
+SELECT a AS start, b AS visited, round_even(sum(x), 9) AS avg_visits FROM r GROUP BY ALL""")
+def _(spark, d):
+    v, e = trade(spark, d)
+    n = cut(e.select("src", "dst", "weight"), "trade")
+    return walks.expected(n.select(F.col("src").alias("node")).distinct(), n, 4).select("start", "visited", F.bround("avg_visits", 9).alias("avg_visits"))
+
+
+@query("sampled_visits")
+def _(spark, d):
+    v, e = words(spark, d)
+    return walks.association(walks.walks(v.select("node"), walks.undirected_arcs(e), 4, 5, 1), 5)
+
+
+def _space(spark, d, steps=4):
+    v, e = words(spark, d)
+    return v, e, cut(walks.expected(v.select("node"), walks.undirected_arcs(e), steps), "space")
+
+
+@query("relevance_uncertainty", NET + """, p AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM arcs),
+r(t, a, b, x) AS (SELECT DISTINCT 0, src, src, 1.0::DOUBLE FROM p UNION ALL SELECT t + 1, a, p.dst, sum(x * p) FROM r JOIN p ON p.src = b WHERE t < 2 GROUP BY t + 1, a, p.dst),
+sp AS (SELECT a, b, sum(x) AS x FROM r GROUP BY ALL), n AS (SELECT count(*) AS n FROM v),
+s AS (SELECT b AS visited, sum(x) AS r, sqrt(greatest(0, sum(x * x) / any_value(n) - (sum(x) / any_value(n)) * (sum(x) / any_value(n)))) AS u FROM sp, n GROUP BY b)
+SELECT visited, round_even(r / max(r) OVER (), 8) AS relevance, round_even(u / max(u) OVER (), 6) AS uncertainty FROM s""")
+def _(spark, d):
+    v, e, s = _space(spark, d, 2)
+    return describe.relevance(s, v.count()).select("visited", F.bround("relevance", 8).alias("relevance"), r6("uncertainty").alias("uncertainty"))
+
+
+def _bands(v):
+    return v.select("node", (F.col("idx") % 4).cast("int").alias("cluster"))
+
+
+@query("modularity", NET + """, c AS (SELECT node, idx % 4 AS k FROM v), m AS (SELECT sum(weight) AS m FROM u),
+i AS (SELECT x.k AS k, sum(weight) AS w FROM u JOIN c x ON x.node = a JOIN c y ON y.node = b WHERE x.k = y.k GROUP BY x.k),
+dg AS (SELECT k, sum(weight) AS d FROM (SELECT a AS node, weight FROM u UNION ALL SELECT b, weight FROM u) JOIN c USING (node) GROUP BY k)
+SELECT round_even(sum(coalesce(w, 0) / m - (d / (2 * m)) * (d / (2 * m))), 9) AS modularity FROM dg LEFT JOIN i USING (k), m""")
+def _(spark, d):
+    v, e = words(spark, d)
+    return community.modularity(e, _bands(v)).select(F.bround("modularity", 9).alias("modularity"))
+
+
+@query("greedy_modularity")
+def _(spark, d):
+    return community.greedy(*words(spark, d))
+
+
+@query("fluid_communities")
+def _(spark, d):
+    n, e = _largest(spark, d)
+    return community.fluid(n, e, 4, 1, 20)
+
+
+@query("clustered_space")
+def _(spark, d):
+    v, e, s = _space(spark, d, 2)
+    return community.clustered(community.vectors(s, v), 4, 1)
+
+
+@query("principal_coordinates")
+def _(spark, d):
+    v, e, s = _space(spark, d, 2)
+    top = ordinal(network.top(network.degrees(e), "degree", 16).select("node"), "node").select("idx", "node")
+    return community.principal(community.vectors(s, top), 2)
+
+
+@query("cluster_relevance", "WITH r AS (SELECT p_size % 4 AS cluster, p_retailprice / max(p_retailprice) OVER () AS r FROM part) SELECT cluster, count(*) AS nodes, round_even(avg(r), 9) AS mean_relevance, round_even(stddev_pop(r), 9) AS std_relevance, CAST(sum(CASE WHEN r > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS relevant, round_even(avg(CASE WHEN r > 0.5 THEN 1.0 ELSE 0.0 END), 9) AS relevant_share FROM r GROUP BY cluster")
+def _(spark, d):
+    p = table(spark, d, "part")
+    r = max_normalised(p.select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("relevance")), "relevance")
+    out = describe.cluster_relevance(r, p.select(F.col("p_partkey").alias("node"), (F.col("p_size") % 4).alias("cluster")))
+    return out.select("cluster", "nodes", *[F.bround(c, 9).alias(c) for c in ("mean_relevance", "std_relevance")], "relevant", F.bround("relevant_share", 9).alias("relevant_share"))
+
+
+# --- lexical relations; part names and their words stand in for a lexicon, prefixes for synsets
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(vertices, edges, lexicon, lemmas, antonyms, hypernyms): a word's synset is its first two letters, whose parent is the first."""
+    v, e = words(spark, sf_dir)
+    known = v.where("idx % 5 <> 0")
+    lex = known.select(F.col("node").alias("word"), F.substring("node", 1, 2).alias("synset"), F.lit(1).alias("min_depth"))
+    lemmas = lex.select("synset", F.substring("word", 1, 3).alias("lemma")).distinct()
+    anti = lemmas.select("lemma", F.reverse("lemma").alias("antonym"))
+    hyper = lex.select("synset", F.substring("synset", 1, 1).alias("parent"), F.lit(1).alias("hops")).where("synset <> parent").distinct()
+    return v, e, lex, lemmas, anti, hyper
+
+
+_LEX = NET + """, lex AS (SELECT node AS word, substr(node, 1, 2) AS syn FROM v WHERE idx % 5 <> 0), lem AS (SELECT DISTINCT syn, substr(word, 1, 3) AS lemma FROM lex),
+wl AS (SELECT DISTINCT word, lemma FROM lex JOIN lem USING (syn)),
+k AS (SELECT src, dst, weight, src IN (SELECT word FROM lex) AND dst IN (SELECT word FROM lex) AS known FROM e),
+sy AS (SELECT DISTINCT x.word AS src, y.word AS dst FROM wl x JOIN wl y ON x.lemma = y.lemma), an AS (SELECT DISTINCT x.word AS src, y.word AS dst FROM wl x JOIN wl y ON reverse(x.lemma) = y.lemma OR reverse(y.lemma) = x.lemma),
+f AS (SELECT k.src, k.dst, k.weight, known, CASE WHEN known THEN CAST((k.src, k.dst) IN (SELECT (src, dst) FROM sy) AS INT) END AS synonyms, CASE WHEN known THEN CAST((k.src, k.dst) IN (SELECT (src, dst) FROM an) AS INT) END AS antonyms,
+  CASE WHEN known THEN CASE WHEN substr(k.src, 1, 2) = substr(k.dst, 1, 2) THEN 1.0
+    WHEN length(substr(k.src, 1, 2)) = 1 AND substr(k.src, 1, 1) = substr(k.dst, 1, 1) OR length(substr(k.dst, 1, 2)) = 1 AND substr(k.src, 1, 1) = substr(k.dst, 1, 1) THEN 0.5
+    WHEN substr(k.src, 1, 1) = substr(k.dst, 1, 1) THEN 0.333 ELSE 0.0 END END AS path_similarity,
+  CASE WHEN known THEN levenshtein(k.src, k.dst) END AS edit_distance FROM k)
+"""
+
+
+@query("lexical_enrichment", _LEX + "SELECT src, dst, weight, coalesce(synonyms, -1) AS synonyms, coalesce(antonyms, -1) AS antonyms, CAST(coalesce(path_similarity, -1) AS DOUBLE) AS path_similarity, CAST(coalesce(edit_distance, -1) AS INT) AS edit_distance FROM f")
+def _(spark, d):
+    return lexical.with_marks(lexical.enriched(*lexicon(spark, d))[1]).select("src", "dst", "weight", "synonyms", "antonyms", "path_similarity", "edit_distance")
+
+
+@query("node_depths", NET + "SELECT idx, node, CASE WHEN idx % 5 <> 0 THEN 1 ELSE -1 END AS depth FROM v")
+def _(spark, d):
+    v, e, lex, *_ = lexicon(spark, d)
+    return lexical.depths(v, lex).select("idx", "node", F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
+@query("lexical_descriptors")
+def _(spark, d):
+    return describe.lexical(*lexical.enriched(*lexicon(spark, d))).select("metric", r6("value").alias("value"))
+
+
+@query("node_lexical_bundle", _LEX + """, b AS (SELECT src AS node, max(path_similarity) AS a, sum(path_similarity * weight) / sum(weight) FILTER (path_similarity IS NOT NULL) AS b, avg(synonyms) AS c, max(synonyms) AS d, sum(edit_distance * weight) / sum(weight) FILTER (edit_distance IS NOT NULL) AS g FROM f GROUP BY src)
+SELECT v.node, coalesce(CAST(a AS DOUBLE), -1) AS path_max, coalesce(round_even(b, 6), -1) AS path_avg, coalesce(round_even(c, 6), -1) AS synonym_mean, coalesce(CAST(d AS DOUBLE), -1) AS synonym_max, coalesce(round_even(g, 6), -1) AS edit_avg FROM v LEFT JOIN b USING (node)""")
+def _(spark, d):
+    n = describe.node_lexical(*lexical.enriched(*lexicon(spark, d)))
+    return n.select("node", "path_max", r6("path_avg").alias("path_avg"), r6("synonym_mean").alias("synonym_mean"), "synonym_max", r6("edit_avg").alias("edit_avg"))
+
+
+@query("restricted_networks")
+def _(spark, d):
+    return describe.restricted(*lexical.enriched(*lexicon(spark, d)), 8).select("subgraph", "src", "dst", "weight")
+
+
+@query("cluster_report")
+def _(spark, d):
+    v, e = lexical.enriched(*lexicon(spark, d))
+    e = cut(e, "enriched")
+    r = max_normalised(network.degrees(e).withColumnRenamed("degree", "relevance"), "relevance")
+    return describe.cluster_report(e, _bands(v), r, v.select("node", (F.col("idx") % 3).alias("tag")))
+
+
+@query("float_floor_division", "SELECT l_orderkey, l_linenumber, CAST(round((l_extendedprice - (l_extendedprice % 0.1)) / 0.1) AS BIGINT) AS q FROM lineitem")
+def _(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", floor_div(F.col("l_extendedprice"), F.lit(0.1).cast("double")).cast("long").alias("q"))
