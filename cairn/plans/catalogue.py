@@ -95,6 +95,11 @@ def r6(c):
     return F.bround(c, 6)
 
 
+def f32(c):
+    """Single precision: hides the order of summation, and means of prices have no ties there as they have at decimal digits."""
+    return c.cast("float").cast("double")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["grid_summary"](spark, sf_dir)
 
@@ -115,11 +120,11 @@ def _(spark, d):
     return p.select("id", cell.alias("c")).select("id", F.col("c")[0].alias("c0"), F.col("c")[1].alias("c1"))
 
 
-@query("grid_summary", GRID.format(m=16) + "SELECT cx AS c0, cy AS c1, round_even(avg(x), 6) AS m0, round_even(avg(y), 4) AS m1, count(*) AS card FROM g GROUP BY ALL")
+@query("grid_summary", GRID.format(m=16) + "SELECT cx AS c0, cy AS c1, CAST(CAST(avg(x) AS FLOAT) AS DOUBLE) AS m0, CAST(CAST(avg(y) AS FLOAT) AS DOUBLE) AS m1, count(*) AS card FROM g GROUP BY ALL")
 def _(spark, d):
     p = items(spark, d)
     r = grid.representatives(p, 16, *grid.bounds(p, 2))
-    return r.select(F.col("cell")[0].alias("c0"), F.col("cell")[1].alias("c1"), r6(F.col("rep")[0]).alias("m0"), F.bround(F.col("rep")[1], 4).alias("m1"), "card")
+    return r.select(F.col("cell")[0].alias("c0"), F.col("cell")[1].alias("c1"), f32(F.col("rep")[0]).alias("m0"), f32(F.col("rep")[1]).alias("m1"), "card")
 
 
 @query("grid_singletons", GRID.format(m=64) + "SELECT count(*) AS cells, count(*) FILTER (card > 1) AS heavy, count(*) FILTER (card = 1) AS single FROM (SELECT cx, cy, count(*) AS card FROM g GROUP BY ALL)")
@@ -146,21 +151,21 @@ def _(spark, d):
     return kmeans.assign(items(spark, d), CENTERS).select("id", "label", F.bround("d2", 3).alias("d2"))
 
 
-@query("center_update", NEAR + "SELECT label, round_even(avg(x), 6) AS x, round_even(avg(y), 4) AS y, count(*) AS n FROM n GROUP BY label")
+@query("center_update", NEAR + "SELECT label, CAST(CAST(avg(x) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(avg(y) AS FLOAT) AS DOUBLE) AS y, count(*) AS n FROM n GROUP BY label")
 def _(spark, d):
     f = F.col("features")
-    return kmeans.assign(items(spark, d), CENTERS).groupBy("label").agg(r6(F.avg(f[0])).alias("x"), F.bround(F.avg(f[1]), 4).alias("y"), F.count("*").alias("n"))
+    return kmeans.assign(items(spark, d), CENTERS).groupBy("label").agg(f32(F.avg(f[0])).alias("x"), f32(F.avg(f[1])).alias("y"), F.count("*").alias("n"))
 
 
 @query("weighted_center_update", GRID.format(m=16) + """, r AS (SELECT cx AS i, cy AS j, avg(x) AS x, avg(y) AS y, count(*) AS w FROM g GROUP BY ALL),
 c AS (SELECT * FROM (VALUES (0, 10.0, 15000.0), (1, 25.0, 40000.0), (2, 45.0, 70000.0)) AS t(k, cx, cy)),
 n AS (SELECT i, j, x, y, w, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM r, c GROUP BY ALL)
-SELECT label, round_even(sum(x * w) / sum(w), 6) AS x, round_even(sum(y * w) / sum(w), 4) AS y FROM n GROUP BY label""")
+SELECT label, CAST(CAST(sum(x * w) / sum(w) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(sum(y * w) / sum(w) AS FLOAT) AS DOUBLE) AS y FROM n GROUP BY label""")
 def _(spark, d):
     p = items(spark, d)
     r = grid.representatives(p, 16, *grid.bounds(p, 2))
     c = kmeans.updated(kmeans.assign(r, CENTERS, "rep"), CENTERS, "rep", "card")
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "label int, x double, y double").select("label", r6("x").alias("x"), F.bround("y", 4).alias("y"))
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "label int, x double, y double").select("label", f32(F.col("x")).alias("x"), f32(F.col("y")).alias("y"))
 
 
 @query("inertia_of_cells", GRID.format(m=16) + """, r AS (SELECT avg(x) AS x, avg(y) AS y FROM g GROUP BY cx, cy),
@@ -179,10 +184,10 @@ def _(spark, d):
 
 @query("lloyd_two_steps", NEAR + """, c1 AS (SELECT label AS k, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY label),
 n1 AS (SELECT id, x, y, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM p, c1 GROUP BY ALL)
-SELECT label, round_even(avg(x), 6) AS x, round_even(avg(y), 4) AS y FROM n1 GROUP BY label""")
+SELECT label, CAST(CAST(avg(x) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(avg(y) AS FLOAT) AS DOUBLE) AS y FROM n1 GROUP BY label""")
 def _(spark, d):
     c, *_ = kmeans.lloyd(items(spark, d), CENTERS, 2, 0.0)
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "label int, x double, y double").select("label", r6("x").alias("x"), F.bround("y", 4).alias("y"))
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "label int, x double, y double").select("label", f32(F.col("x")).alias("x"), f32(F.col("y")).alias("y"))
 
 
 @query("label_propagation", GRID.format(m=16) + """, r AS (SELECT cx, cy, avg(x) AS mx, avg(y) AS my FROM g GROUP BY cx, cy),
