@@ -129,6 +129,14 @@ class Known:
         mass = (sums[0] + sums[1]).astype(np.float64)
         np.subtract.at(mass, self.shapes, (self.counts + 1).astype(np.float64))
         self.mass = mass[:SHAPES] + 1
+        self.ends = int(sums[0, END_SHAPE])
+
+    def frequencies(self) -> np.ndarray:
+        """Of the model's tokens, by id, smoothed."""
+        out = np.zeros(OUTPUTS)
+        out[: len(self.counts)] = self.counts
+        out[VOCABULARY : VOCABULARY + SHAPES], out[-1] = self.mass, self.ends
+        return out + 0.5
 
     def ids(self, lookup: Lookup, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """The model's token ids: words by frequency, then shapes, then the end."""
@@ -156,6 +164,15 @@ class Gru:
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t = 0
 
+    @classmethod
+    def start(cls, known: Known) -> Gru:
+        """Untrained, but with outputs that begin at the tokens' frequencies."""
+        new = cls()
+        by = known.frequencies().reshape(CLASSES, cls.size)
+        new.p["bc"] = np.log(by.sum(1) / by.sum()).astype(np.float32)
+        new.p["bm"] = np.log(by / by.sum(1, keepdims=True)).astype(np.float32)
+        return new
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         a = h @ self.p["u"]
         g = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
@@ -279,7 +296,7 @@ def learned(params: bytes | None, every: int, epochs: int, rate: float, shared):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know = shared.value
         lookup = know.lookup()
-        model = Gru() if params is None else Gru.unpacked(np.frombuffer(params, np.float32))
+        model = Gru.start(know) if params is None else Gru.unpacked(np.frombuffer(params, np.float32))
         rng, n, held = np.random.default_rng(SEED), 0, []
         for b in batches:
             texts = [lower_bytes(x.as_py()) for x in b.column(0)]
@@ -303,14 +320,14 @@ def averaged(t: pa.Table) -> pa.Table:
     return pa.table({"task": pa.array([t["task"][0].as_py() // FAN_IN], pa.int64()), "n": [n.sum()], "params": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def trained(docs: DataFrame, shared) -> bytes:
+def trained(docs: DataFrame, known: Known, shared) -> bytes:
     """The model's parameters, from the training rows of docs (doc_id, text, held_out)."""
     texts, schema = docs.where("not held_out"), "task long, n double, params binary"
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, WARM / max(1, size))
     few = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
     one = few.select("text").coalesce(1).mapInArrow(learned(None, 2 * WINDOW, 4, RATE, shared), schema).first()
-    start = one["params"] if one else Gru().packed()
+    start = one["params"] if one else Gru.start(known).packed()
     got = cut(texts.select("text").mapInArrow(learned(bytes(start), EVERY, 1, RATE / 4, shared), schema), "models")
     left = (got.agg(F.max("task")).first()[0] or 0) + 1
     while left > 1:
@@ -392,7 +409,7 @@ def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK) -> Dat
     answers = cut(questions.groupBy("shard").applyInArrow(answered(VOCABULARY), "block long, shard int, counts binary, words binary, shapes binary, sums binary"), "answers")
     known = Known(answers.where("block is null").collect(), VOCABULARY)  # a row a shard, each of at most VOCABULARY words
     shared = spark.sparkContext.broadcast(known)  # VOCABULARY words
-    params = trained(rows, shared)
+    params = trained(rows, known, shared)
     out = dealt.groupBy("block").cogroup(answers.where("block is not null").select("block", "shard", "counts").groupBy("block")).applyInArrow(scored(params, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", key)
 
