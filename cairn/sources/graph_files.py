@@ -33,9 +33,9 @@ def pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     body = body.select("at", "line", F.element_at(F.filter("marks", lambda m: m["at"] < F.col("at")), -1)["kind"].alias("kind"))
     label = F.regexp_extract("line", r'^\d+\s+(?:"([^"]*)"|(\S+))', 1)
     bare = F.regexp_extract("line", r"^\d+\s+(\S+)", 1)
-    vertices = body.where("kind = 'vertices'").select((F.regexp_extract("line", r"^(\d+)", 1).cast("long") - 1).alias("idx"), F.when(label != "", label).when(bare.startswith('"'), "").otherwise(bare).alias("node"))
+    vertices = body.where("kind = 'vertices'").select((F.regexp_extract("line", r"^(\d+)", 1).try_cast("long") - 1).alias("idx"), F.when(label != "", label).when(bare.startswith('"'), "").otherwise(bare).alias("node"))
     fields = F.split("line", r"\s+")
-    arcs = body.where("kind in ('arcs', 'edges')").select("at", "kind", (fields[0].cast("long") - 1).alias("s"), (fields[1].cast("long") - 1).alias("d"), F.coalesce(F.try_element_at(fields, F.lit(3)).cast("double"), F.lit(1.0)).alias("weight"))
+    arcs = body.where("kind in ('arcs', 'edges')").select("at", "kind", (F.try_element_at(fields, F.lit(1)).try_cast("long") - 1).alias("s"), (F.try_element_at(fields, F.lit(2)).try_cast("long") - 1).alias("d"), F.coalesce(F.try_element_at(fields, F.lit(3)).try_cast("double"), F.lit(1.0)).alias("weight"))
     both = arcs.select((2 * F.col("at")).alias("ord"), "s", "d", "weight").unionByName(arcs.where("kind = 'edges' and s <> d").select((2 * F.col("at") + 1).alias("ord"), F.col("d").alias("s"), F.col("s").alias("d"), "weight"))
     named = both.join(vertices.select(F.col("idx").alias("s"), F.col("node").alias("src")), "s").join(vertices.select(F.col("idx").alias("d"), F.col("node").alias("dst")), "d")
     return vertices, keyed(named.select("src", "dst", "ord", "weight"))
@@ -71,7 +71,7 @@ def partition(spark: SparkSession, path: str) -> DataFrame:
     first = lines.where("not (startswith(line, '%') or startswith(line, '*'))").agg(F.min("at").alias("first"))
     body = lines.crossJoin(F.broadcast(first)).where("at >= first")  # one row
     # places are line numbers less the empty lines before: none is in the middle of such a file
-    return body.select((F.col("at") - F.col("first")).cast("long").alias("idx"), F.col("line").cast("tinyint").alias("tag"))
+    return body.select((F.col("at") - F.col("first")).cast("long").alias("idx"), F.col("line").try_cast("tinyint").alias("tag"))
 
 
 #: The tags of a partition of words by part of speech (fixed values).
