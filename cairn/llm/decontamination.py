@@ -1,15 +1,15 @@
 """Benchmark decontamination by a positional inverted index distributed over the documents.
 
-The index is partitioned by document, as search engines do it: each block of documents stores, for every benchmark term,
-the sorted list of its token positions in the block. A benchmark window is answered from its rarest term in that block:
-the term's positions, less its offset in the window, are the candidate starts, which are intersected with the other
-terms' offset-adjusted lists in the order of their frequency, by binary search. What is left is an exact phrase match.
-Proximity matches ask for the rarest terms of an item within a span of words, from the rarest one's list as well.
+The index is partitioned by document, as search engines do it: each block of documents stores, for every term of its
+texts, the sorted list of its token positions, in the shared folder. A benchmark window is answered from its rarest term
+in a block: the term's positions, less its offset in the window, are the candidate starts, which are intersected with the
+other terms' offset-adjusted lists in the order of their frequency, by binary search. What is left is an exact phrase
+match. Proximity matches ask for the rarest terms of an item within a span of words, from the rarest one's list as well.
 Nothing is shuffled, and a window that one third of the documents holds costs its block no more than its own matches.
 
-The benchmark is written to the shared folder in chunks of bounded size; each block asks chunk after chunk, so neither
-the benchmark's nor the corpus's size is bounded by a worker's memory. One document's tokens are held at a time, or a
-block of BLOCK bytes of shorter ones.
+The benchmark is written to the shared folder in chunks of bounded size; each block is asked chunk after chunk, so
+neither the benchmark's nor the corpus's size is bounded by a worker's memory. A block is BLOCK bytes of text, or one
+longer text. Terms are known by 64-bit hashes.
 
 Defined cases: null or empty texts have no words and hit nothing; an item without words has no window; items with one
 item_id are one item; a null item_id is the empty string; repeated documents are judged each for itself.
@@ -28,51 +28,102 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, shared_folder, small_batches, table
+from .common import LOWER, UPPER, cut, shared_folder, small_batches, table
+from .hashing import words
 
-WINDOW, BLOCK, CHUNK = 10, 4 << 20, 8 << 20
+WINDOW, BLOCK, CHUNK, PORTION = 10, 4 << 20, 8 << 20, 1 << 19
 #: Span in words, and number of an item's rarest terms that must meet in it, for a proximity match.
 NEAR_SPAN, NEAR_TERMS = 12, 4
 #: Word bytes: 0-9, a-z and all above 0x7F; A-Z become a-z; all others end a word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SHIFT = 32
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+_PARTS = ("starts", "sizes", "terms", "first", "positions")
+
+
+def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of its text) of every word; about PORTION bytes are hashed at a time."""
+    data = [(t or "").encode("utf-8", "surrogatepass").translate(_WORDS) for t in texts]
+    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    while at < len(data):
+        size, stop = len(data[at]), at + 1
+        while stop < len(data) and size + len(data[stop]) <= PORTION:
+            size += len(data[stop])
+            stop += 1
+        own = data[at:stop]
+        h, row = words(np.frombuffer(b"".join(own), np.uint8), np.cumsum([len(d) for d in own]).astype(np.int64), lower=False)
+        parts.append((h, row + at))
+        at = stop
+    h, row = zip(*parts, strict=True)
+    return np.concatenate(h), np.concatenate(row)
 
 
 class Questions:
     """A chunk of the benchmark: its terms, distinct windows by length, the items of each, and the items' own terms."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        self.vocab: dict[bytes, int] = {}
+        h, row = terms_of([t for _, t in items])
+        self.terms, ids = np.unique(h, return_inverse=True)
+        first = np.searchsorted(row, np.arange(len(items) + 1))
         by: dict[tuple[int, ...], set[int]] = {}
         names: dict[str, int] = {}
-        self.terms: dict[int, set[int]] = {}
-        for ident, text in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab)) for w in words(text))
+        self.own: dict[int, set[int]] = {}
+        for i, (ident, _) in enumerate(items):
+            own = tuple(ids[first[i] : first[i + 1]].tolist())
             k = names.setdefault(ident, len(names))
-            n = min(window, len(ids))
+            n = min(window, len(own))
             if n:
-                self.terms.setdefault(k, set()).update(ids)
-                for i in range(len(ids) - n + 1):
-                    by.setdefault(ids[i : i + n], set()).add(k)
+                self.own.setdefault(k, set()).update(own)
+                for j in range(len(own) - n + 1):
+                    by.setdefault(own[j : j + n], set()).add(k)
         self.names = list(names)
         self.lengths = {}
         for n in sorted({len(w) for w in by}):
-            own = [w for w in by if len(w) == n]
-            self.lengths[n] = (np.array(own, np.int64), [sorted(by[w]) for w in own])
+            rows = [w for w in by if len(w) == n]
+            self.lengths[n] = (np.array(rows, np.int64), [sorted(by[w]) for w in rows])
 
 
-class Index:
-    """Positional postings of a block: keys of (term, position), sorted."""
+class Postings:
+    """A block's index: its documents' first positions and numbers of words, its terms, and each term's positions in turn.
+
+    Documents are NEAR_SPAN positions apart, so no match crosses them.
+    """
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, first: np.ndarray, positions: np.ndarray) -> None:
+        self.starts, self.sizes, self.terms, self.first, self.positions = starts, sizes, terms, first, positions
 
-    def __init__(self, ids: np.ndarray, terms: int) -> None:
-        at = np.flatnonzero(ids >= 0)
-        self.keys = np.sort((ids[at].astype(np.int64) << _SHIFT) | at)
-        self.first = np.searchsorted(self.keys, np.arange(terms + 1, dtype=np.int64) << _SHIFT)
-        self.count = np.diff(self.first)
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Postings:
+        h, row = terms_of(texts)
+        sizes = np.bincount(row, minlength=len(texts))
+        starts = np.cumsum(sizes + NEAR_SPAN) - sizes - NEAR_SPAN
+        at = np.arange(len(h)) + NEAR_SPAN * row
+        order = np.argsort(h, kind="stable")
+        terms, first = np.unique(h[order], return_index=True)
+        return cls(starts, sizes, terms, np.append(first, len(h)), at[order])
+
+    def packed(self) -> list[bytes]:
+        return [self.starts.astype(np.uint32).tobytes(), self.sizes.astype(np.uint32).tobytes(), self.terms.tobytes(), self.first.astype(np.uint32).tobytes(), self.positions.astype(np.uint32).tobytes()]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Postings:
+        kinds = (np.uint32, np.uint32, np.uint64, np.uint32, np.uint32)
+        return cls(*(np.frombuffer(p, k) if k is np.uint64 else np.frombuffer(p, k).astype(np.int64) for p, k in zip(parts, kinds, strict=True)))
+
+
+class Index:
+    """A block's postings of a chunk's terms, by the chunk's numbers: keys of (term, position), sorted."""
+
+    def __init__(self, block: Postings, terms: np.ndarray) -> None:
+        at = np.searchsorted(block.terms, terms)
+        there = np.flatnonzero(at < len(block.terms))
+        there = there[block.terms[at[there]] == terms[there]]
+        lo, hi = block.first[at[there]], block.first[at[there] + 1]
+        n = hi - lo
+        self.count = np.zeros(len(terms), np.int64)
+        self.count[there] = n
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+        take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.keys = np.repeat(there, n) << _SHIFT | block.positions[take]
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -92,7 +143,7 @@ class Index:
             n = rare[own]
             w = np.repeat(own, n)
             term = windows[live[own], order[own, 0]]
-            at = np.repeat(self.first[term] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            at = np.repeat(self.first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             start = (self.keys[at] & ((1 << _SHIFT) - 1)) - order[w, 0]
             for j in range(1, windows.shape[1]):
                 off = order[w, j]
@@ -111,35 +162,31 @@ class Index:
         return at
 
 
-def answers(block: list[list[bytes]], q: Questions, near: bool) -> tuple[list[np.ndarray], list[set[str]], list[set[str]]]:
+def answers(block: Postings, q: Questions, near: bool) -> tuple[list[np.ndarray], list[set[str]], list[set[str]]]:
     """Of each document of a block: hit word positions, items with exact matches, items with proximity matches."""
-    get, ids, starts = q.vocab.get, [], []
-    for doc in block:
-        starts.append(len(ids))
-        ids += [get(w, -1) for w in doc]
-        ids += [-1] * NEAR_SPAN  # no match crosses documents
-    first = np.array(starts)
-    ids = np.array(ids, np.int32)
-    exact: list[set[str]] = [set() for _ in block]
-    close: list[set[str]] = [set() for _ in block]
-    change = np.zeros(len(ids) + WINDOW + 1, np.int32) if not q.lengths else np.zeros(len(ids) + max(q.lengths) + 1, np.int32)
-    if (ids >= 0).any():
-        index = Index(ids, len(q.vocab))
-        for n, (windows, items) in q.lengths.items():
-            for w, start in index.phrases(windows):
-                np.add.at(change, start, 1)
-                np.add.at(change, start + n, -1)
-                doc = np.searchsorted(first, start, "right") - 1
-                for d, x in {*zip(doc.tolist(), w.tolist(), strict=True)}:
-                    exact[d].update(q.names[i] for i in items[x])
-        if near:
-            for item, terms in q.terms.items():
-                if all(index.count[t] for t in terms) or sum(index.count[t] > 0 for t in terms) >= NEAR_TERMS:
-                    rare = sorted((t for t in terms if index.count[t]), key=lambda t: index.count[t])[:NEAR_TERMS]
-                    for d in set((np.searchsorted(first, index.near(rare, NEAR_SPAN), "right") - 1).tolist()):
-                        close[d].add(q.names[item])
-    hit = np.cumsum(change)[: len(ids)] > 0
-    return [np.flatnonzero(hit[s : s + len(doc)]) for s, doc in zip(starts, block, strict=True)], exact, close
+    many = len(block.starts)
+    exact: list[set[str]] = [set() for _ in range(many)]
+    close: list[set[str]] = [set() for _ in range(many)]
+    index = Index(block, q.terms)
+    if not len(index.keys):
+        return [np.zeros(0, np.int64) for _ in range(many)], exact, close
+    change = np.zeros(int(block.starts[-1] + block.sizes[-1]) + 2, np.int32)
+    for n, (windows, items) in q.lengths.items():
+        for w, start in index.phrases(windows):
+            np.add.at(change, start, 1)
+            np.add.at(change, start + n, -1)
+            doc = np.searchsorted(block.starts, start, "right") - 1
+            for d, x in {*zip(doc.tolist(), w.tolist(), strict=True)}:
+                exact[d].update(q.names[i] for i in items[x])
+    if near:
+        for item, own in q.own.items():
+            there = [t for t in own if index.count[t]]
+            if len(there) == len(own) or len(there) >= NEAR_TERMS:
+                rare = sorted(there, key=lambda t: index.count[t])[:NEAR_TERMS]
+                for d in set((np.searchsorted(block.starts, index.near(rare, NEAR_SPAN), "right") - 1).tolist()):
+                    close[d].add(q.names[item])
+    hit = np.cumsum(change) > 0
+    return [np.flatnonzero(hit[s : s + n]) for s, n in zip(block.starts, block.sizes, strict=True)], exact, close
 
 
 def chunks(benchmark: DataFrame, chunk_bytes: int = CHUNK) -> list[str]:
@@ -166,22 +213,48 @@ def questions(path: str, window: int) -> Questions:
     return _HERE[path, window]
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, near: bool = True, block_bytes: int = BLOCK, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Of every row of docs (key, text): key, n_words, n_hit, hits (start and stop of hit runs, in words), items and near_items, sorted."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    paths = chunks(benchmark, chunk_bytes)
+def indexed(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK) -> DataFrame:
+    """The index of docs (key, text), a row a block, in the shared folder."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), "text")
+    names = ["keys", *_PARTS]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, size, kind = [], [], 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(kind)), *(pa.array([x], pa.binary()) for x in Postings.of(texts).packed())], names)
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys.append(k)
+                texts.append(t)
+                size += len(t or "") + 64
+                if size >= block_bytes:
+                    yield done()
+                    keys, texts, size = [], [], 0
+        if keys:
+            yield done()
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return cut(rows.mapInArrow(f, f"keys array<{kind}>, " + ", ".join(f"{c} binary" for c in _PARTS)), "index", "zstd")
+
+
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = True, chunk_bytes: int = CHUNK) -> DataFrame:
+    """Of every document of an index: key, n_words, n_hit, hits (start and stop of hit runs, in words), items and near_items, sorted."""
+    spark = index.sparkSession
+    paths = chunks(benchmark, chunk_bytes)
     runs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     names = ["key", "n_words", "n_hit", "hits", "items", "near_items"]
 
-    def done(keys: list, block: list[list[bytes]], kind: pa.DataType) -> pa.RecordBatch:
-        hits: list = [np.zeros(0, np.int64) for _ in block]
-        exact: list[set[str]] = [set() for _ in block]
-        close: list[set[str]] = [set() for _ in block]
+    def done(keys: pa.Array, block: Postings) -> pa.RecordBatch:
+        hits: list = [np.zeros(0, np.int64) for _ in keys]
+        exact: list[set[str]] = [set() for _ in keys]
+        close: list[set[str]] = [set() for _ in keys]
         for p in paths:
             a, b, c = answers(block, questions(p, window), near)
-            for i in range(len(block)):
+            for i in range(len(keys)):
                 hits[i] = np.union1d(hits[i], a[i]) if len(paths) > 1 else a[i]
                 exact[i] |= b[i]
                 close[i] |= c[i]
@@ -189,41 +262,38 @@ def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window:
         for h in hits:
             edge = np.flatnonzero(np.diff(h) > 1)
             spans.append([{"start": int(x), "stop": int(y) + 1} for x, y in zip(h[np.concatenate(([0], edge + 1))], h[np.concatenate((edge, [len(h) - 1]))], strict=True)] if len(h) else [])
-        cols = [pa.array(keys, kind), pa.array([len(d) for d in block], pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(spans, runs), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in close], pa.list_(pa.string()))]
+        cols = [keys, pa.array(block.sizes, pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(spans, runs), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in close], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(cols, names)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, block, size, kind = [], [], 0, None
         for b in batches:
-            kind = b.schema.field(0).type
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py()
-                keys.append(k)
-                block.append(words(text))
-                size += len(text or "") + 64
-                if size >= block_bytes:
-                    yield done(keys, block, kind)
-                    keys, block, size = [], [], 0
-        if keys:
-            yield done(keys, block, kind)
+            for i in range(b.num_rows):
+                yield done(b.column(0)[i].values, Postings.unpacked([b.column(j)[i].as_py() for j in range(1, b.num_columns)]))
+
+    kind = index.schema["keys"].dataType.elementType.simpleString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a block
+    out = index.mapInArrow(f, f"key {kind}, n_words long, n_hit long, hits array<struct<start:long,stop:long>>, items array<string>, near_items array<string>")
+    return out
 
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_words long, n_hit long, hits array<struct<start:long,stop:long>>, items array<string>, near_items array<string>"
-    return rows.mapInArrow(f, schema).withColumnRenamed("key", key)
+
+def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, near: bool = True, block_bytes: int = BLOCK, chunk_bytes: int = CHUNK) -> DataFrame:
+    """search() of the index of docs, a row for every row of docs (key, text)."""
+    return search(indexed(docs, key, block_bytes), benchmark, window, near, chunk_bytes).withColumnRenamed("key", key)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any benchmark window, all columns kept."""
+    """The rows of docs without any benchmark window, all columns kept. Each Arrow batch is a block, indexed and asked at once."""
     spark = docs.sparkSession
     small_batches(spark)
     paths, at = chunks(benchmark), docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block = [words(t.as_py()) for t in b.column(at)]
-            clean = np.ones(len(block), bool)
-            for p in paths:
-                clean &= [not len(h) for h in answers(block, questions(p, WINDOW), False)[0]] if block else clean
-            yield b.filter(pa.array(clean))
+            if b.num_rows:
+                block, clean = Postings.of(b.column(at).to_pylist()), np.ones(b.num_rows, bool)
+                for p in paths:
+                    clean &= [not len(h) for h in answers(block, questions(p, WINDOW), False)[0]]
+                yield b.filter(pa.array(clean))
 
     return docs.mapInArrow(f, docs.schema)
 
