@@ -77,9 +77,9 @@ def removed(docs, length=100):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_suffix_dedup_is_brute_force(spark, corpus, parts):
-    got = suffix_dedup.deduplicated(frame(spark, corpus, parts)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+@pytest.mark.parametrize(("parts", "hot"), [(1, 4096), (4, 4096), (4, 3)])
+def test_suffix_dedup_is_brute_force(spark, corpus, parts, hot):
+    got = suffix_dedup.deduplicated(frame(spark, corpus, parts), hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     want = [(d, *r) for (d, _), r in zip(corpus, removed(corpus))]
     assert Counter(map(tuple, got)) == Counter(want)
     assert sum(r[2] for r in got) > 10_000
@@ -445,7 +445,7 @@ def test_quality_model_is_kneser_ney(spark):
     good = {r.doc_id for r in quality_classifier.trusted(lb).collect()}
     picked = {r.doc_id for r in df.where(quality_classifier.picked(share)).select("doc_id").collect()} & good
     assert 0.3 < len(picked) / len(good) < 0.7 and share == {"en": 0.5, "de": 0.5}
-    got = {r.doc_id: r._log10_prob for r in quality_classifier.scored(df, model).collect()}
+    got = {r.doc_id: r._log10_prob for r in quality_classifier.scored(df, quality_classifier.shipped(spark, model)).collect()}
     for lang in ("en", "de"):
         own = [d for d in docs if d[2] == lang]
         want = kneser_ney([d[1] for d in docs if d[2] == lang and d[0] in picked], [d[1] for d in own])
@@ -569,9 +569,50 @@ def test_lm_state_is_carried():
         assert got[i] == pytest.approx(total, rel=1e-4)
 
 
+# --- very long texts
+
+
+def test_texts_longer_than_any_portion(spark):
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice(SYLLABLES) for _ in range(3)) + str(rng.randrange(1000)) for _ in range(220_000)) + " token=abcdefgh1"
+    n = len(long.encode())
+    assert n > 2 * suffix_dedup.CHUNK
+    df = spark.createDataFrame([(1, long), (2, long), (3, "short")], "doc_id long, text string")
+    gone = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.deduplicated(df).drop("kept", "spans").collect()}
+    assert gone == {1: (n, 0, 0), 2: (n, n, 1), 3: (5, 0, 0)}
+    assert {r.doc_id: r.component_id for r in jaccard_join.joined(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: [f.stop for f in r.found] for r in secret_scans.scan(df).collect()} == {1: [len(long)], 2: [len(long)], 3: []}
+    item = spark.createDataFrame([(9, " ".join(long.split()[150_000:150_030]))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.matched(df, item).drop("hits").collect()}
+    assert got[1].n_words == len(ITEM.findall(low(long).decode())) and got[2].n_hit >= 30 and got[3].n_hit == 0
+    scores = {r.doc_id: r for r in lm_scoring.score(df).collect()}
+    assert scores[1].n_tokens == 220_002 and scores[1].score == pytest.approx(scores[2].score) and math.isfinite(scores[1].score)
+
+
 # --- pipeline
 
 
+def test_pipeline_with_clashing_names_nulls_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs, labels = labelled()
+    extra = ["size", "target", "copies", "copy", "_perplexity", "_kept", "component_id", "id", "row", "n", "key", "found"]
+    rows = [(i, t, lang, None if i % 5 == 0 else "s", len(t or ""), *range(len(extra))) for i, t, lang, _ in docs] + [(None, None, None, None, None, *[None] * len(extra))]
+    kinds = ", ".join(f"`{c}` int" for c in extra)
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {kinds}").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    frame_ = spark.read.parquet(f"{sf}/documents.parquet")
+    for empty in (False, True):
+        now = frame_.limit(0) if empty else frame_
+        for _, stage in cp.STAGES:
+            columns = now.columns
+            now = cp.cut(stage(spark, now, sf))
+        assert now.columns[: len(columns)] == columns and now.columns[len(columns) :] == ["_copy", "_size", "source_size", "_target"]
+        assert (now.count() == 0) == empty
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
