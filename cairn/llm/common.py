@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lower_bytes(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z (no other letter) in lower case; a null text is empty."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER)
@@ -55,8 +64,9 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def release() -> None:
-    """Returns a worker's freed memory to the system, where the C library can, before the worker's next task."""
+    """Returns a process's freed memory to the system, where the C library can: a worker's before its next task, the driver's after a fit."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
