@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, UPPER, components, cut, lower_bytes, small_batches, table
+from .common import LOWER, UPPER, components, cut, lower_bytes, small_batches, table, unused
 from .hashing import A, B, mixed, shingles
 
 SLOTS, SLICE, FAN_IN, PORTION, HUB_ROUNDS = 1 << 18, 1 << 12, 64, 1 << 20, 3
@@ -182,9 +182,9 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
     member = cut(member.select("h", "id", "f", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos")), "members")
     texts = cut(own.join(member.select("id").distinct(), "id"), "texts")
 
-    state, done, comp = cut(links, "links"), None, None
+    state, done = cut(links, "links"), None
+    comp = components(state)
     for round_ in range(HUB_ROUNDS + 1):
-        comp = components(state)
         lead = member.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         lead = lead.withColumn("open", F.min("component").over(by) != F.max("component").over(by)).where("open").drop("open")
         if round_ < HUB_ROUNDS:
@@ -202,13 +202,12 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
             pairs = pairs.join(done, ["fa", "fb"], "left_anti").join(done.select(F.col("fa").alias("fb"), F.col("fb").alias("fa")), ["fa", "fb"], "left_anti")
         pairs = cut(pairs, "pairs")
         if pairs.isEmpty():
-            if round_ == HUB_ROUNDS:
-                break
             continue
         found = cut(verified(pairs.select("a", "fa", "b", "fb"), texts, size, per_cent), "links")
         done = pairs.select("fa", "fb") if done is None else done.unionByName(pairs.select("fa", "fb"))
-        state = state.unionByName(found)
-    comp = components(state)
+        if not found.isEmpty():
+            state = state.unionByName(found)
+            comp = components(state)
     out = rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
@@ -216,10 +215,10 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
 def representatives(docs: DataFrame, size: int = 3, per_cent: int = 90) -> DataFrame:
     """The rows of docs (doc_id, text and more) with the least doc_id of their component; of rows that repeat doc_id and text, one. A null doc_id is kept."""
     gone = joined(docs, "doc_id", size, per_cent).where("doc_id <> component_id").select("doc_id").distinct()
+    copy = unused("copy", docs.columns)
     once = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    named = F.row_number().over(once).alias("_copy")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns, named).where("_copy = 1 or doc_id is null").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn(copy, F.row_number().over(once))
+    return kept.where((F.col(copy) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
