@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut, table
+from .common import WORD, cut, table, unused
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 20240917
 #: Rows that one task rounds in sequence.
@@ -113,8 +113,9 @@ def rounded(seed: int, level: int, last: bool):
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, bucket: int = BUCKET, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, size, source_size, target, copies and taken (copies times size) of every row of docs (doc_id, text, source)."""
-    sized = sizes(docs.select(*dict.fromkeys([*keep, "source", "text"]))).select(*[F.col(c).alias(f"k_{c}") for c in keep], "source", "size", F.xxhash64(*keep, F.lit(seed)).alias("order"), F.monotonically_increasing_id().alias("row"))
+    """keep, size, source_size, target, copies and taken (copies times size) of every row of docs (text, source and keep). Measures whose name keep has get underscores before it."""
+    named = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], "source", "text", F.xxhash64(*keep, F.lit(seed)).alias("order"), F.monotonically_increasing_id().alias("row"))
+    sized = sizes(named).drop("text")
     sized = cut(sized, "sizes")  # row numbers hold from here on; only they, sources and sizes go through the tree
     by = targets(sized, weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
@@ -140,7 +141,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         out = out.unionByName(more)
     copies = (F.col("base") + F.round("p")).cast("long")
     out = out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-    return sized.select("row", *[f"k_{c}" for c in keep]).join(out, "row").select(*[F.col(f"k_{c}").alias(c) for c in keep], "size", "source_size", "target", "copies", "taken")
+    return sized.select("row", *[f"k_{c}" for c in keep]).join(out, "row").select(*[F.col(f"k_{c}").alias(c) for c in keep], *[F.col(c).alias(unused(c, list(keep))) for c in ("size", "source_size", "target", "copies", "taken")])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

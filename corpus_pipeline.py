@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, jaccard_join, mixing, quality_classifier, secret_scans
-from cairn.llm.common import cut, table
+from cairn.llm.common import cut, table, unused
 
 #: Near copies share words in shingles of five with a similarity of 0.8 or more.
 SHINGLE, SIMILAR = 5, 80
@@ -39,8 +39,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix takes, numbered from 1 in copy, with its size."""
     taken = mixing.mix(docs, keep=tuple(docs.columns))
-    copies = taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return copies.select(*docs.columns, "copy", "size", "source_size", "target")
+    many, copy = unused("copies", docs.columns), unused("copy", docs.columns)
+    copies = taken.where(F.col(many) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many).cast("int"))))
+    return copies.select(*docs.columns, copy, *[unused(c, docs.columns) for c in ("size", "source_size", "target")])
 
 
 STAGES = [("quality_classifier", quality), ("jaccard_join", near_copies), ("decontamination", decontaminate), ("secret_scans", redact), ("mixing", mix)]
