@@ -4,7 +4,9 @@ The index is partitioned by document, as search engines do it: each block of doc
 texts, the sorted list of its token positions, in the shared folder. A benchmark window is answered from its rarest term
 in a block: the term's positions, less its offset in the window, are the candidate starts, which are intersected with the
 other terms' offset-adjusted lists in the order of their frequency, by binary search. What is left is an exact phrase
-match. Proximity matches ask for the rarest terms of an item within a span of words, from the rarest one's list as well.
+match. A proximity match holds for a window if some NEAR_SPAN words of a document hold all of its words but one in
+NEAR_MISS, each as often as the window does, in any order: reordered, interrupted and edited passages. It asks for no rarity,
+so it is the same in any block; candidates come from as many of the block's rarest terms of the window as can't all be missing.
 Nothing is shuffled, and a window that one third of the documents holds costs its block no more than its own matches.
 
 The benchmark is written to the shared folder in chunks of bounded size; each block is asked chunk after chunk, so
@@ -32,8 +34,8 @@ from .common import LOWER, UPPER, cut, shared_folder, small_batches, table
 from .hashing import words
 
 WINDOW, BLOCK, CHUNK, PORTION = 10, 4 << 20, 8 << 20, 1 << 19
-#: Span in words, and number of an item's rarest terms that must meet in it, for a proximity match.
-NEAR_SPAN, NEAR_TERMS = 12, 4
+#: Span in words for a proximity match, and one in how many of a window's words may be missing in it.
+NEAR_SPAN, NEAR_MISS = 20, 5
 #: Word bytes: 0-9, a-z and all above 0x7F; A-Z become a-z; all others end a word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SHIFT = 32
@@ -58,7 +60,7 @@ def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Questions:
-    """A chunk of the benchmark: its terms, distinct windows by length, the items of each, and the items' own terms."""
+    """A chunk of the benchmark: its terms, distinct windows by length, and the items of each."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
         h, row = terms_of([t for _, t in items])
@@ -66,13 +68,11 @@ class Questions:
         first = np.searchsorted(row, np.arange(len(items) + 1))
         by: dict[tuple[int, ...], set[int]] = {}
         names: dict[str, int] = {}
-        self.own: dict[int, set[int]] = {}
         for i, (ident, _) in enumerate(items):
             own = tuple(ids[first[i] : first[i + 1]].tolist())
             k = names.setdefault(ident, len(names))
             n = min(window, len(own))
             if n:
-                self.own.setdefault(k, set()).update(own)
                 for j in range(len(own) - n + 1):
                     by.setdefault(own[j : j + n], set()).add(k)
         self.names = list(names)
@@ -151,15 +151,43 @@ class Index:
                 w, start = w[ok], start[ok]
             yield live[w], start
 
-    def near(self, terms: list[int], span: int) -> np.ndarray:
-        """Positions of the rarest of terms that have all the others within span words, on one side or both."""
-        order = sorted(terms, key=lambda t: self.count[t])
-        at = self.keys[self.first[order[0]] : self.first[order[0] + 1]] & ((1 << _SHIFT) - 1)
-        for t in order[1:]:
-            own = self.keys[self.first[t] : self.first[t + 1]] & ((1 << _SHIFT) - 1)
-            lo, hi = np.searchsorted(own, at - span), np.searchsorted(own, at + span, "right")
-            at = at[hi > lo]
-        return at
+    def near(self, windows: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, position of one of its words) of every proximity match, in portions of about most candidates; a match may come more than once.
+
+        A span that lacks at most m words of a window holds one of its m + 1 rarest ones. The first that it holds is the
+        candidate, so that those before it count as missing.
+        """
+        width, mask = windows.shape[1], (1 << _SHIFT) - 1
+        miss = width // NEAR_MISS
+        nth = np.array([[(w[:j] == w[j]).sum() for j in range(width)] for w in windows])  # how many of the word must be there before
+        live = np.flatnonzero((self.count[windows] > nth).sum(1) >= width - miss)
+        if not len(live):
+            return
+        order = np.argsort(self.count[windows[live]], axis=1, kind="stable")
+        terms, nth = np.take_along_axis(windows[live], order, 1), np.take_along_axis(nth[live], order, 1)
+        words_ = np.full(int((self.keys & mask).max()) + 2 * NEAR_SPAN, -1, np.int64)  # by position, NEAR_SPAN further on
+        words_[(self.keys & mask) + NEAR_SPAN] = self.keys >> _SHIFT
+        for j in range(miss + 1):
+            rare = np.where(nth[:, j] == 0, self.count[terms[:, j]], 0)
+            part = np.cumsum(rare) // most
+            for k in np.unique(part):
+                own = np.flatnonzero((part == k) & (rare > 0))
+                n = rare[own]
+                w = np.repeat(own, n)
+                at = self.keys[np.repeat(self.first[terms[own, j]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] & mask
+                lacks = np.full(len(w), j)
+                for i in range(j + 1, width):
+                    t = terms[w, i]
+                    to = np.searchsorted(self.keys, (t << _SHIFT) + np.maximum(at - NEAR_SPAN + 1, 0)) + nth[w, i]
+                    lacks += ~((to < self.first[t + 1]) & (self.keys[np.minimum(to, len(self.keys) - 1)] <= (t << _SHIFT) + at + NEAR_SPAN - 1))
+                    ok = lacks <= miss
+                    w, at, lacks = w[ok], at[ok], lacks[ok]
+                for a in range(0, len(w), 1 << 14):  # all spans of NEAR_SPAN words with the candidate in them
+                    x, y = w[a : a + (1 << 14)], at[a : a + (1 << 14)]
+                    there = words_[y[:, None] + np.arange(1, 2 * NEAR_SPAN)][:, None] == terms[x][:, :, None]
+                    sums = np.concatenate((np.zeros((*there.shape[:2], 1), np.int8), np.cumsum(there, 2, dtype=np.int8)), 2)
+                    full = ((sums[:, :, NEAR_SPAN:] - sums[:, :, :-NEAR_SPAN]) > nth[x][:, :, None]).sum(1).max(1) >= width - miss
+                    yield live[x[full]], y[full]
 
 
 def answers(block: Postings, q: Questions, near: bool) -> tuple[list[np.ndarray], list[set[str]], list[set[str]]]:
@@ -179,12 +207,11 @@ def answers(block: Postings, q: Questions, near: bool) -> tuple[list[np.ndarray]
             for d, x in {*zip(doc.tolist(), w.tolist(), strict=True)}:
                 exact[d].update(q.names[i] for i in items[x])
     if near:
-        for item, own in q.own.items():
-            there = [t for t in own if index.count[t]]
-            if len(there) == len(own) or len(there) >= NEAR_TERMS:
-                rare = sorted(there, key=lambda t: index.count[t])[:NEAR_TERMS]
-                for d in set((np.searchsorted(block.starts, index.near(rare, NEAR_SPAN), "right") - 1).tolist()):
-                    close[d].add(q.names[item])
+        for windows, items in q.lengths.values():
+            for w, at in index.near(windows):
+                doc = np.searchsorted(block.starts, at, "right") - 1
+                for d, x in {*zip(doc.tolist(), w.tolist(), strict=True)}:
+                    close[d].update(q.names[i] for i in items[x])
     hit = np.cumsum(change) > 0
     return [np.flatnonzero(hit[s : s + n]) for s, n in zip(block.starts, block.sizes, strict=True)], exact, close
 
@@ -304,6 +331,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's items with exact and with proximity matches; beyond op9_decontamination's columns, which its SQL gives."""
+    got = matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    count = lambda c: F.size(c).cast("long")
+    return got.select("doc_id", "n_words", "n_hit", count("items").alias("n_items"), count("near_items").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"), (count("near_items") > 0).alias("near"))
+
+
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

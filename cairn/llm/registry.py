@@ -12,6 +12,7 @@ QUERIES = {
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op9_proximity": decontamination.op9_proximity,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 ORACLES = {

@@ -510,6 +510,50 @@ def test_decontamination_proximity_and_empty_tables(spark):
     assert decontamination.matched(docs.limit(0), bench).count() == 0
 
 
+def near_of(text, items):
+    """Items with a window all of whose words but one in five are in some 20 words of a text."""
+    w, out = ITEM.findall(low(text).decode()), set()
+    for ident, t in items:
+        own = ITEM.findall(low(t).decode())
+        n = min(10, len(own))
+        for j in range(len(own) - n + 1 if n else 0):
+            want = Counter(own[j : j + n])
+            if any((want & Counter(w[s : s + 20])).total() >= n - n // 5 for s in range(max(1, len(w) - 19))):
+                out.add("" if ident is None else str(ident))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [8 << 20, 400])
+def test_proximity_is_brute_force(spark, corpus, chunk):
+    rng = random.Random(9)
+    texts = [t for _, t in corpus if t and len(t.split()) > 30]
+    items = [(i, " ".join(rng.choice(texts).split()[5 : 5 + rng.randint(3, 25)])) for i in range(12)] + [(50, "one"), (7, "two, words"), (51, None), (None, "a b a b")]
+    edited = []
+    for i, (_, t) in enumerate(items[:12]):
+        w = t.split()
+        edited += [(600 + i, " ".join(rng.sample(w, len(w)))), (620 + i, " uh ".join(w)), (640 + i, " ".join("uh" if k % 6 == 2 else x for k, x in enumerate(w))), (660 + i, t)]
+    docs = corpus[:90] + edited + [(700, "b a"), (701, "b x a x b x a")]
+    got = decontamination.matched(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), chunk_bytes=chunk, block_bytes=4000).collect()
+    assert Counter((r.doc_id, tuple(r.near_items)) for r in got) == Counter((d, tuple(near_of(t, items))) for d, t in docs)
+    assert all(set(r["items"]) <= set(r.near_items) for r in got)
+
+
+def test_proximity_finds_long_items_in_any_block(spark, tmp_path):
+    rng = random.Random(10)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(50))) for i in range(20)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        swapped = [x for k in range(0, 50, 2) for x in (w[k + 1], w[k])]
+        docs += [(i, t), (100 + i, " ".join(swapped)), (200 + i, " so ".join(w)), (300 + i, " ".join("no" if k % 6 == 5 else x for k, x in enumerate(w))), (400 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(50)))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in decontamination.op9_proximity(spark, str(tmp_path)).collect()}
+    assert all(got[d].n_near == 1 for d in got if d < 400) and not any(got[d].near for d in got if d >= 400)
+    assert all(got[100 + i].n_items == got[200 + i].n_items == got[300 + i].n_items == 0 for i in range(20))
+
+
+
 # --- 10
 
 
