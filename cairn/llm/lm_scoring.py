@@ -8,9 +8,10 @@ a word that every document holds costs one entry a block.
 Model. A GRU reads the most frequent VOCABULARY words; all other words are one of a few shapes (length, letters beyond
 ASCII, punctuation at the end), and the end is a token too. Its output softmax is factored by class: first the class,
 then the member. A word known by its shape only gets its share of the shape's words, (c + 1) of all of theirs plus one.
-Training is truncated backpropagation in numpy: windows of WINDOW tokens, the state carried from one to the next. It
-starts on a sample of WARM bytes in one task; then every task trains on segments of each of its training documents (one
-for each EVERY tokens, at hashed places, at least one), and the tasks' parameters are averaged by weight in a tree.
+Training is truncated backpropagation in numpy over every token of every training document: a task's documents run in
+LANES lanes side by side, window by window of WINDOW tokens, the state carried from one to the next up to a document's end. All
+tasks start from one model, trained on whole documents of about WARM bytes in one task, and their parameters are averaged by
+their numbers of tokens in a tree.
 
 Scores. Each block runs its documents side by side, longest first, window by window, with the state carried to the end
 of each document, so the likelihood is the whole document's, however long it is.
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, lower_bytes, shards, small_batches, table
-from .hashing import mixed, words
+from .hashing import words
 from .quality_classifier import Lookup
 
-BLOCK, PORTION, WINDOW, EVERY, WARM, SEED = 16 << 20, 1 << 20, 24, 768, 4 << 20, 5
-VOCABULARY, SHAPES, CLASSES, HIDDEN, BATCH, RATE, FAN_IN = 495, 16, 32, 16, 128, 0.01, 64
+BLOCK, PORTION, WINDOW, WARM, SEED = 16 << 20, 1 << 20, 24, 4 << 20, 5
+VOCABULARY, SHAPES, CLASSES, HIDDEN, LANES, RATE, FAN_IN = 495, 16, 32, 16, 128, 0.01, 64
 OUTPUTS = VOCABULARY + SHAPES + 1
 END, END_SHAPE = np.uint64(0xE2D5E2D5), 255
 _STOPS = np.zeros(256, bool)
@@ -214,19 +215,27 @@ class Gru:
         return (out, grad, dh) if back else out
 
     def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-        """One window [time, row] of truncated backpropagation and an Adam step; the state to carry and the mean loss."""
+        """One window [time, row] of truncated backpropagation and an Adam step; the state to carry and the mean loss.
+
+        The state is cleared where x is the start; a y below 0 is no target.
+        """
         steps, rows = x.shape
-        kept, gates = [h], []
+        goes_on = (x != OUTPUTS)[:, :, None]
+        befores, afters, gates = [], [], []
         for t in range(steps):
-            h, *g = self.step(self.p["x"][x[t]], h)
-            kept.append(h)
+            befores.append(h * goes_on[t])
+            h, *g = self.step(self.p["x"][x[t]], befores[-1])
+            afters.append(h)
             gates.append(g)
-        log, grad, dh = self.output(np.concatenate(kept[1:]), y.ravel(), True)
+        real = np.flatnonzero(y.ravel() >= 0)
+        log, grad, part = self.output(np.concatenate(afters)[real], y.ravel()[real], True)
+        dh = np.zeros((steps * rows, HIDDEN), part.dtype)
+        dh[real] = part
         dh = dh.reshape(steps, rows, HIDDEN)
         dx = np.empty((steps, rows, 3 * HIDDEN), np.float32)
         du, carry = np.zeros_like(self.p["u"]), np.zeros((rows, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
-            (r, z, n, c), before = gates[t], kept[t]
+            (r, z, n, c), before = gates[t], befores[t]
             d = dh[t] + carry
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (before - n) * z * (1 - z)
@@ -234,7 +243,7 @@ class Gru:
             dx[t] = np.concatenate((dr, dz, dn), 1)
             da = np.concatenate((dr, dz, dn * r), 1)
             du += before.T @ da
-            carry = d * z + da @ self.p["u"].T
+            carry = (d * z + da @ self.p["u"].T) * goes_on[t]
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
@@ -242,7 +251,7 @@ class Gru:
         gx[ids[order[first]]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first)
         grad |= {"x": gx, "u": du}
         self.t += 1
-        scale = 1 / (rows * steps)
+        scale = 1 / len(real)
         for k, g in grad.items():
             g = g * scale
             self.m[k] += 0.1 * (g - self.m[k])
@@ -262,52 +271,75 @@ class Gru:
         return cls(out)
 
 
-def segments(ids: np.ndarray, row: np.ndarray, every: int, seed: int) -> np.ndarray:
-    """Inputs and targets [segment, 2 windows + 1] of documents' tokens: one for each `every` tokens, at hashed places; short ones are filled up with ends."""
-    first = np.searchsorted(row, np.unique(row))
-    size = np.diff(np.append(first, len(row)))
-    many = 1 + size // every
-    doc = np.repeat(np.arange(len(size)), many)
-    draw = mixed((np.arange(len(doc), dtype=np.uint64) << np.uint64(20)) + np.uint64(seed) + size[doc].astype(np.uint64))
-    span = 2 * WINDOW
-    start = (draw % np.maximum(size[doc] - span + 1, 1).astype(np.uint64)).astype(np.int64)
-    at = start[:, None] + np.arange(-1, span)
-    out = ids[np.minimum(first[doc][:, None] + np.maximum(at, 0), len(ids) - 1)]
-    out[at >= size[doc][:, None]] = OUTPUTS - 1
-    out[at < 0] = OUTPUTS  # the start
-    return out
-
-
-def train(model: Gru, parts: np.ndarray, rate: float, rng: np.random.Generator) -> float:
-    loss = []
-    parts = parts[rng.permutation(len(parts))]
-    for i in range(0, len(parts), BATCH):
-        own = parts[i : i + BATCH].T
-        h = np.zeros((own.shape[1], HIDDEN), np.float32)
-        for w in range(2):  # the state is carried, the gradient isn't
-            h, one = model.learn(own[w * WINDOW : (w + 1) * WINDOW], own[w * WINDOW + 1 : (w + 1) * WINDOW + 1], h, rate)
-        loss.append(one)
-    return float(np.mean(loss[-20:])) if loss else float("nan")
-
-
-def learned(params: bytes | None, every: int, epochs: int, rate: float, shared):
-    """A map of texts to one row: this task's parameters after its segments, and their number."""
+class Lanes:
+    """Documents' tokens in lanes, one document after the other in each."""
+
+    def __init__(self, lanes: int = LANES) -> None:
+        self.kept: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+        self.size = np.zeros(lanes, np.int64)
+
+    def add(self, ids: np.ndarray, row: np.ndarray) -> None:
+        """Documents of ids by row, the longest first, each to the shortest lane."""
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        size = np.diff(np.append(first, len(row)))
+        both = np.stack((np.concatenate(([OUTPUTS], ids[:-1])), ids)).astype(np.int32)  # inputs, targets
+        both[0, first] = OUTPUTS  # the start
+        for i in np.argsort(-size, kind="stable"):
+            to = int(self.size.argmin())
+            self.kept[to].append(both[:, first[i] : first[i] + size[i]])
+            self.size[to] += size[i]
+
+    def windows(self, rest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(lanes, inputs [time, lane], targets) of every window that fills all lanes, and of all that is left where asked; targets behind a lane's last token are -1."""
+        while True:
+            live = np.flatnonzero(self.size) if rest else np.arange(len(self.size))
+            many = int(self.size[live].min()) // WINDOW if len(live) else 0
+            if not many and not (rest and len(live)):
+                return
+            n = max(1, many) * WINDOW
+            got = np.full((2, n, len(live)), -1, np.int32)
+            got[0] = OUTPUTS
+            for j, i in enumerate(live):
+                own = np.concatenate(self.kept[i], 1)
+                have = min(n, own.shape[1])
+                got[:, :have, j] = own[:, :n]
+                self.kept[i] = [own[:, n:]] if own.shape[1] > n else []
+                self.size[i] -= have
+            for a in range(0, n, WINDOW):
+                yield live, got[0, a : a + WINDOW], got[1, a : a + WINDOW]
+
+
+def train(model: Gru, lanes: Lanes, state: np.ndarray, rate: float, rest: bool = False) -> tuple[int, float]:
+    """Learns the lanes' windows, changing state; (tokens, sum of their losses). A window that isn't full takes as much smaller a step."""
+    tokens_, loss = 0, 0.0
+    for live, x, y in lanes.windows(rest):
+        n = int((y >= 0).sum())
+        state[live], one = model.learn(x, y, state[live], rate * n / (WINDOW * len(state)))
+        tokens_, loss = tokens_ + n, loss + n * one
+    return tokens_, loss
+
+
+def learned(params: bytes | None, epochs: int, rate: float, shared):
+    """A map of texts to one row: this task's parameters after all of its tokens, and their number. For more than one epoch the texts are few."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know = shared.value
         lookup = know.lookup()
         model = Gru.start(know) if params is None else Gru.unpacked(np.frombuffer(params, np.float32))
-        rng, n, held = np.random.default_rng(SEED), 0, []
+        lanes, state, n, held = Lanes(), np.zeros((LANES, HIDDEN), np.float32), 0, []
         for b in batches:
-            texts = [lower_bytes(x.as_py()) for x in b.column(0)]
-            h, shape, row = tokens(texts)
-            held.append(segments(know.ids(lookup, h, shape), row, every, n))
-            n += len(held[-1])
-            if epochs == 1 and sum(map(len, held)) >= 32 * BATCH:  # else a small sample, seen several times
-                train(model, np.concatenate(held), rate, rng)
-                held = []
+            h, shape, row = tokens([lower_bytes(x.as_py()) for x in b.column(0)])
+            ids = know.ids(lookup, h, shape)
+            if epochs > 1:
+                held.append((ids, row))
+            else:
+                lanes.add(ids, row)
+                n += train(model, lanes, state, rate)[0]
         for k in range(epochs if held else 0):
-            train(model, np.concatenate(held), rate * 0.5**k if epochs > 1 else rate, rng)
+            for ids, row in held:
+                lanes.add(ids, row)
+            n += train(model, lanes, state, rate * 0.5**k, True)[0]
+        n += train(model, lanes, state, rate, True)[0]
         if n:
             yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([float(n)]), "params": pa.array([model.packed()], pa.binary())})
 
@@ -326,9 +358,9 @@ def trained(docs: DataFrame, known: Known, shared) -> bytes:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, WARM / max(1, size))
     few = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    one = few.select("text").coalesce(1).mapInArrow(learned(None, 2 * WINDOW, 4, RATE, shared), schema).first()
+    one = few.select("text").coalesce(1).mapInArrow(learned(None, 4, RATE, shared), schema).first()
     start = one["params"] if one else Gru.start(known).packed()
-    got = cut(texts.select("text").mapInArrow(learned(bytes(start), EVERY, 1, RATE / 4, shared), schema), "models")
+    got = cut(texts.select("text").mapInArrow(learned(bytes(start), 1, RATE / 4, shared), schema), "models")
     left = (got.agg(F.max("task")).first()[0] or 0) + 1
     while left > 1:
         got = got.groupBy(F.floor(F.col("task") / FAN_IN).alias("g")).applyInArrow(averaged, schema)

@@ -597,6 +597,43 @@ def test_gru_gradients():
         assert model.m[k][at] / 0.1 == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=1e-3, abs=1e-7)
 
 
+def test_lm_trains_on_every_token_with_its_state(spark):
+    rng = np.random.default_rng(2)
+    sizes = [*rng.integers(1, 90, 40).tolist(), 700, 1, 24, 25]
+    docs = [np.append(rng.integers(0, 511, n - 1), lm_scoring.OUTPUTS - 1) for n in sizes]
+    ids, row = np.concatenate(docs).astype(np.int32), np.repeat(np.arange(len(docs)), sizes)
+    lanes, got = lm_scoring.Lanes(6), [[] for _ in range(6)]
+    for part in (row < 20, row >= 20):
+        lanes.add(ids[part], row[part] - row[part][0])
+        for live, _, y in lanes.windows(bool(part[-1])):
+            for j, i in enumerate(live):
+                got[i] += y[y[:, j] >= 0, j].tolist()
+    seen = [b"".join(x.to_bytes(2) for x in lane) for lane in got]
+    assert Counter(x for lane in seen for x in lane.split((511).to_bytes(2))) == Counter([b"".join(int(x).to_bytes(2) for x in d[:-1]) for d in docs] + [b""] * len(seen))
+    model = lm_scoring.Gru(seed=1)
+    lanes.add(ids, row)
+    n, loss = lm_scoring.train(model, lanes, np.zeros((6, lm_scoring.HIDDEN), np.float32), 0.0, True)
+    assert n == len(ids) and -loss == pytest.approx(lm_scoring.likelihood(model, ids, row, len(docs)).sum(), rel=1e-4)
+    known = lm_scoring.Known([{"sums": np.zeros((2, 256), np.int64).tobytes(), "words": b"", "counts": b"", "shapes": b""}], lm_scoring.VOCABULARY)
+    texts = spark.createDataFrame([("one " * n,) for n in (3000, 1, 0, 40, 500)], "text string").repartition(2)
+    rows = texts.mapInArrow(lm_scoring.learned(None, 1, 0.001, spark.sparkContext.broadcast(known)), "task long, n double, params binary").collect()
+    assert sum(r.n for r in rows) == 3541 + 5
+
+
+def test_lm_gradient_stops_at_documents():
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 511, (6, 1)), rng.integers(0, 511, (6, 1))
+    x[0], x[4] = lm_scoring.OUTPUTS, lm_scoring.OUTPUTS
+    apart = [np.full((4, 2), lm_scoring.OUTPUTS), np.full((4, 2), -1)]
+    for to, z in zip(apart, (x, y), strict=True):
+        to[:, :1], to[:2, 1:] = z[:4], z[4:]
+    a, b = lm_scoring.Gru(seed=3), lm_scoring.Gru(seed=3)
+    one = a.learn(x, y, np.ones((1, lm_scoring.HIDDEN), np.float32), 0.0)[1]
+    two = b.learn(*apart, np.zeros((2, lm_scoring.HIDDEN), np.float32), 0.0)[1]
+    assert one == pytest.approx(two, rel=1e-5)
+    assert all(np.allclose(a.m[k], b.m[k], atol=1e-6) for k in a.m)
+
+
 def test_lm_state_is_carried():
     model = lm_scoring.Gru(seed=1)
     rng = np.random.default_rng(1)
