@@ -51,6 +51,19 @@ def histogram(values: DataFrame, edges: list[float], value: str = "value") -> Da
     return bins.join(got, "bin", "left").fillna(0, ["count"])
 
 
+def unit_histogram(values: DataFrame, lo: float, hi: float, value: str = "value") -> DataFrame:
+    """histogram() on unit_edges(lo, hi), for any number of bins: edges are computed in tasks."""
+    n = math.ceil(hi - lo) - 1
+    if n >= 1 << 31:
+        raise ValueError(f"{n} bins are more than an int numbers")
+    bins = values.sparkSession.range(max(0, n)).select(F.col("id").cast("int").alias("bin"), (F.lit(lo) + F.col("id")).alias("lo"), (F.lit(lo) + F.col("id") + 1).alias("hi"))
+    x = F.col(value).cast("double")
+    by = F.floor(x - F.lit(lo))
+    place = F.when(F.lit(lo) + by > x, by - 1).when(F.lit(lo) + by + 1 <= x, by + 1).otherwise(by)  # where x - lo was rounded
+    got = values.where((x >= lo) & (x <= lo + n)).select(F.least(place, F.lit(n - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("count"))
+    return bins.join(got, "bin", "left").fillna(0, ["count"])
+
+
 def densities(bins: DataFrame) -> DataFrame:
     """bins with pdf, counts over their sum, and ccdf, 1 less the sum of pdf up to the bin. Bins are few."""
     total = F.sum("count").over(W.partitionBy(F.lit(1)))
@@ -58,6 +71,17 @@ def densities(bins: DataFrame) -> DataFrame:
     return out.withColumn("ccdf", 1 - F.sum("pdf").over(W.partitionBy(F.lit(1)).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
 
 
+def many_densities(bins: DataFrame, run: int = 4096) -> DataFrame:
+    """densities() of any number of bins: sums run within runs of bins, and over the runs' totals."""
+    runs = bins.withColumn("run", F.floor(F.col("bin") / run))
+    totals = runs.groupBy("run").agg(F.sum("count").alias("own"))
+    over = W.partitionBy(F.lit(1))
+    before = totals.select("run", F.sum("own").over(over).alias("total"), (F.sum("own").over(over.orderBy("run").rowsBetween(W.unboundedPreceding, 0)) - F.col("own")).alias("before"))
+    upto = F.col("before") + F.sum("count").over(W.partitionBy("run").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    some = F.when(F.col("total") > 0, F.col("total"))
+    return runs.join(before, "run").select(*bins.columns, (F.col("count") / some).alias("pdf"), (1 - upto / some).alias("ccdf"))
+
+
 def rebinned(masses: DataFrame, edges: list[float]) -> DataFrame:
     """Mass of an outside histogram (x, mass) by bin, open below and closed above."""
     at = F.array(*[F.lit(float(e)) for e in edges])
@@ -78,7 +102,10 @@ def power_law(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def distribution(metrics: dict[str, DataFrame], edges: int = 10) -> DataFrame:
-    """(metric, bins, bin, lo, hi, count, pdf, ccdf, gamma, unknown_share) of each metric's values on linear, unit and log bins where they exist."""
+    """(metric, bins, bin, lo, hi, count, pdf, ccdf, gamma, unknown_share) of each metric's values on linear, unit and log bins.
+
+    There are no unit bins of a range of 1 or less, and log bins only as log_edges() has them; the number of unit bins has no limit.
+    """
     parts = []
     for name, values in metrics.items():
         lo, hi, n = span(values)
@@ -87,7 +114,13 @@ def distribution(metrics: dict[str, DataFrame], edges: int = 10) -> DataFrame:
         known = values.where("value >= 0")
         gamma = power_law(known).first().gamma
         share = unknown_share(values).first().unknown_share
-        for kind, at in (("linear", linear_edges(lo, hi, edges)), ("unit", unit_edges(lo, hi, known.select("value").distinct().limit(3).count() <= 2)), ("log", log_edges(lo, hi, edges))):
-            if len(at) > 1 and len(at) <= 10_000:
-                parts.append(densities(histogram(known, at)).select(F.lit(name).alias("metric"), F.lit(kind).alias("bins"), "bin", "lo", "hi", "count", "pdf", "ccdf", F.lit(gamma).cast("double").alias("gamma"), F.lit(share).alias("unknown_share")))
+        two_valued = known.select("value").distinct().limit(3).count() <= 2
+        bins = {"linear": densities(histogram(known, linear_edges(lo, hi, edges)))}
+        if two_valued:
+            bins["unit"] = densities(histogram(known, unit_edges(lo, hi, True)))
+        elif math.ceil(hi - lo) > 1:
+            bins["unit"] = many_densities(unit_histogram(known, lo, hi))
+        if len(at := log_edges(lo, hi, edges)) > 1:
+            bins["log"] = densities(histogram(known, at))
+        parts += [b.select(F.lit(name).alias("metric"), F.lit(kind).alias("bins"), "bin", "lo", "hi", "count", "pdf", "ccdf", F.lit(gamma).cast("double").alias("gamma"), F.lit(share).alias("unknown_share")) for kind, b in bins.items()]
     return reduce(DataFrame.unionByName, parts)

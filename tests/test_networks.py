@@ -59,6 +59,20 @@ def test_descriptors_without_known_values(spark):
     assert described(df, "weighted std", "v").first().value == pytest.approx(math.sqrt((w * (x - m) ** 2).sum() / w.sum()))
 
 
+def test_unit_bins_of_any_number(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.integers(0, 97_000, 500) + 0.1, [0.1, 30_000.4, 30_000.4]))
+    got = distribution.distribution({"m": spark.createDataFrame([(float(a),) for a in [*x, -1.0]], "value double")})
+    rows = got.where("bins = 'unit'").orderBy("bin").collect()
+    edges = np.array(distribution.unit_edges(x.min(), x.max()))
+    want = np.histogram(x, edges)[0]
+    assert len(rows) == len(edges) - 1 > 10_000 and [r["count"] for r in rows] == want.tolist()
+    assert np.allclose([r.lo for r in rows], edges[:-1]) and np.allclose([r.pdf for r in rows], want / want.sum()) and np.allclose([r.ccdf for r in rows], 1 - np.cumsum(want) / want.sum())
+    few = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (4.5,), (7.0,)], "value double")
+    a = distribution.unit_histogram(few, 1.0, 7.0).orderBy("bin").collect()
+    assert a == distribution.histogram(few, distribution.unit_edges(1.0, 7.0)).orderBy("bin").collect()
+
+
 def test_histograms(spark):
     v = spark.createDataFrame([(float(x),) for x in (1, 1, 2, 4, 10)], "value double")
     edges = distribution.linear_edges(1, 10)
