@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.columns import described
 from cairn.operators import centrality, community, describe, distribution, lexical, network, walks
-from cairn.plans import lineage
+from cairn.plans import catalogue, lineage
 from cairn.sources import graph_files
 
 
@@ -73,6 +73,27 @@ def test_unit_bins_of_any_number(spark):
     assert a == distribution.histogram(few, distribution.unit_edges(1.0, 7.0)).orderBy("bin").collect()
 
 
+def test_principal_coordinates_take_all_columns(spark, tmp_path):
+    names = [a + b for a in "abcdef" for b in "uvwxyz"]
+    texts = [" ".join(names), "au av au av au aw ax", "bu cu du"]
+    spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    w = np.zeros((36, 36))
+    pairs = [p for t in texts for p in zip(t.split(), t.split()[1:])]
+    for a, b in pairs:
+        w[names.index(a), names.index(b)] += 1
+    w = np.where(np.tril(w) > 0, np.tril(w), np.triu(w).T)  # the later arc by name gives a pair's weight
+    w = w + w.T
+    p = w / w.sum(1, keepdims=True)
+    space = np.eye(36) + p + p @ p
+    space -= space.mean(0)
+    u, s, _ = np.linalg.svd(space)
+    want = u[:, :2] * s[:2]
+    got = {r.start: r.coordinates for r in catalogue.QUERIES["principal_coordinates"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(names)
+    xy = np.array([got[n] for n in names])
+    assert np.allclose(xy * np.sign((xy * want).sum(0)), want, atol=1e-6)
+
+
 def test_histograms(spark):
     v = spark.createDataFrame([(float(x),) for x in (1, 1, 2, 4, 10)], "value double")
     edges = distribution.linear_edges(1, 10)
