@@ -1,7 +1,8 @@
 """Named queries over the driver's tables, with SQL for the same rows.
 
 Points are line items (l_quantity, l_extendedprice) and embeddings' first components. The network is English words in
-sequence: cue, next word, number of times, kept where that number reaches a fiftieth of the number of documents.
+sequence: cue, next word, number of times, kept where that number reaches a fiftieth of the number of documents. Queries
+named whole_... take all pairs of all texts.
 """
 
 from __future__ import annotations
@@ -43,13 +44,30 @@ def embedded(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("features"))
 
 
+def sequences(docs: DataFrame, word: str) -> DataFrame:
+    """(src, dst, weight): all pairs of different words in sequence and their number."""
+    w = docs.select(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(1)).alias("w")).where(F.size("w") > 1)
+    pairs = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
+    return pairs.where("p.a <> p.b").groupBy(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+
+
+def whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sequences() of words of letters in all texts, whatever their language."""
+    return sequences(table(spark, sf_dir, "documents"), r"(\p{L}+)")
+
+
+def whole_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of whole_sequences(), however few of a pair there are."""
+    e = cut(whole_sequences(spark, sf_dir), "sequences")
+    v = ordinal(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node").select("idx", "node")
+    return v, e.select("*", F.concat_ws(" ", "src", "dst").alias("ord"), F.lit(0).alias("key"))
+
+
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight, ord) of the word network."""
     docs = table(spark, sf_dir, "documents")
     least = docs.agg(F.ceil(F.count("*") / 50).alias("least"))
-    w = docs.where("lang = 'en'").select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("w")).where(F.size("w") > 1)
-    pairs = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
-    by = pairs.where("p.a <> p.b").groupBy(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    by = sequences(docs.where("lang = 'en'"), "([a-z]+)")
     return by.join(F.broadcast(least), F.col("weight") >= F.col("least")).select("src", "dst", "weight", F.concat_ws(" ", "src", "dst").alias("ord"))  # one row
 
 
@@ -258,6 +276,16 @@ def _(spark, d):
     return bigrams(spark, d).select("src", "dst", "weight")
 
 
+@query("whole_word_network")
+def _(spark, d):
+    return whole_sequences(spark, d)
+
+
+@query("whole_pagerank")
+def _(spark, d):
+    return centrality.pagerank(*whole_words(spark, d), iterations=20, tol=0.0, normalise=False).select("node", F.bround("score", 9).alias("score"))
+
+
 @query("word_vertices", NET + "SELECT idx, node FROM v")
 def _(spark, d):
     return words(spark, d)[0]

@@ -94,6 +94,17 @@ def test_principal_coordinates_take_all_columns(spark, tmp_path):
     assert np.allclose(xy * np.sign((xy * want).sum(0)), want, atol=1e-6)
 
 
+def test_whole_network_has_rare_pairs_of_all_languages(spark, tmp_path):
+    texts = [("the cat the cat", "en")] * 60 + [("once seen", "en"), ("ein Ärger, ein ärger", "de"), (None, "en"), ("alone", None)]
+    spark.createDataFrame(texts, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["whole_word_network"](spark, str(tmp_path)).collect()}
+    assert got == {("the", "cat", 120.0), ("cat", "the", 60.0), ("once", "seen", 1.0), ("ein", "ärger", 2.0), ("ärger", "ein", 1.0)}
+    kept = {tuple(r) for r in catalogue.QUERIES["word_network"](spark, str(tmp_path)).collect()}
+    assert kept == {("the", "cat", 120.0), ("cat", "the", 60.0)}
+    score = {r.node: r.score for r in catalogue.QUERIES["whole_pagerank"](spark, str(tmp_path)).collect()}
+    assert len(score) == 6 and abs(sum(score.values()) - 1) < 1e-6
+
+
 def test_histograms(spark):
     v = spark.createDataFrame([(float(x),) for x in (1, 1, 2, 4, 10)], "value double")
     edges = distribution.linear_edges(1, 10)
