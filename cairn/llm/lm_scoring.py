@@ -1,17 +1,22 @@
 """Scoring whole documents by a gated recurrent language model.
 
-Counts. Documents are dealt into blocks of about BLOCK bytes by a hash of doc_id. A block asks shards of the word space
-for the corpus counts of its distinct words, telling its own counts in training documents; each shard adds them up and
-answers each block in the order of its question. So what is gathered grows with the corpus, a word's count is exact, and
-a word that every document holds costs one entry a block.
-
-Model. A GRU reads the most frequent VOCABULARY words; all other words are one of a few shapes (length, letters beyond
-ASCII, punctuation at the end), and the end is a token too. Its output softmax is factored by class: first the class,
-then the member. A word known by its shape only gets its share of the shape's words, (c + 1) of all of theirs plus one.
-Training is truncated backpropagation in numpy over every token of every training document: a task's documents run in
-LANES lanes side by side, window by window of WINDOW tokens, the state carried from one to the next up to a document's end. All
-tasks start from one model, trained on whole documents of about WARM bytes in one task, and their parameters are averaged by
-their numbers of tokens in a tree.
+Blocks. Each task cuts its rows into blocks of about BLOCK bytes of text, as they come, whatever their doc_id: no key
+decides where a row goes, so none can be hot. Blocks are written in pieces to the shared folder and read from there.
+
+Counts. A block asks shards of the word space for the corpus counts of its distinct words, telling its own counts in
+training documents; each shard adds them up and answers each block in the order of its question. So what is gathered
+grows with the corpus, a word's count is exact, and a word that every document holds costs one entry a block.
+
+Model. One recurrence reads the most frequent VOCABULARY words; all other words are one of a few shapes (length, letters
+beyond ASCII, punctuation at the end), and the end is a token too. A gate mixes the old state with a new one; both come
+from the state and the last token. The output softmax is factored by class: first the class, then the member. A word known
+by its shape only gets its share of the shape's words, (c + 1) of all of theirs plus one.
+
+Training is truncated backpropagation in numpy over every token of every training document, in ROUNDS rounds: a hash deals
+the pieces to rounds, in a round each task trains from the round's start, and the tasks' parameters are averaged by their
+numbers of tokens, in a tree, for the next one. No task sees more than its own partition. A task's documents run in LANES
+lanes side by side, window by window of WINDOW tokens (of more where few lanes are left), the state carried from one to the
+next up to a document's end.
 
 Scores. Each block runs its documents side by side, longest first, window by window, with the state carried to the end
 of each document, so the likelihood is the whole document's, however long it is.
@@ -30,16 +35,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lower_bytes, shards, small_batches, table
+from .common import cut, lower_bytes, shards, table
 from .hashing import words
 from .quality_classifier import Lookup
 
-BLOCK, PORTION, WINDOW, WARM, SEED = 16 << 20, 1 << 20, 24, 4 << 20, 5
-VOCABULARY, SHAPES, CLASSES, HIDDEN, LANES, RATE, FAN_IN = 495, 16, 32, 16, 128, 0.01, 64
-OUTPUTS = VOCABULARY + SHAPES + 1
+BLOCK, PIECE, PORTION, WINDOW, STEP, SEED = 16 << 20, 1 << 18, 1 << 20, 16, 8192, 5
+SHAPES, CLASSES, MEMBERS, HIDDEN, LANES, RATE, FAN_IN = 16, 64, 64, 32, 512, 0.1, 16
+OUTPUTS = CLASSES * MEMBERS
+VOCABULARY = OUTPUTS - SHAPES - 1
+#: Of 16 pieces, those of each round.
+ROUNDS = ((0, 1), (1, 5), (5, 16))
 END, END_SHAPE = np.uint64(0xE2D5E2D5), 255
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".,;:!?|)\"'")] = True
+_KINDS = {"x": (OUTPUTS + 1, 2 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (CLASSES, HIDDEN, MEMBERS), "bm": (CLASSES, MEMBERS)}
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,22 +87,50 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def asked(n: int):
-    """A grouped map: a block's distinct words and their counts in its training documents, by shard of the word space."""
+BLOCKS = "block long, seq int, ids array<long>, held array<boolean>, texts array<string>, shard int, words binary, counts binary, shapes binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string())), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("shapes", pa.binary())])
 
-    def f(t: pa.Table) -> pa.Table:
-        h, shape, row = tokens([lower_bytes(x.as_py()) for x in t["text"]])
-        learn = ~t["held_out"].to_numpy(zero_copy_only=False)
+
+def blocks(n: int, block_bytes: int):
+    """A map of (doc_id, text, held_out) to blocks: their pieces, and their distinct words and counts in training documents by shard of the word space."""
+
+    def done(block: int, ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
+        at = seq = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= PIECE or i + 1 == len(texts):
+                yield pa.RecordBatch.from_pydict({"block": [block], "seq": [seq], "ids": [ids[at : i + 1]], "held": [held[at : i + 1]], "texts": [texts[at : i + 1]], "shard": [None], "words": [None], "counts": [None], "shapes": [None]}, _BLOCKS)
+                at, seq, size = i + 1, seq + 1, 0
+        h, shape, row = tokens([lower_bytes(x) for x in texts])
         own, first, which = np.unique(h, return_index=True, return_inverse=True)
-        count = np.bincount(which, learn[row].astype(np.int64), len(own)).astype(np.int64)
+        count = np.bincount(which, ~np.array(held, bool)[row], len(own)).astype(np.int64)
         edge = np.searchsorted(own, (np.arange(n + 1, dtype=np.float64) / n * 2.0**64).clip(0, 2.0**64 - 2048).astype(np.uint64))
         edge[-1] = len(own)
-        cols = [[own[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], [count[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], [shape[first[a:b]].tobytes() for a, b in zip(edge, edge[1:], strict=False)]]
-        return pa.table({"block": pa.array([t["block"][0].as_py()] * n, pa.int64()), "shard": pa.array(range(n), pa.int32()), "words": pa.array(cols[0], pa.binary()), "counts": pa.array(cols[1], pa.binary()), "shapes": pa.array(cols[2], pa.binary())})
+        some = [(s, a, b) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
+        cols = [[x[a:b].tobytes() for _, a, b in some] for x in (own, count, shape[first])]
+        none = [None] * len(some)
+        yield pa.RecordBatch.from_pydict({"block": [block] * len(some), "seq": none, "ids": none, "held": none, "texts": none, "shard": [s for s, _, _ in some], "words": cols[0], "counts": cols[1], "shapes": cols[2]}, _BLOCKS)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, held, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+        for b in batches:
+            for i, t, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids.append(i)
+                texts.append(t)
+                held.append(o)
+                size += len(t or "") + 64
+                if size >= block_bytes:
+                    yield from done(block, ids, held, texts)
+                    block, ids, held, texts, size = block + 1, [], [], [], 0
+        if ids:
+            yield from done(block, ids, held, texts)
 
     return f
 
 
+SUMMARY = "shard int, words binary, counts binary, shapes binary, sums binary"
+
+
 def answered(vocabulary: int):
     """A grouped map: one shard's counts, in the order each block asked, and what the model needs of all."""
 
@@ -118,14 +155,29 @@ def answered(vocabulary: int):
     return f
 
 
+def best(rows: list[dict], vocabulary: int) -> tuple[np.ndarray, ...]:
+    """(words, counts, shapes, sums): the most frequent words of shards' summaries, and the sums by shape."""
+    sums = sum((np.frombuffer(r["sums"], np.int64).reshape(2, 256) for r in rows), np.zeros((2, 256), np.int64))
+    word, count, shape = (np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("words", np.uint64), ("counts", np.int64), ("shapes", np.uint8)))
+    top = np.lexsort((word, -count))[:vocabulary]
+    return word[top], count[top], shape[top], sums
+
+
+def merged(vocabulary: int):
+    """A grouped map: summaries of up to FAN_IN shards as one."""
+
+    def f(t: pa.Table) -> pa.Table:
+        word, count, shape, sums = best(t.to_pylist(), vocabulary)
+        return pa.table({"shard": pa.array([t["shard"][0].as_py() // FAN_IN], pa.int32()), "words": [word.tobytes()], "counts": [count.tobytes()], "shapes": [shape.tobytes()], "sums": [sums.tobytes()]})
+
+    return f
+
+
 class Known:
     """What counting gives: N, V, the model's words with counts, and the mass of each shape's other words."""
 
     def __init__(self, rows: list, vocabulary: int) -> None:
-        sums = sum((np.frombuffer(r["sums"], np.int64).reshape(2, 256) for r in rows), np.zeros((2, 256), np.int64))
-        word, count, shape = (np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("words", np.uint64), ("counts", np.int64), ("shapes", np.uint8)))
-        best = np.lexsort((word, -count))[:vocabulary]
-        self.words, self.counts, self.shapes = word[best], count[best], shape[best]
+        self.words, self.counts, self.shapes, sums = best(rows, vocabulary)
         self.n, self.v = int(sums[0].sum()), int(sums[1].sum())
         mass = (sums[0] + sums[1]).astype(np.float64)
         np.subtract.at(mass, self.shapes, (self.counts + 1).astype(np.float64))
@@ -148,127 +200,153 @@ class Known:
         return Lookup(self.words, np.arange(len(self.words), dtype=np.float32))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-class Gru:
-    """Parameters: gates' input by token (x), recurrence (u), class (wc, bc) and member (wm, bm) outputs. Ids are dealt to classes in turn of their number."""
+class Gated:
+    """Parameters: gate and new state by token (x) and by state (u), outputs of class (wc, bc) and member (wm, bm). Ids are dealt to classes in turn of their number.
 
-    size = OUTPUTS // CLASSES
+    With a and b the two halves of x[token] + h u: z = (1 + tanh a) / 2, and the state is z h + (1 - z) tanh b. Steps are
+    Adagrad's, whose sums (v) travel with the parameters; of x only the window's rows are touched.
+    """
 
-    def __init__(self, params: dict[str, np.ndarray] | None = None, seed: int = SEED) -> None:
+    def __init__(self, p: dict[str, np.ndarray] | None = None, v: dict[str, np.ndarray] | None = None, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
-        normal = lambda *s: (rng.normal(size=s) * 0.15).astype(np.float32)
-        self.p = params or {"x": normal(OUTPUTS + 1, 3 * HIDDEN), "u": normal(HIDDEN, 3 * HIDDEN), "wc": normal(HIDDEN, CLASSES), "bc": np.zeros(CLASSES, np.float32), "wm": normal(CLASSES, HIDDEN, self.size), "bm": np.zeros((CLASSES, self.size), np.float32)}
-        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.t = 0
+        self.p = p or {k: (rng.normal(size=s) * 0.15).astype(np.float32) if len(s) > 1 and k != "bm" else np.zeros(s, np.float32) for k, s in _KINDS.items()}
+        self.v = v or {k: np.full(s, 1e-10, np.float32) for k, s in _KINDS.items()}
 
     @classmethod
-    def start(cls, known: Known) -> Gru:
+    def start(cls, known: Known) -> Gated:
         """Untrained, but with outputs that begin at the tokens' frequencies."""
         new = cls()
-        by = known.frequencies().reshape(CLASSES, cls.size)
+        by = known.frequencies().reshape(CLASSES, MEMBERS)
         new.p["bc"] = np.log(by.sum(1) / by.sum()).astype(np.float32)
         new.p["bm"] = np.log(by / by.sum(1, keepdims=True)).astype(np.float32)
         return new
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a = h @ self.p["u"]
-        g = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        r, z, c = g[:, :HIDDEN], g[:, HIDDEN:], a[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * c)
-        return n + z * (h - n), r, z, n, c
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The next states, from rows x of the table and states h."""
+        g = h @ self.p["u"]
+        g += x
+        np.tanh(g, out=g)
+        z, new = g[:, :HIDDEN], g[:, HIDDEN:]
+        z += 1
+        z *= 0.5
+        return new + z * (h - new)
 
     def output(self, h: np.ndarray, y: np.ndarray, back: bool = False):
         """ln P(y | h) of rows, and gradients of their negative sum where asked."""
-        klass, member = y // self.size, y % self.size
-        s = h @ self.p["wc"] + self.p["bc"]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1)
-        rows = np.arange(len(y))
-        out = s[rows, klass] - np.log(total)
-        order = np.argsort(klass, kind="stable")
+        klass, member = np.divmod(y, MEMBERS)
+        rows, one = np.arange(len(y)), np.ones(max(CLASSES, MEMBERS), h.dtype)
+
+        def soft(q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(logarithms at the targets, sums of exponentials); q becomes exponentials."""
+            np.minimum(q, 60, out=q)  # exponentials stay finite; states are within 1, so nothing real is cut
+            own = q[rows[: len(q)], at]
+            np.exp(q, out=q)
+            total = q @ one[: q.shape[1]]
+            return own - np.log(total), total
+
+        q = h @ self.p["wc"]
+        q += self.p["bc"]
+        out, total = soft(q, klass)
+        order = np.argsort(klass.astype(np.uint8), kind="stable")
         edge = np.searchsorted(klass[order], np.arange(CLASSES + 1))
+        inner, hs, ms = np.empty(len(y), h.dtype), h[order], member[order]
         if back:
-            d = e / total[:, None]
-            d[rows, klass] -= 1
-            grad = {"wc": h.T @ d, "bc": d.sum(0), "wm": np.zeros_like(self.p["wm"]), "bm": np.zeros_like(self.p["bm"])}
-            dh = d @ self.p["wc"].T
-        for k in range(CLASSES):
-            at = order[edge[k] : edge[k + 1]]
-            if not len(at):
-                continue
-            q = h[at] @ self.p["wm"][k] + self.p["bm"][k]
-            q -= q.max(1, keepdims=True)
-            f = np.exp(q)
-            sums = f.sum(1)
-            own = np.arange(len(at))
-            out[at] += q[own, member[at]] - np.log(sums)
+            q /= total[:, None]
+            q[rows, klass] -= 1
+            grad = {"wc": h.T @ q, "bc": q.sum(0), "wm": np.zeros_like(self.p["wm"]), "bm": np.zeros_like(self.p["bm"])}
+            dh, di = q @ self.p["wc"].T, np.empty_like(hs)
+        for k in np.flatnonzero(np.diff(edge)):
+            a, b = edge[k], edge[k + 1]
+            f = hs[a:b] @ self.p["wm"][k]
+            f += self.p["bm"][k]
+            inner[a:b], sums = soft(f, ms[a:b])
             if back:
                 f /= sums[:, None]
-                f[own, member[at]] -= 1
-                grad["wm"][k], grad["bm"][k] = h[at].T @ f, f.sum(0)
-                dh[at] += f @ self.p["wm"][k].T
-        return (out, grad, dh) if back else out
-
-    def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-        """One window [time, row] of truncated backpropagation and an Adam step; the state to carry and the mean loss.
+                f[rows[: b - a], ms[a:b]] -= 1
+                grad["wm"][k], grad["bm"][k] = hs[a:b].T @ f, f.sum(0)
+                di[a:b] = f @ self.p["wm"][k].T
+        out[order] += inner
+        if not back:
+            return out
+        dh[order] += di
+        return out, grad, dh
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray]:
+        """(state to carry, gradients of the mean loss, losses) of one window [time, lane]; x's gradient is (rows, values).
 
         The state is cleared where x is the start; a y below 0 is no target.
         """
-        steps, rows = x.shape
-        goes_on = (x != OUTPUTS)[:, :, None]
-        befores, afters, gates = [], [], []
+        steps, lanes = x.shape
+        goes_on = (x != OUTPUTS)[:, :, None].astype(h.dtype)
+        g = self.p["x"][x.ravel()].reshape(steps, lanes, 2 * HIDDEN)
+        befores, afters = np.empty((2, steps, lanes, HIDDEN), h.dtype)
+        u, ut = self.p["u"], np.ascontiguousarray(self.p["u"].T)
         for t in range(steps):
-            befores.append(h * goes_on[t])
-            h, *g = self.step(self.p["x"][x[t]], befores[-1])
-            afters.append(h)
-            gates.append(g)
-        real = np.flatnonzero(y.ravel() >= 0)
-        log, grad, part = self.output(np.concatenate(afters)[real], y.ravel()[real], True)
-        dh = np.zeros((steps * rows, HIDDEN), part.dtype)
+            before = np.multiply(h, goes_on[t], out=befores[t])
+            now = g[t]
+            now += before @ u
+            np.tanh(now, out=now)
+            h = afters[t]
+            # ((1 + gate) before + (1 - gate) new) / 2
+            np.subtract(before, now[:, HIDDEN:], out=h)
+            h *= now[:, :HIDDEN]
+            h += before
+            h += now[:, HIDDEN:]
+            h *= 0.5
+        targets, states = y.ravel(), afters.reshape(-1, HIDDEN)
+        real = np.flatnonzero(targets >= 0)
+        log, grad, part = self.output(states[real], targets[real], True)
+        dh = np.zeros((steps * lanes, HIDDEN), h.dtype)
         dh[real] = part
-        dh = dh.reshape(steps, rows, HIDDEN)
-        dx = np.empty((steps, rows, 3 * HIDDEN), np.float32)
-        du, carry = np.zeros_like(self.p["u"]), np.zeros((rows, HIDDEN), np.float32)
+        dh = dh.reshape(steps, lanes, HIDDEN)
+        gate, new = g[:, :, :HIDDEN], g[:, :, HIDDEN:]
+        keep = 0.5 * (1 + gate)
+        d = np.empty((steps, lanes, 2, HIDDEN), h.dtype)
+        d[:, :, 0] = 0.5 * (befores - new) * (1 - gate * gate)
+        d[:, :, 1] = (1 - keep) * (1 - new * new)
+        carry = np.zeros((lanes, HIDDEN), h.dtype)
         for t in range(steps - 1, -1, -1):
-            (r, z, n, c), before = gates[t], befores[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * c * r * (1 - r)
-            dx[t] = np.concatenate((dr, dz, dn), 1)
-            da = np.concatenate((dr, dz, dn * r), 1)
-            du += before.T @ da
-            carry = (d * z + da @ self.p["u"].T) * goes_on[t]
+            carry += dh[t]
+            d[t] *= carry[:, None]
+            carry *= keep[t]
+            carry += d[t].reshape(lanes, -1) @ ut
+            carry *= goes_on[t]
+        flat = d.reshape(-1, 2 * HIDDEN)
+        grad["u"] = befores.reshape(-1, HIDDEN).T @ flat
         ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        gx = np.zeros_like(self.p["x"])
-        gx[ids[order[first]]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first)
-        grad |= {"x": gx, "u": du}
-        self.t += 1
         scale = 1 / len(real)
+        grad = {k: v * np.float32(scale) for k, v in grad.items()}
+        grad["x"] = ids[order[first]], np.add.reduceat(flat[order], first, axis=0) * np.float32(scale)
+        return h, grad, log
+
+    def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+        """One window of truncated backpropagation and a step; the state to carry and the mean loss."""
+        h, grad, log = self.gradients(x, y, h)
+        at, g = grad.pop("x")
+        v = self.v["x"][at] + g * g
+        self.v["x"][at] = v
+        self.p["x"][at] -= rate * g / np.sqrt(v)
         for k, g in grad.items():
-            g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+            self.v[k] += g * g
+            g /= np.sqrt(self.v[k])
+            g *= rate
+            self.p[k] -= g
         return h, -float(log.mean())
 
     def packed(self) -> bytes:
-        return b"".join(self.p[k].astype(np.float32).tobytes() for k in sorted(self.p))
+        return b"".join(x[k].astype(np.float32).tobytes() for x in (self.p, self.v) for k in _KINDS)
 
     @classmethod
-    def unpacked(cls, data: np.ndarray) -> Gru:
-        shapes, out, at = {k: v.shape for k, v in cls().p.items()}, {}, 0
-        for k in sorted(shapes):
-            n = int(np.prod(shapes[k]))
-            out[k], at = data[at : at + n].reshape(shapes[k]).astype(np.float32), at + n
-        return cls(out)
+    def unpacked(cls, data: bytes) -> Gated:
+        flat, out, at = np.frombuffer(data, np.float32), [], 0
+        for _ in range(2):
+            out.append({})
+            for k, s in _KINDS.items():
+                n = int(np.prod(s))
+                out[-1][k], at = flat[at : at + n].reshape(s).copy(), at + n
+        return cls(*out)
 
 
 class Lanes:
@@ -293,10 +371,13 @@ class Lanes:
         """(lanes, inputs [time, lane], targets) of every window that fills all lanes, and of all that is left where asked; targets behind a lane's last token are -1."""
         while True:
             live = np.flatnonzero(self.size) if rest else np.arange(len(self.size))
-            many = int(self.size[live].min()) // WINDOW if len(live) else 0
-            if not many and not (rest and len(live)):
+            if not len(live):
                 return
-            n = max(1, many) * WINDOW
+            window = max(WINDOW, STEP // len(live)) if rest else WINDOW  # fewer lanes, longer windows
+            many = int(self.size[live].min()) // window
+            if not many and not rest:
+                return
+            n = max(1, many) * window
             got = np.full((2, n, len(live)), -1, np.int32)
             got[0] = OUTPUTS
             for j, i in enumerate(live):
@@ -305,40 +386,35 @@ class Lanes:
                 got[:, :have, j] = own[:, :n]
                 self.kept[i] = [own[:, n:]] if own.shape[1] > n else []
                 self.size[i] -= have
-            for a in range(0, n, WINDOW):
-                yield live, got[0, a : a + WINDOW], got[1, a : a + WINDOW]
+            for a in range(0, n, window):
+                yield live, got[0, a : a + window], got[1, a : a + window]
 
 
-def train(model: Gru, lanes: Lanes, state: np.ndarray, rate: float, rest: bool = False) -> tuple[int, float]:
+def train(model: Gated, lanes: Lanes, state: np.ndarray, rate: float, rest: bool = False) -> tuple[int, float]:
     """Learns the lanes' windows, changing state; (tokens, sum of their losses). A window that isn't full takes as much smaller a step."""
     tokens_, loss = 0, 0.0
     for live, x, y in lanes.windows(rest):
         n = int((y >= 0).sum())
-        state[live], one = model.learn(x, y, state[live], rate * n / (WINDOW * len(state)))
+        state[live], one = model.learn(x, y, state[live], rate * min(1.0, n / STEP))
         tokens_, loss = tokens_ + n, loss + n * one
     return tokens_, loss
 
 
-def learned(params: bytes | None, epochs: int, rate: float, shared):
-    """A map of texts to one row: this task's parameters after all of its tokens, and their number. For more than one epoch the texts are few."""
+def learned(params: bytes, rate: float, shared):
+    """A map of pieces (held, texts) to one row: this task's parameters after all of its training tokens, and their number."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        know = shared.value
-        lookup = know.lookup()
-        model = Gru.start(know) if params is None else Gru.unpacked(np.frombuffer(params, np.float32))
-        lanes, state, n, held = Lanes(), np.zeros((LANES, HIDDEN), np.float32), 0, []
+        know: Known = shared.value
+        lookup, model = know.lookup(), Gated.unpacked(params)
+        lanes, state, n = Lanes(), np.zeros((LANES, HIDDEN), np.float32), 0
         for b in batches:
-            h, shape, row = tokens([lower_bytes(x.as_py()) for x in b.column(0)])
-            ids = know.ids(lookup, h, shape)
-            if epochs > 1:
-                held.append((ids, row))
-            else:
-                lanes.add(ids, row)
-                n += train(model, lanes, state, rate)[0]
-        for k in range(epochs if held else 0):
-            for ids, row in held:
-                lanes.add(ids, row)
-            n += train(model, lanes, state, rate * 0.5**k, True)[0]
+            for i in range(b.num_rows):
+                texts = [lower_bytes(t) for t, o in zip(b.column(1)[i].as_py(), b.column(0)[i].as_py(), strict=True) if not o]
+                if texts:
+                    h, shape, row = tokens(texts)
+                    lanes.add(know.ids(lookup, h, shape), row)
+                if int(lanes.size.sum()) >= 16 * STEP:
+                    n += train(model, lanes, state, rate)[0]
         n += train(model, lanes, state, rate, True)[0]
         if n:
             yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([float(n)]), "params": pa.array([model.packed()], pa.binary())})
@@ -352,26 +428,27 @@ def averaged(t: pa.Table) -> pa.Table:
     return pa.table({"task": pa.array([t["task"][0].as_py() // FAN_IN], pa.int64()), "n": [n.sum()], "params": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def trained(docs: DataFrame, known: Known, shared) -> bytes:
-    """The model's parameters, from the training rows of docs (doc_id, text, held_out)."""
-    texts, schema = docs.where("not held_out"), "task long, n double, params binary"
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, WARM / max(1, size))
-    few = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    one = few.select("text").coalesce(1).mapInArrow(learned(None, 4, RATE, shared), schema).first()
-    start = one["params"] if one else Gru.start(known).packed()
-    got = cut(texts.select("text").mapInArrow(learned(bytes(start), 1, RATE / 4, shared), schema), "models")
-    left = (got.agg(F.max("task")).first()[0] or 0) + 1
+def tree(rows: DataFrame, number: str, merge, last: int) -> DataFrame:
+    """rows numbered up to last, merged FAN_IN at a time until one is left."""
+    left = last + 1
     while left > 1:
-        got = got.groupBy(F.floor(F.col("task") / FAN_IN).alias("g")).applyInArrow(averaged, schema)
+        rows = cut(rows.groupBy(F.floor(F.col(number) / FAN_IN).alias("g")).applyInArrow(merge, rows.schema), "tree")
         left = -(-left // FAN_IN)
-        if left > 1:
-            got = cut(got, "models")
-    last = got.first()
-    return bytes(last["params"]) if last else bytes(start)
+    return rows
+
+
+def trained(pieces: DataFrame, known: Known, shared) -> bytes:
+    """The model's parameters, from the training documents of pieces (block, seq, held, texts)."""
+    schema, params = "task long, n double, params binary", Gated.start(known).packed()
+    for a, b in ROUNDS:
+        own = pieces.where(F.pmod(F.xxhash64("block", "seq", F.lit(SEED)), F.lit(16)).between(a, b - 1))
+        got = cut(own.select("held", "texts").mapInArrow(learned(params, RATE, shared), schema), "models")
+        one = tree(got, "task", averaged, got.agg(F.max("task")).first()[0] or 0).first()
+        params = bytes(one["params"]) if one else params
+    return params
 
 
-def likelihood(model: Gru, ids: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+def likelihood(model: Gated, ids: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """ln probability of each row's whole token sequence; rows run side by side, the longest first, state carried."""
     first = np.searchsorted(row, np.arange(rows + 1))
     size = np.diff(first)
@@ -382,17 +459,18 @@ def likelihood(model: Gru, ids: np.ndarray, row: np.ndarray, rows: int) -> np.nd
     t, longest = 0, int(size[0]) if rows else 0
     active = rows
     while t < longest:
-        states, targets, whose = [], [], []
-        for _ in range(WINDOW):
+        states, targets, whose, held = [], [], [], 0
+        while held < 2 * STEP:
             while active and size[active - 1] <= t:
                 active -= 1
             if not active:
                 break
-            h = model.step(table_[before[:active]], h[:active])[0]
+            h = model.step(table_[before[:active]], h[:active])
             before = ids[first[:active] + t]
             states.append(h)
             targets.append(before)
             whose.append(active)
+            held += active
             t += 1
         log = model.output(np.concatenate(states), np.concatenate(targets))
         out[: whose[0]] += np.bincount(np.concatenate([np.arange(n) for n in whose]), log, whose[0])
@@ -402,28 +480,27 @@ def likelihood(model: Gru, ids: np.ndarray, row: np.ndarray, rows: int) -> np.nd
 
 
 def scored(params: bytes, shared):
-    """A cogrouped map: a block's documents and its answers to each document's scores."""
+    """A cogrouped map: a block's pieces and its answers to each document's scores."""
 
-    def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def f(pieces: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if not docs.num_rows:
+        if not pieces.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         known: Known = shared.value
-        h, shape, row = tokens([lower_bytes(x.as_py()) for x in docs["text"]])
+        docs = [pa.concat_arrays([pieces[c][int(i)].values for i in np.argsort(pieces["seq"].to_numpy())]) for c in ("ids", "held", "texts")]
+        h, shape, row = tokens([lower_bytes(x.as_py()) for x in docs[2]])
         which = np.unique(h, return_inverse=True)[1]
-        order = np.argsort(answers["shard"].to_numpy())
-        counts = np.concatenate([np.frombuffer(answers["counts"][int(i)].as_py(), np.int64) for i in order])
+        counts = np.concatenate([np.frombuffer(answers["counts"][int(i)].as_py(), np.int64) for i in np.argsort(answers["shard"].to_numpy())])
         c = counts[which]
-        rows = docs.num_rows
+        rows = len(docs[0])
         n = np.bincount(row, minlength=rows)
         log = np.log10(counts + 1.0)[which]
         base = np.bincount(row, log, rows) - n * np.log10(known.n + known.v + 1.0)
         ids = known.ids(known.lookup(), h, shape)
         tail = (ids >= VOCABULARY) & (ids < OUTPUTS - 1)
         inside = log[tail] - np.log10(known.mass)[ids[tail] - VOCABULARY]
-        score = likelihood(Gru.unpacked(np.frombuffer(params, np.float32)), ids, row, rows) / np.log(10) + np.bincount(row[tail], inside, rows)
-        cols = [docs["doc_id"], docs["held_out"], pa.array(n, pa.int64()), pa.array(np.bincount(row, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, known.n)), pa.array(base), pa.array(score)]
-        return pa.table(cols, names)
+        score = likelihood(Gated.unpacked(params), ids, row, rows) / np.log(10) + np.bincount(row[tail], inside, rows)
+        return pa.table([docs[0], docs[1], pa.array(n, pa.int64()), pa.array(np.bincount(row, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, known.n)), pa.array(base), pa.array(score)], names)
 
     return f
 
@@ -431,18 +508,17 @@ def scored(params: bytes, shared):
 def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (key, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     ident = F.col(key).cast("long")
     rows = docs.select(ident.alias("doc_id"), "text", (F.crc32(F.coalesce(ident.cast("string"), F.lit(""))) % 7 == 2).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    questions = dealt.groupBy("block").applyInArrow(asked(shards(spark)), "block long, shard int, words binary, counts binary, shapes binary")
+    parts = shards(spark)
+    dealt = cut(rows.mapInArrow(blocks(parts, block_bytes), BLOCKS), "blocks", "zstd")
+    pieces, questions = dealt.where("seq is not null").select("block", "seq", "ids", "held", "texts"), dealt.where("shard is not null").select("block", "shard", "words", "counts", "shapes")
     answers = cut(questions.groupBy("shard").applyInArrow(answered(VOCABULARY), "block long, shard int, counts binary, words binary, shapes binary, sums binary"), "answers")
-    known = Known(answers.where("block is null").collect(), VOCABULARY)  # a row a shard, each of at most VOCABULARY words
+    summary = tree(answers.where("block is null").select("shard", "words", "counts", "shapes", "sums"), "shard", merged(VOCABULARY), parts - 1)
+    known = Known([r.asDict() for r in summary.collect()], VOCABULARY)  # a row of VOCABULARY words
     shared = spark.sparkContext.broadcast(known)  # VOCABULARY words
-    params = trained(rows, known, shared)
-    out = dealt.groupBy("block").cogroup(answers.where("block is not null").select("block", "shard", "counts").groupBy("block")).applyInArrow(scored(params, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    params = trained(pieces, known, shared)
+    out = pieces.groupBy("block").cogroup(answers.where("block is not null").select("block", "shard", "counts").groupBy("block")).applyInArrow(scored(params, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", key)
 
 
