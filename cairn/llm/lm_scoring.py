@@ -1,7 +1,8 @@
 """Scoring whole documents by a gated recurrent language model.
 
 Blocks. Each task cuts its rows into blocks of about BLOCK bytes of text, as they come, whatever their doc_id: no key
-decides where a row goes, so none can be hot. Blocks are written in pieces to the shared folder and read from there.
+decides where a row goes, so none can be hot. A block's texts are split into words once; its distinct words and, for each
+token, the number of its word are written to the shared folder, and everything after reads those.
 
 Counts. A block asks shards of the word space for the corpus counts of its distinct words, telling its own counts in
 training documents; each shard adds them up and answers each block in the order of its question. So what is gathered
@@ -12,8 +13,8 @@ beyond ASCII, punctuation at the end), and the end is a token too. A gate mixes
 from the state and the last token. The output softmax is factored by class: first the class, then the member. A word known
 by its shape only gets its share of the shape's words, (c + 1) of all of theirs plus one.
 
-Training is truncated backpropagation in numpy over every token of every training document, in ROUNDS rounds: a hash deals
-the pieces to rounds, in a round each task trains from the round's start, and the tasks' parameters are averaged by their
+Training is truncated backpropagation in numpy over every token of every training document, in ROUNDS rounds: documents are
+dealt to rounds by their place in the block, in a round each task trains from the round's start, and the tasks' parameters are averaged by their
 numbers of tokens, in a tree, for the next one. No task sees more than its own partition. A task's documents run in LANES
 lanes side by side, window by window of WINDOW tokens (of more where few lanes are left), the state carried from one to the
 next up to a document's end.
@@ -39,11 +40,11 @@ from .common import cut, lower_bytes, shards, table
 from .hashing import words
 from .quality_classifier import Lookup
 
-BLOCK, PIECE, PORTION, WINDOW, STEP, SEED = 16 << 20, 1 << 18, 1 << 20, 16, 8192, 5
+BLOCK, PORTION, WINDOW, STEP, SEED = 16 << 20, 1 << 20, 16, 8192, 5
 SHAPES, CLASSES, MEMBERS, HIDDEN, LANES, RATE, FAN_IN = 16, 64, 64, 32, 512, 0.1, 16
 OUTPUTS = CLASSES * MEMBERS
 VOCABULARY = OUTPUTS - SHAPES - 1
-#: Of 16 pieces, those of each round.
+#: Of 16 documents, those of each round.
 ROUNDS = ((0, 1), (1, 5), (5, 16))
 END, END_SHAPE = np.uint64(0xE2D5E2D5), 255
 _STOPS = np.zeros(256, bool)
@@ -87,29 +88,25 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-BLOCKS = "block long, seq int, ids array<long>, held array<boolean>, texts array<string>, shard int, words binary, counts binary, shapes binary"
-_BLOCKS = pa.schema([("block", pa.int64()), ("seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string())), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("shapes", pa.binary())])
+BLOCKS = "block long, ids array<long>, held array<boolean>, sizes binary, tokens binary, shard int, words binary, counts binary, shapes binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("tokens", pa.binary()), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("shapes", pa.binary())])
 
 
 def blocks(n: int, block_bytes: int):
-    """A map of (doc_id, text, held_out) to blocks: their pieces, and their distinct words and counts in training documents by shard of the word space."""
+    """A map of (doc_id, text, held_out) to blocks: one row of the documents' sizes and tokens, numbers of distinct words, and rows of the words and their counts in training documents by shard of the word space."""
 
     def done(block: int, ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
-        at = seq = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= PIECE or i + 1 == len(texts):
-                yield pa.RecordBatch.from_pydict({"block": [block], "seq": [seq], "ids": [ids[at : i + 1]], "held": [held[at : i + 1]], "texts": [texts[at : i + 1]], "shard": [None], "words": [None], "counts": [None], "shapes": [None]}, _BLOCKS)
-                at, seq, size = i + 1, seq + 1, 0
         h, shape, row = tokens([lower_bytes(x) for x in texts])
         own, first, which = np.unique(h, return_index=True, return_inverse=True)
         count = np.bincount(which, ~np.array(held, bool)[row], len(own)).astype(np.int64)
+        sizes, shape = np.bincount(row, minlength=len(ids)).astype(np.int32), shape[first]
+        yield pa.RecordBatch.from_pydict({"block": [block], "ids": [ids], "held": [held], "sizes": [sizes.tobytes()], "tokens": [which.astype(np.uint32).tobytes()], "shard": [None], "words": [own.tobytes()], "counts": [None], "shapes": [shape.tobytes()]}, _BLOCKS)
         edge = np.searchsorted(own, (np.arange(n + 1, dtype=np.float64) / n * 2.0**64).clip(0, 2.0**64 - 2048).astype(np.uint64))
         edge[-1] = len(own)
         some = [(s, a, b) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
-        cols = [[x[a:b].tobytes() for _, a, b in some] for x in (own, count, shape[first])]
+        cols = [[x[a:b].tobytes() for _, a, b in some] for x in (own, count, shape)]
         none = [None] * len(some)
-        yield pa.RecordBatch.from_pydict({"block": [block] * len(some), "seq": none, "ids": none, "held": none, "texts": none, "shard": [s for s, _, _ in some], "words": cols[0], "counts": cols[1], "shapes": cols[2]}, _BLOCKS)
+        yield pa.RecordBatch.from_pydict({"block": [block] * len(some), "ids": none, "held": none, "sizes": none, "tokens": none, "shard": [s for s, _, _ in some], "words": cols[0], "counts": cols[1], "shapes": cols[2]}, _BLOCKS)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, held, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
@@ -128,9 +125,6 @@ def blocks(n: int, block_bytes: int):
     return f
 
 
-SUMMARY = "shard int, words binary, counts binary, shapes binary, sums binary"
-
-
 def answered(vocabulary: int):
     """A grouped map: one shard's counts, in the order each block asked, and what the model needs of all."""
 
@@ -400,8 +394,8 @@ def train(model: Gated, lanes: Lanes, state: np.ndarray, rate: float, rest: bool
     return tokens_, loss
 
 
-def learned(params: bytes, rate: float, shared):
-    """A map of pieces (held, texts) to one row: this task's parameters after all of its training tokens, and their number."""
+def learned(params: bytes, rate: float, shared, places: tuple[int, int] = (0, 16)):
+    """A map of blocks (held, sizes, tokens, words, shapes) to one row: this task's parameters after all tokens of the training documents whose places, by 16, are in the range, and their number."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Known = shared.value
@@ -409,12 +403,16 @@ def learned(params: bytes, rate: float, shared):
         lanes, state, n = Lanes(), np.zeros((LANES, HIDDEN), np.float32), 0
         for b in batches:
             for i in range(b.num_rows):
-                texts = [lower_bytes(t) for t, o in zip(b.column(1)[i].as_py(), b.column(0)[i].as_py(), strict=True) if not o]
-                if texts:
-                    h, shape, row = tokens(texts)
-                    lanes.add(know.ids(lookup, h, shape), row)
-                if int(lanes.size.sum()) >= 16 * STEP:
-                    n += train(model, lanes, state, rate)[0]
+                held, sizes, which, own, shapes = (b.column(j)[i].as_py() for j in range(5))
+                sizes, ids = np.frombuffer(sizes, np.int32), know.ids(lookup, np.frombuffer(own, np.uint64), np.frombuffer(shapes, np.uint8))
+                place = np.arange(len(sizes)) % 16
+                chosen = np.flatnonzero(~np.array(held, bool) & (place >= places[0]) & (place < places[1]))
+                which, first = np.frombuffer(which, np.uint32), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+                for part in np.array_split(chosen, max(1, sizes[chosen].sum(dtype=np.int64) // (8 * STEP))):
+                    if len(part):
+                        lanes.add(ids[np.concatenate([which[first[d] : first[d + 1]] for d in part])], np.repeat(part, sizes[part]))
+                    if int(lanes.size.sum()) >= 16 * STEP:
+                        n += train(model, lanes, state, rate)[0]
         n += train(model, lanes, state, rate, True)[0]
         if n:
             yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([float(n)]), "params": pa.array([model.packed()], pa.binary())})
@@ -437,12 +435,11 @@ def tree(rows: DataFrame, number: str, merge, last: int) -> DataFrame:
     return rows
 
 
-def trained(pieces: DataFrame, known: Known, shared) -> bytes:
-    """The model's parameters, from the training documents of pieces (block, seq, held, texts)."""
+def trained(texts: DataFrame, known: Known, shared) -> bytes:
+    """The model's parameters, from the training documents of blocks (held, sizes, tokens, words, shapes)."""
     schema, params = "task long, n double, params binary", Gated.start(known).packed()
-    for a, b in ROUNDS:
-        own = pieces.where(F.pmod(F.xxhash64("block", "seq", F.lit(SEED)), F.lit(16)).between(a, b - 1))
-        got = cut(own.select("held", "texts").mapInArrow(learned(params, RATE, shared), schema), "models")
+    for places in ROUNDS:
+        got = cut(texts.select("held", "sizes", "tokens", "words", "shapes").mapInArrow(learned(params, RATE, shared, places), schema), "models")
         one = tree(got, "task", averaged, got.agg(F.max("task")).first()[0] or 0).first()
         params = bytes(one["params"]) if one else params
     return params
@@ -480,27 +477,25 @@ def likelihood(model: Gated, ids: np.ndarray, row: np.ndarray, rows: int) -> np.
 
 
 def scored(params: bytes, shared):
-    """A cogrouped map: a block's pieces and its answers to each document's scores."""
+    """A cogrouped map: a block and its answers to each document's scores."""
 
-    def f(pieces: pa.Table, answers: pa.Table) -> pa.Table:
+    def f(block: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if not pieces.num_rows:
+        if not block.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         known: Known = shared.value
-        docs = [pa.concat_arrays([pieces[c][int(i)].values for i in np.argsort(pieces["seq"].to_numpy())]) for c in ("ids", "held", "texts")]
-        h, shape, row = tokens([lower_bytes(x.as_py()) for x in docs[2]])
-        which = np.unique(h, return_inverse=True)[1]
+        docs, held = (block[c].combine_chunks().flatten() for c in ("ids", "held"))
+        n, which, own, shapes = (np.frombuffer(block[c][0].as_py(), t) for c, t in (("sizes", np.int32), ("tokens", np.uint32), ("words", np.uint64), ("shapes", np.uint8)))
         counts = np.concatenate([np.frombuffer(answers["counts"][int(i)].as_py(), np.int64) for i in np.argsort(answers["shard"].to_numpy())])
-        c = counts[which]
-        rows = len(docs[0])
-        n = np.bincount(row, minlength=rows)
-        log = np.log10(counts + 1.0)[which]
-        base = np.bincount(row, log, rows) - n * np.log10(known.n + known.v + 1.0)
-        ids = known.ids(known.lookup(), h, shape)
-        tail = (ids >= VOCABULARY) & (ids < OUTPUTS - 1)
-        inside = log[tail] - np.log10(known.mass)[ids[tail] - VOCABULARY]
-        score = likelihood(Gated.unpacked(params), ids, row, rows) / np.log(10) + np.bincount(row[tail], inside, rows)
-        return pa.table([docs[0], docs[1], pa.array(n, pa.int64()), pa.array(np.bincount(row, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, known.n)), pa.array(base), pa.array(score)], names)
+        rows = len(docs)
+        row = np.repeat(np.arange(rows), n)
+        # of each word, then of each token
+        log, word = np.log10(counts + 1.0), known.ids(known.lookup(), own, shapes)
+        base = np.bincount(row, log[which], rows) - n * np.log10(known.n + known.v + 1.0)
+        tail = (word >= VOCABULARY) & (word < OUTPUTS - 1)
+        inside = np.where(tail, log - np.log10(known.mass)[np.where(tail, word - VOCABULARY, 0)], 0.0)
+        score = likelihood(Gated.unpacked(params), word[which], row, rows) / np.log(10) + np.bincount(row, inside[which], rows)
+        return pa.table([docs, held, pa.array(n, pa.int64()), pa.array(np.bincount(row, (counts > 0)[which], rows).astype(np.int64)), pa.array(np.full(rows, known.n)), pa.array(base), pa.array(score)], names)
 
     return f
 
@@ -512,13 +507,13 @@ def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK) -> Dat
     rows = docs.select(ident.alias("doc_id"), "text", (F.crc32(F.coalesce(ident.cast("string"), F.lit(""))) % 7 == 2).alias("held_out"))
     parts = shards(spark)
     dealt = cut(rows.mapInArrow(blocks(parts, block_bytes), BLOCKS), "blocks", "zstd")
-    pieces, questions = dealt.where("seq is not null").select("block", "seq", "ids", "held", "texts"), dealt.where("shard is not null").select("block", "shard", "words", "counts", "shapes")
+    texts, questions = dealt.where("shard is null").drop("shard", "counts"), dealt.where("shard is not null").select("block", "shard", "words", "counts", "shapes")
     answers = cut(questions.groupBy("shard").applyInArrow(answered(VOCABULARY), "block long, shard int, counts binary, words binary, shapes binary, sums binary"), "answers")
     summary = tree(answers.where("block is null").select("shard", "words", "counts", "shapes", "sums"), "shard", merged(VOCABULARY), parts - 1)
     known = Known([r.asDict() for r in summary.collect()], VOCABULARY)  # a row of VOCABULARY words
     shared = spark.sparkContext.broadcast(known)  # VOCABULARY words
-    params = trained(pieces, known, shared)
-    out = pieces.groupBy("block").cogroup(answers.where("block is not null").select("block", "shard", "counts").groupBy("block")).applyInArrow(scored(params, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    params = trained(texts, known, shared)
+    out = texts.groupBy("block").cogroup(answers.where("block is not null").select("block", "shard", "counts").groupBy("block")).applyInArrow(scored(params, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", key)
 
 

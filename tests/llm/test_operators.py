@@ -100,15 +100,44 @@ def test_suffix_dedup_pieces_and_tables(spark, monkeypatch):
     assert kept + later == 2 * (len(data) - 99) and later >= len(data) - 99
 
 
-def test_previous_factors_by_definition():
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        data = rng.integers(0, 2, 60).astype(np.uint8)
-        starts = np.arange(60 - 8 + 1)
-        order, same = suffix_dedup.suffix_order(data, starts, 8)
-        factor = suffix_dedup.previous_factors(starts[order], np.where(same, 8, 0))
+@pytest.mark.parametrize("length", [8, 20, 31, 100])
+def test_previous_factors_by_definition(length):
+    rng = np.random.default_rng(length)
+    for _ in range(20):
+        data = np.concatenate([rng.integers(0, 2, 3 * length).astype(np.uint8)] * 2)[: 5 * length]
+        data[rng.integers(0, len(data), 3)] ^= 1
+        starts = np.arange(len(data) - length + 1)
+        order, common = suffix_dedup.suffix_order(data, starts, length)
+        raw = data.tobytes()
+        pieces = [raw[s : s + length] for s in starts[order]]
+        assert pieces == sorted(pieces)
+        prefix = lambda x, y: next((i for i in range(length) if x[i] != y[i]), length)
+        assert common.tolist() == [0, *(prefix(x, y) for x, y in zip(pieces, pieces[1:]))]
+        factor = suffix_dedup.previous_factors(starts[order], common)
         for s, f in zip(starts[order], factor):
-            assert (f == 8) == any(bytes(data[e : e + 8]) == bytes(data[s : s + 8]) for e in range(s))
+            assert f == max((prefix(raw[e : e + length], raw[s : s + length]) for e in range(s)), default=0)
+
+
+def test_suffix_dedup_tells_texts_of_one_key_apart(spark):
+    """Thousands of texts without a doc_id, or with one, whose hashes collide in 24 bits: none takes another's copies."""
+    texts = [f"{i:05d} " + "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(200)) for i in range(26)]
+    rows = [(None, f"{i} text that repeats nothing " + " ".join(str((i * 7919 + k * k * 31) % 100003) for k in range(40))) for i in range(4000)]
+    rows += [(None, texts[0] * 2), (5, texts[1] * 2), (5, texts[2]), (5, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicated(df).drop("spans", "kept").collect())
+    tie = {r.text: r.t for r in df.selectExpr("text", "xxhash64(text) t").collect()}
+    # documents of one key come in the order of their texts' hashes
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], tie[r[1]]))
+    want, seen = Counter(), set()
+    for d, t in ordered:
+        b, gone = t.encode(), np.zeros(len(t) + 1, int)
+        for p in range(len(b) - 99):
+            if (k := b[p : p + 100]) in seen:
+                gone[p] += 1
+                gone[p + 100] -= 1
+            seen.add(k)
+        want[d, len(b), int((np.cumsum(gone)[:-1] > 0).sum())] += 1
+    assert got == want and sum(n for (_, _, r), n in want.items() if r) >= 2
 
 
 # --- 2
@@ -161,12 +190,34 @@ def test_lattice_neardup_recall_and_precision(spark):
 
 
 def test_split_cells_find_the_same_links(spark):
+    """A group of different near copies: every link counted once, whatever tables and blocks it is seen in, by rows in proportion to the group."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=64) + rng.normal(size=(120, 64)) * 0.15
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
-    whole = {(r.a, r.b) for r in lattice_neardup.links(df).collect()}
-    split = {(r.a, r.b) for r in lattice_neardup.links(df, cell_rows=16).collect()}
-    assert whole == split and len(whole) > 1000
+    for single in (False, True):
+        if single:
+            x = x.astype(np.float32).astype(float)
+        df = spark.createDataFrame([(i, [float(v) for v in r], 1 + i % 2) for i, r in enumerate(x)], "id long, v array<double>, m long")
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        close = unit @ unit.T >= 0.9
+        np.fill_diagonal(close, False)
+        want = close @ (1 + np.arange(120) % 2)
+        for how in ({}, {"cell_rows": 16}):
+            rows = lattice_neardup.links(df, single=single, **how).collect()
+            many = Counter()
+            for r in rows:
+                if r.n is not None:
+                    many[r.a] += r.n
+            assert sum(many.values()) >= 0.99 * want.sum() > 1000 and all(many[i] <= want[i] for i in range(120))
+            if how:
+                assert many == whole
+            whole = many
+            assert how or len(rows) < 80 * 120
+
+
+def test_bucket_numbers_are_told_apart():
+    keys = lattice_neardup.cells(lattice_neardup.units(np.random.default_rng(0).normal(size=(500, 64))))
+    assert keys.shape == (500, lattice_neardup.TABLES, 1 + lattice_neardup.PROBES) and (keys[:, :, 0] > 0).all()
+    assert all(len({*k.tolist()} - {0}) == (k > 0).sum() for row in keys for k in row)
 
 
 # --- 3
@@ -232,6 +283,81 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def pivotal(rows, ranks, sizes, counts, targets, bucket, seed):
+    """Copies of rows (id, order, level 0's bucket, source, size) by pivotal rounding in a tree, in fractions; draws are the operator's."""
+    from fractions import Fraction
+
+    out, now = {}, defaultdict(list)
+    for i, order, at, source, size in rows:
+        r = min(Fraction(2), targets[source] / sizes[source]) if size else Fraction(0)
+        whole = int(r)
+        out[i] = [whole, size]
+        if r - whole:
+            now[ranks[source], at].append((order, size, r - whole, i))
+    left, level = -(-max(counts.values()) // bucket), 0
+    while now:
+        later = defaultdict(list)
+        for (rank, at), own in now.items():
+            own.sort(key=lambda x: x[:2])
+            rng = np.random.Generator(np.random.Philox([seed & 0xFFFFFFFF, rank * 64 + level * 2, at]))
+            draws, held = rng.random(len(own)), None
+            p = {x[3]: x[2] for x in own}
+            size = {x[3]: x[1] for x in own}
+            for j, (_, _, _, b) in enumerate(own):
+                if held is None:
+                    held = j
+                    continue
+                a = own[held][3]
+                up, down = min((1 - p[a]) * size[a], p[b] * size[b]), min(p[a] * size[a], (1 - p[b]) * size[b])
+                move = up if draws[j] < down / (up + down) else -down
+                p[a], p[b] = p[a] + move / size[a], p[b] - move / size[b]
+                held = next((k for k, x in ((held, a), (j, b)) if p[x] not in (0, 1)), None)
+            for x in own:
+                if p[x[3]] in (0, 1):
+                    out[x[3]][0] += int(p[x[3]])
+            if held is not None and left <= 1:
+                out[own[held][3]][0] += int(rng.random() < p[own[held][3]])
+            elif held is not None:
+                x = own[held]
+                later[rank, at // bucket].append((x[0], x[1], p[x[3]], x[3]))
+        now, left, level = later, -(-left // bucket), level + 1
+    return {i: n * size for i, (n, size) in out.items()}
+
+
+@pytest.mark.parametrize("bucket", [4, 16384])
+def test_op3_is_pivotal_rounding(spark, tmp_path, monkeypatch, bucket):
+    """The registered query against the method in exact fractions, with shallow and deep trees."""
+    from fractions import Fraction
+
+    rng = random.Random(12)
+    sources = ["b", "a", "é", None, "c"]
+    docs = [(i, words_of(rng, rng.randint(0, 30)), rng.choices(sources, [30, 5, 10, 3, 1])[0]) for i in range(300)] + [(900, None, "a"), (901, "", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    size = {i: len((t or "").split()) for i, t, _ in docs}
+    order = sorted({s for _, _, s in docs if s is not None}) + [None]
+    ranks = {s: i for i, s in enumerate(order)}
+    total = {s: sum(size[i] for i, _, x in docs if x == s) for s in order}
+    weight = {s: (3, 1, 2)[ranks[s] % 3] for s in order}
+    targets, free, words = {}, set(order), Fraction(3, 2) * sum(total.values())
+    while True:
+        level = (words - sum(targets.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > 2 * total[s]}
+        if not over:
+            break
+        targets |= {s: Fraction(2 * total[s]) for s in over}
+        free -= over
+    targets |= {s: weight[s] * level for s in free}
+    counts = Counter(s for _, _, s in docs)
+    df = spark.createDataFrame([(i, s, -(-counts[s] // bucket)) for i, _, s in docs], "doc_id long, source string, n long")
+    places = df.selectExpr("doc_id", "source", "n", f"xxhash64(doc_id, {mixing.SEED}) o").selectExpr("doc_id", "source", "o", "pmod(xxhash64(o, 1), n) b").collect()
+    want = pivotal([(r.doc_id, r.o, r.b, r.source, size[r.doc_id]) for r in places], ranks, total, counts, targets, bucket, mixing.SEED)
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda df: mix(df, bucket=bucket))
+    got = {r.doc_id: r for r in mixing.op3_mixing(spark, str(tmp_path)).collect()}
+    assert {i: r.taken for i, r in got.items()} == want and {i: r.size for i, r in got.items()} == size
+    assert all(got[i].source_size == total[s] and got[i].target == pytest.approx(float(targets[s])) for i, _, s in docs)
+
+
 # --- 4
 
 
@@ -351,6 +477,18 @@ def test_secret_scan_and_redaction(spark):
     assert secret_scans.scan(df.limit(0)).count() == 0
 
 
+def test_op6_query(spark, tmp_path):
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choice(BITS) for _ in range(rng.randint(0, 14)))) for i in range(2000)] + [(None, None), (7, ""), (7, "token=abcdefgh")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scans.op6_secret_scans(spark, str(tmp_path)).collect())
+    want = Counter()
+    for d, t in docs:
+        found = secrets_of(t)
+        want[d, *(sum(f[0] == k for f in found) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()] += 1
+    assert got == want
+
+
 # --- 7
 
 
@@ -371,14 +509,31 @@ def test_url_rules_and_empty_list(spark):
     host, path = url_filters.parts(F.col("url"))
     rows = spark.createDataFrame([(u,) for u in urls], "url string").withColumns({"host": host, "path": path})
     universe = rows.select(F.col("host").alias("key"))
-    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judged(rows, "host", "path", universe.where("startswith(key, 'm.')"), universe).collect()}
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judged(rows, "host", "path", F.col("host"), universe.where("startswith(key, 'm.')"), universe).collect()}
     assert got["http://a.org/x"] == ("a.org", "/x", "org/", "allow")
     assert got["https://Example.ORG/es/1?q"] == ("example.org", "/es/1", "example.org/es/", "block")
     assert got["http://m.example.org/en/1"][2:] == ("example.org/en/1", "block") and got["http://m.example.org/en/2"][2:] == ("org/", "allow")
     assert got["x.com/de/"] == ("", "", None, "allow") and got["http://b.com/de/#f"][1:] == ("/de/", "com/de/", "block") and got["http://b.com"] == ("b.com", "", None, "allow")
     assert got[None] == ("", "", None, "allow") and got["http://m.b.net?x/y"] == ("m.b.net", "", None, "block") and got["http://norg/"][2] is None and got["http://org/"][2] == "org/"
-    none = url_filters.judged(rows, "host", "path", universe.limit(0), universe.limit(0))
-    assert none.where("verdict = 'block' and rule is null").count() == 0
+    none = url_filters.judged(rows.withColumn("Rule", F.lit(1)), "host", "path", F.col("host"), universe.limit(0), universe.limit(0))
+    assert none.where("verdict = 'block' and _rule is null").count() == 0 and none.columns[-3:] == ["Rule", "_rule", "verdict"]
+
+
+def test_url_query_reaches_deeper_levels(spark, tmp_path, monkeypatch):
+    """The registered query on keys of pages, against the rules one by one; its cascade has several levels."""
+    rng = random.Random(6)
+    urls = [f"https://{rng.choice(['m.', '', 'www.'])}h{rng.randrange(40)}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['fr', 'de', 'es', 'en'])}/{i}?q" for i in range(3000)] + [None, "nothing"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    levels, make = [], url_filters.level_filter
+    monkeypatch.setattr(url_filters, "level_filter", lambda keys, n, level, shard: levels.append((level, n)) or make(keys, n, level, shard))
+    got = {r.page_id: r for r in url_filters.op7_url_filters(spark, str(tmp_path)).collect()}
+    assert len(levels) >= 3 and len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, _, path = (u or "").partition("://")[2].partition("/")
+        path = "/" + path.split("?")[0] if path else ""
+        fits = [(len(h + p), what, h + p) for what, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = max(fits)[1:] if fits else ("block" if host.startswith("m.") else "allow", None)
+        assert (got[i].host, got[i].path, got[i].verdict, got[i].rule) == (host, path, *want)
 
 
 # --- 8
@@ -445,13 +600,45 @@ def test_quality_model_is_kneser_ney(spark):
     good = {r.doc_id for r in quality_classifier.trusted(lb).collect()}
     picked = {r.doc_id for r in df.where(quality_classifier.picked(share)).select("doc_id").collect()} & good
     assert 0.3 < len(picked) / len(good) < 0.7 and share == {"en": 0.5, "de": 0.5}
-    got = {r.doc_id: r._log10_prob for r in quality_classifier.scored(df, quality_classifier.shipped(spark, model)).collect()}
+    got = {r.doc_id: r._log10_prob for r in quality_classifier.scored(df, quality_classifier.Ready(spark, model)).collect()}
     for lang in ("en", "de"):
         own = [d for d in docs if d[2] == lang]
         want = kneser_ney([d[1] for d in docs if d[2] == lang and d[0] in picked], [d[1] for d in own])
         for d, w in zip(own, want):
             assert got[d[0]] == pytest.approx(w, rel=1e-4)
     assert got[1001] is None and got[1002] is None
+    # tables beyond the bound are joined instead, with the same result; the caller's own columns stay
+    more = quality_classifier.scored(df.withColumn("_tokens", F.lit(-1)), quality_classifier.Ready(spark, model, 0)).collect()
+    assert len(more) == len(docs) and {r._tokens for r in more} == {-1} and all(r.__tokens >= 1 for r in more)
+    assert all((got[r.doc_id] is None) == (r._log10_prob is None) and (got[r.doc_id] is None or r._log10_prob == pytest.approx(got[r.doc_id], rel=1e-6)) for r in more)
+
+
+def test_languages_are_told_by_whole_names():
+    names = ["zh-Hant-TW", "zh-Hant-HK", "sr-Latn-RS", "sr-Latn-BA", "", None, "None"]
+    assert len({int(quality_classifier.language(x)) for x in names}) == len(names)
+
+
+def test_op8_rejects_marked_texts(spark, tmp_path):
+    """The registered query, with toxic texts as well formed as the others: thresholds, marks and verdicts by hand."""
+    docs, labels = labelled()
+    rng = random.Random(8)
+    docs += [(5000 + i, " ".join([*rng.choices(["the", "cat", "sat", "on", "mat", "dog"], k=40), "Scoundrel,"]), "en", 0.0) for i in range(40)]
+    labels = labels + [(5000 + i, 1, 1) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, key double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = quality_classifier.op8_quality_classifier(spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(docs) and not any(got[5000 + i].kept for i in range(40)) and all(got[i].kept for i in range(0, 300, 10))
+    own = [got[i].perplexity for i in got if got[i].lang == "en" and i in {r[0] for r in labels if r[1] and not r[2]} and i not in picked_ids(spark, docs, labels)]
+    assert got[1].threshold == sorted(own)[math.ceil(0.995 * len(own)) - 1]
+    assert all(r.kept == ((r.perplexity is None or r.threshold is None or r.perplexity <= r.threshold) and (r.mark is None or r.mark_threshold is None or r.mark <= r.mark_threshold)) for r in rows)
+    assert all(r.n_tokens == len((t or "").split()) + 1 for r, (_, t, _, _) in zip(sorted(rows, key=lambda r: r.doc_id), sorted(docs, key=lambda d: d[0]), strict=True))
+
+
+def picked_ids(spark, docs, labels):
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, key double")
+    lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    return {r.doc_id for r in df.where(quality_classifier.picked(quality_classifier.shares(df, lb))).select("doc_id").collect()}
 
 
 def test_quality_filter_keeps_clean(spark):
@@ -548,8 +735,8 @@ def test_proximity_finds_long_items_in_any_block(spark, tmp_path):
         docs += [(i, t), (100 + i, " ".join(swapped)), (200 + i, " so ".join(w)), (300 + i, " ".join("no" if k % 6 == 5 else x for k, x in enumerate(w))), (400 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(50)))]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: r for r in decontamination.op9_proximity(spark, str(tmp_path)).collect()}
-    assert all(got[d].n_near == 1 for d in got if d < 400) and not any(got[d].near for d in got if d >= 400)
+    got = {r.doc_id: r for r in decontamination.op9_decontamination(spark, str(tmp_path)).collect()}
+    assert all(got[d].n_near == 1 for d in got if d < 400) and not any(got[d].n_near for d in got if d >= 400)
     assert all(got[100 + i].n_items == got[200 + i].n_items == got[300 + i].n_items == 0 for i in range(20))
 
 
@@ -624,9 +811,10 @@ def test_lm_trains_on_every_token_with_its_state(spark):
     n, loss = lm_scoring.train(model, lanes, np.zeros((6, lm_scoring.HIDDEN), np.float32), 0.0, True)
     assert n == len(ids) and -loss == pytest.approx(lm_scoring.likelihood(model, ids, row, len(docs)).sum(), rel=1e-4)
     known = lm_scoring.Known([{"sums": np.zeros((2, 256), np.int64).tobytes(), "words": b"", "counts": b"", "shapes": b""}], lm_scoring.VOCABULARY)
-    texts = spark.createDataFrame([([False, True], ["one " * n, "two " * 50]) for n in (3000, 1, 0, 40, 500)], "held array<boolean>, texts array<string>").repartition(2)
-    rows = texts.mapInArrow(lm_scoring.learned(lm_scoring.Gated.start(known).packed(), 0.001, spark.sparkContext.broadcast(known)), "task long, n double, params binary").collect()
-    assert sum(r.n for r in rows) == 3541 + 5
+    texts = spark.createDataFrame([(t * n, n == 7) for n, t in ((3000, "one "), (1, "one "), (0, ""), (40, "one "), (7, "two "), (500, "one "))], "text string, held_out boolean").repartition(2).selectExpr("1L doc_id", "*")
+    made = lm_scoring.cut(texts.mapInArrow(lm_scoring.blocks(4, 6000), lm_scoring.BLOCKS)).where("shard is null").select("held", "sizes", "tokens", "words", "shapes")
+    many = lambda places: sum(r.n for r in made.mapInArrow(lm_scoring.learned(lm_scoring.Gated.start(known).packed(), 0.001, spark.sparkContext.broadcast(known), places), "task long, n double, params binary").collect())
+    assert many((0, 16)) == 3541 + 5 and sum(many(x) for x in lm_scoring.ROUNDS) == 3541 + 5
 
 
 def test_lm_gradient_stops_at_documents():
@@ -663,7 +851,7 @@ def test_op10_scores_are_the_trained_models(spark, corpus, tmp_path, monkeypatch
     """The registered query's scores, recomputed one document and one token at a time from the parameters that it trained."""
     kept = {}
     train = lm_scoring.trained
-    monkeypatch.setattr(lm_scoring, "trained", lambda pieces, known, shared: kept.setdefault("params", train(pieces, known, shared)))
+    monkeypatch.setattr(lm_scoring, "trained", lambda texts, known, shared: kept.setdefault("params", train(texts, known, shared)))
     frame(spark, corpus).write.parquet(f"{tmp_path}/documents.parquet")
     got = Counter((r.doc_id, r.n_tokens, round(r.score, 2)) for r in lm_scoring.op10_lm_scoring(spark, str(tmp_path)).collect())
     p = lm_scoring.Gated.unpacked(kept["params"]).p
@@ -703,7 +891,7 @@ def test_lm_blocks_do_not_follow_keys(spark):
     """Rows without an id, or of one id and text, are dealt to blocks by their bytes alone."""
     rows = spark.createDataFrame([(None, "some words " * 20)] * 300 + [(7, "the same " * 20)] * 300, "doc_id long, text string").repartition(2)
     made = rows.selectExpr("doc_id", "text", "false held_out").mapInArrow(lm_scoring.blocks(4, 6000), lm_scoring.BLOCKS)
-    assert made.where("seq is not null").select("block").distinct().count() >= 20
+    assert made.where("shard is null").select("block").distinct().count() >= 20
     got = lm_scoring.score(rows, block_bytes=6000).collect()
     assert len(got) == 600 and len({(r.doc_id, round(r.score, 3)) for r in got}) == 2
 
