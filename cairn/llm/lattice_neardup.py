@@ -1,13 +1,17 @@
 """Embedding near-dedup by lattice hashing.
 
 Each table projects vectors of length 1 onto eight random orthonormal directions, scales and shifts them, and decodes the
-result to the nearest point of the E8 lattice: that cell is the table's bucket. Each vector also probes the neighbouring
-cells (of the 240 around its own) that it lies nearest to. Two vectors meet where one's cell is the other's cell or probe,
-and every pair that meets is verified by its cosine in double precision.
+result to the nearest point of the E8 lattice: that cell, hashed, is the table's bucket. Each vector also probes the
+neighbouring cells (of the 240 around its own) that it lies nearest to. Two vectors meet where one's cell is the other's
+cell or probe, and every pair that meets is verified by its cosine in double precision.
 
 Equal vectors are one class with a multiplicity before anything is hashed, so copies are never paired with each other.
-Cells of more than CELL rows are split: blocks of their members meet pairwise, each pair of blocks in a task of its own.
-Only verified links leave a task; no candidate does.
+Buckets are shuffled without vectors first; only rows of buckets that hold a pair get theirs. Buckets of more than CELL
+rows are split: blocks of their members meet pairwise, each pair of blocks in a task of its own.
+
+No pair leaves a task, so a group of n different near copies costs rows in proportion to n, not n squared. A pair may meet
+in several tables; it is counted in the first, which each task can tell from the two vectors' bucket numbers. A task gives
+each vector's number of links that it counted, and a spanning forest of the links that it saw.
 
 At cosine 0.9, the least that counts, a pair of 64 components meets in one table with probability of about 0.4, and in
 one of TABLES with more than 0.99; tests measure recall against brute force.
@@ -72,9 +76,9 @@ def directions(dims: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 
 def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
-    """Cell keys [row, table, own cell and probes] of vectors of length 1."""
+    """Bucket numbers [row, table, own cell and probes], 32 bits each, of vectors of length 1; probes that repeat a number are 0."""
     q, shift, odd = directions(unit.shape[1], tables, seed)
-    out = np.empty((len(unit), tables, 1 + probes), np.int64)
+    out = np.empty((len(unit), tables, 1 + probes), np.uint32)
     near = roots()
     for t in range(tables):
         y = unit @ q[t] * scale + shift[t]
@@ -83,12 +87,30 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
         far = (near**2).sum(1) / 4 - (y - c / 2) @ near.T
         best = np.argsort(far, axis=1, kind="stable")[:, :probes]
         points = np.concatenate((c[:, None], c[:, None] + near[best]), axis=1)
-        out[:, t] = mixed((points.astype(np.uint64) * odd).sum(2) + np.uint64(((t + 1) * int(A) + unit.shape[1]) % (1 << 64))).view(np.int64)
+        out[:, t] = np.maximum(mixed((points.astype(np.uint64) * odd).sum(2) + np.uint64(unit.shape[1])) >> np.uint64(32), np.uint64(1))
+    for j in range(1, 1 + probes):
+        out[:, :, j] *= (out[:, :, j, None] != out[:, :, :j]).all(2)
     return out
 
 
-def hashed(tables: int, probes: int, scale: float, seed: int):
-    """A map of (id, v) to (cell, id, own, v): own cells and probes."""
+def units(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1."""
+    most = np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v / most, axis=1, keepdims=True) / most
+
+
+def packed(kind: type):
+    """A map of (id, v, m) to (id, m, v in bytes of kind)."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([np.array(x.as_py(), kind).tobytes() for x in b.column(1)], pa.binary())], ["id", "m", "v"])
+
+    return f
+
+
+def hashed(tables: int, probes: int, scale: float, seed: int, kind: type):
+    """A map of (id, v) to (id, buckets): a vector's bucket numbers, own cell and probes of table after table."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,56 +118,110 @@ def hashed(tables: int, probes: int, scale: float, seed: int):
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 for part in np.array_split(at, max(1, len(at) // 2048)):
-                    v = np.array([b.column(1)[int(i)].as_py() for i in part])
-                    unit = v / np.linalg.norm(v / np.abs(v).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(1, keepdims=True)
+                    unit = units(np.array([b.column(1)[int(i)].as_py() for i in part]).astype(kind).astype(np.float64))
                     keys = cells(unit, tables, probes, scale, seed).reshape(len(part), -1)
-                    n = keys.shape[1]
-                    rows = np.repeat(np.arange(len(part)), n)
-                    own = np.tile(np.arange(n) % (1 + probes) == 0, len(part))
-                    packed = [x.tobytes() for x in unit]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(pa.array(part)).take(pa.array(rows)), pa.array(own), pa.array([packed[i] for i in rows], pa.binary())], ["cell", "id", "own", "v"])
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel().view(np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part)), flat], ["id", "buckets"])
 
     return f
 
 
-def linked(least: float):
-    """A grouped map: one share of the cells to verified links (a, b), a < b."""
+def _met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether pairs of vectors meet in a table, from their bucket numbers [pair, own cell and probes]."""
+    return ((x[:, :1] == y) | (x == y[:, :1])).any(1)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the least one that edges (a, b) reach: minima spread over edges and along their own paths."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def linked(least: float, tables: int, kind: type):
+    """A grouped map: one share of the buckets to links counted (a, n) and edges of a spanning forest of links seen (a, b)."""
+
+    def one(table_: int, x: np.ndarray, keys: np.ndarray, ids: np.ndarray, own: np.ndarray, m: np.ndarray, block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(links counted of each member, forest of the links seen) of a bucket, or of two blocks of a split one."""
+        seen, many, mine = [], np.zeros(len(ids), np.int64), np.flatnonzero(own)
+        for part in np.array_split(mine, max(1, len(mine) * len(ids) >> 20)):
+            a, b = np.nonzero(x[part] @ x.T >= least)
+            a = part[a]
+            keep = ids[a] != ids[b]
+            if block is not None:  # only across
+                keep &= block[a] != block[b]
+            a, b = a[keep], b[keep]
+            seen.append(_thin(a, b, len(ids)))
+            # a pair counts in its first table; there, in the smaller id's cell if each is the other's probe
+            keep = ~own[b] | (ids[a] < ids[b])
+            a, b = a[keep], b[keep]
+            for before in range(table_):
+                keep = ~_met(keys[a, before], keys[b, before])
+                a, b = a[keep], b[keep]
+            twice = ~own[b] & (keys[b, table_, :1] == keys[a, table_]).any(1) & (ids[b] < ids[a])
+            a, b = a[~twice], b[~twice]
+            many += np.bincount(a, m[b], len(ids)).astype(np.int64) + np.bincount(b, m[a], len(ids)).astype(np.int64)
+        return many, _thin(*np.concatenate(seen, 1), len(ids))
 
     def f(t: pa.Table) -> pa.Table:
-        cell, ids, own, left, other = (t[c].to_numpy() for c in ("cell", "id", "own", "part", "other"))
-        v = t["v"]
-        order = np.lexsort((other, left, cell))
-        edge = np.flatnonzero((np.diff(cell[order]) != 0) | (np.diff(left[order]) != 0) | (np.diff(other[order]) != 0)) + 1
-        block = t["block"].to_numpy()
-        found = []
-        for at in np.split(order, edge):
-            if not own[at].any() or len(at) < 2:
-                continue
-            x = np.frombuffer(b"".join(v[int(i)].as_py() for i in at)).reshape(len(at), -1)
-            mine = np.flatnonzero(own[at])
-            for part in np.array_split(mine, max(1, len(mine) * len(at) >> 22)):
-                a, b = np.nonzero(x[part] @ x.T >= least)
-                a = part[a]
-                if left[at[0]] != other[at[0]]:  # two blocks of a split cell: only across
-                    keep = block[at[a]] != block[at[b]]
-                    a, b = a[keep], b[keep]
-                p, q = ids[at[a]], ids[at[b]]
-                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q])
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        bucket, ids, own, m, left, other, block = (t[c].to_numpy() for c in ("bucket", "id", "own", "m", "part", "other", "block"))
+        v = t["v"].combine_chunks()
+        offset = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64)
+        data, size = np.frombuffer(v.buffers()[2], np.uint8), np.diff(offset)
+        keys = t["buckets"].combine_chunks().flatten().to_numpy().reshape(len(ids), tables, -1)
+        links, ends = [], []
+        for d in np.unique(size):  # vectors of other lengths may share a bucket's number
+            of = np.flatnonzero(size == d)
+            x = units(data[offset[of, None] + np.arange(d)].view(kind).astype(np.float64))
+            order = np.lexsort((other[of], left[of], bucket[of]))
+            of, x = of[order], x[order]
+            edge = np.flatnonzero((np.diff(bucket[of]) != 0) | (np.diff(left[of]) != 0) | (np.diff(other[of]) != 0)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(of)], strict=True):
+                at = of[lo:hi]
+                if len(at) < 2 or not own[at].any():
+                    continue
+                many, forest = one(int(bucket[at[0]] >> 32), x[lo:hi], keys[at], ids[at], own[at], m[at], block[at] if left[at[0]] != other[at[0]] else None)
+                some = np.flatnonzero(many)
+                links.append((ids[at[some]], many[some]))
+                ends.append((ids[at[forest[0]]], ids[at[forest[1]]]))
+        none = (np.zeros(0, np.int64),) * 2
+        (a, n), (p, q) = (tuple(np.concatenate(z) for z in zip(*rows, strict=True)) if rows else none for rows in (links, ends))
+        b, many = np.concatenate((np.zeros(len(a), np.int64), q)), np.concatenate((n, np.zeros(len(p), np.int64)))
+        edge_ = np.arange(len(b)) >= len(a)
+        return pa.table({"a": np.concatenate((a, p)), "b": pa.array(b, mask=~edge_), "n": pa.array(many, mask=edge_)})
 
     return f
 
 
-def links(classes: DataFrame, least: float = LEAST, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED, cell_rows: int = CELL) -> DataFrame:
-    """Distinct links (a, b), a < b, between rows of classes (id, v), v an array of doubles."""
-    rows = cut(classes.mapInArrow(hashed(tables, probes, scale, seed), "cell long, id long, own boolean, v binary"), "cells")
-    big = rows.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("blocks"))
-    rows = rows.join(big, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", "id", "own", "v", "block", F.least("block", "peer").alias("part"), F.greatest("block", "peer").alias("other"))
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("cell", "part", "other"), F.lit(8 * shards(classes.sparkSession))))
-    return rows.groupBy("share").applyInArrow(linked(least), "a long, b long").distinct()
+def _thin(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """A spanning forest of edges (a, b) among n nodes."""
+    root = _forest(a, b, n)
+    there = np.flatnonzero(root != np.arange(n))
+    return np.stack([there, root[there]])
+
+
+def links(classes: DataFrame, least: float = LEAST, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED, cell_rows: int = CELL, single: bool = False) -> DataFrame:
+    """Of classes (id, v, m), v an array of doubles and m its multiplicity: (a, null, n), links of a that a task counted, to be summed; (a, b, null), links that span all components. single: v holds single precision."""
+    kind = np.float32 if single else np.float64
+    spark = classes.sparkSession
+    vectors = cut(classes.select("id", "v", "m").mapInArrow(packed(kind), "id long, m long, v binary"), "vectors")
+    keys = cut(classes.select("id", "v").mapInArrow(hashed(tables, probes, scale, seed, kind), "id long, buckets array<int>"), "buckets")
+    each = 1 + probes
+    rows = keys.select("id", F.posexplode("buckets").alias("at", "number")).where("number <> 0")
+    rows = rows.select("id", F.shiftleft(F.floor(F.col("at") / each).cast("long"), 32).bitwiseOR(F.col("number").cast("long").bitwiseAND(0xFFFFFFFF)).alias("bucket"), (F.col("at") % each == 0).alias("own"))
+    # buckets that hold a pair, with the number of blocks; no vector is shuffled for the others
+    live = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("bucket", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"))
+    rows = rows.join(live, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(vectors.join(keys, "id"), "id").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "id", "own", "m", "v", "buckets", "block", F.least("block", "peer").alias("part"), F.greatest("block", "peer").alias("other"))
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("bucket", "part", "other"), F.lit(8 * shards(spark))))
+    return rows.groupBy("share").applyInArrow(linked(least, tables, kind), "a long, b long, n long")
 
 
 def neardup(vectors: DataFrame, key: str = "vec_id", value: str = "embedding", **how) -> DataFrame:
@@ -155,10 +231,10 @@ def neardup(vectors: DataFrame, key: str = "vec_id", value: str = "embedding", *
     good = F.col("id").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = cut(rows.withColumn("v", F.when(good, F.col("v"))), "vectors")
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")).select("id", "m", "v"), "classes")
-    pairs = cut(links(classes.select("id", "v"), **how), "links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("id").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("others"))
-    comp = components(pairs.unionByName(rows.where("v is not null").join(classes.select("v", F.col("id").alias("b")), "v").select(F.col("id").alias("a"), "b")))
+    single = vectors.schema[value].dataType.simpleString() == "array<float>"
+    found = cut(links(classes, single=single, **how), "links")
+    others = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("others"))
+    comp = components(found.where("b is not null").select("a", "b").unionByName(rows.where("v is not null").join(classes.select("v", F.col("id").alias("b")), "v").select(F.col("id").alias("a"), "b")))
     own = classes.join(others.withColumnRenamed("a", "id"), "id", "left").select("v", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n"))
     out = rows.join(own, "v", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
