@@ -6,8 +6,13 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,33 +39,73 @@ def lower_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER)
 
 
+_HERE: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder of this machine only where it is unset and Spark runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if context.applicationId not in _HERE:
+            _HERE[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        at = _HERE[context.applicationId]
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
-    """Written to the shared folder and read back: lineage ends, and a lost executor loses nothing."""
+def cut(df: DataFrame, name: str = "cut", compression: str = "snappy", keep: bool = False) -> DataFrame:
+    """Written to the shared folder and read back: lineage ends, and a lost executor loses nothing. Within scratch(), removed at its end unless keep is set."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(at)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what cut() wrote within: results that read those tables must have been written or collected by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for at in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path) of a folder or file in the shared folder, for tasks that stream files themselves.
+
+    Local paths and file:, s3:, s3a:, s3n:, gs:, abfs: and hdfs: work where pyarrow has the store; dbfs: by its mount.
+    """
+    for known, own in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "/dbfs/")):
+        if uri.startswith(known):
+            uri = own + uri[len(known) :].lstrip("/" if known == "dbfs:/" else "")
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file:///" + uri[len("file:/") :].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
 def shards(spark: SparkSession) -> int:
     """Shuffle partitions, which the user sets by the size of the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts that fit a Python worker, whatever the texts' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about most bytes in a column of texts, or one longer text. Spark bounds a batch's bytes itself; this bounds what is made of it in Python, whatever the session's number of rows a batch."""
+    for b in batches:
+        if b.num_rows:
+            size = pc.fill_null(pc.binary_length(b.columns[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            edge = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows], strict=True):
+                yield b.slice(i, j - i)
 
 
 def release() -> None:

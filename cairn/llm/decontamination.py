@@ -26,11 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, shared_folder, small_batches, table
+from .common import LOWER, UPPER, cut, shared_folder, slices, store, table
 from .hashing import words
 
 WINDOW, BLOCK, CHUNK, PORTION = 10, 4 << 20, 8 << 20, 1 << 19
@@ -233,7 +232,7 @@ _HERE: dict[tuple, Questions] = {}
 def questions(path: str, window: int) -> Questions:
     """The chunk's questions; a worker keeps one chunk."""
     if (path, window) not in _HERE:
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = store(path)
         t = pads.dataset(at, filesystem=fs, format="parquet").to_table(columns=["item_id", "text"])
         _HERE.clear()
         _HERE[path, window] = Questions(list(zip(*t.to_pydict().values(), strict=True)), window)
@@ -242,7 +241,6 @@ def questions(path: str, window: int) -> Questions:
 
 def indexed(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK) -> DataFrame:
     """The index of docs (key, text), a row a block, in the shared folder."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), "text")
     names = ["keys", *_PARTS]
 
@@ -252,7 +250,7 @@ def indexed(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK) -> D
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(kind)), *(pa.array([x], pa.binary()) for x in Postings.of(texts).packed())], names)
 
-        for b in batches:
+        for b in slices(batches, 1):
             kind = b.schema.field(0).type
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(k)
@@ -298,7 +296,6 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: b
                 yield done(b.column(0)[i].values, Postings.unpacked([b.column(j)[i].as_py() for j in range(1, b.num_columns)]))
 
     kind = index.schema["keys"].dataType.elementType.simpleString()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a block
     out = index.mapInArrow(f, f"key {kind}, n_words long, n_hit long, hits array<struct<start:long,stop:long>>, items array<string>, near_items array<string>")
     return out
 
@@ -309,13 +306,12 @@ def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any benchmark window, all columns kept. Each Arrow batch is a block, indexed and asked at once."""
+    """The rows of docs without any benchmark window, all columns kept. A slice of BLOCK bytes of a batch is a block, indexed and asked at once."""
     spark = docs.sparkSession
-    small_batches(spark)
     paths, at = chunks(benchmark), docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at, BLOCK):
             if b.num_rows:
                 block, clean = Postings.of(b.column(at).to_pylist()), np.ones(b.num_rows, bool)
                 for p in paths:
@@ -326,28 +322,40 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's benchmark words and items."""
-    got = matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
-    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's items with exact and with proximity matches; beyond op9_decontamination's columns, which its SQL gives."""
+    """Every document's benchmark words and items, and the items that it holds in proximity."""
     got = matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    count = lambda c: F.size(c).cast("long")
-    return got.select("doc_id", "n_words", "n_hit", count("items").alias("n_items"), count("near_items").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"), (count("near_items") > 0).alias("near"))
+    count, sha = (lambda c: F.size(c).cast("long")), (lambda c: F.sha2(F.array_join(c, ","), 256))
+    return got.select("doc_id", "n_words", "n_hit", count("items").alias("n_items"), sha("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), count("near_items").alias("n_near"), sha("near_items").alias("near_sha256"))
 
 
 OP9_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 n AS (SELECT item_id, w, least(len(w), 10) AS l FROM b WHERE len(w) > 0),
-win AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM n)),
+win AS MATERIALIZED (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM n)),
 ls AS (SELECT DISTINCT l FROM win),
 dw AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, ls WHERE len(w) >= l)),
-m AS (SELECT dw.doc_id, dw.i, dw.l, win.item_id FROM dw JOIN win USING (l, g)),
+m AS MATERIALIZED (SELECT dw.doc_id, dw.i, dw.l, win.item_id FROM dw JOIN win USING (l, g)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+-- windows for proximity: the words with the number of the same before them, all but one in five of which 20 words must hold
+g AS MATERIALIZED (SELECT row_number() OVER () AS win, l, g FROM (SELECT DISTINCT l, g FROM win)),
+tok AS MATERIALIZED (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+gw AS (SELECT win, l, unnest(string_split(g, ' ')) AS word FROM g),
+gc AS MATERIALIZED (SELECT win, any_value(l) AS l, word, count(*) AS need FROM gw GROUP BY win, word),
+freq AS (SELECT word, count(*) AS f FROM tok WHERE word IN (SELECT word FROM gc) GROUP BY word),
+-- a span that lacks at most l / 5 words of a window holds one of as many words and one more, whichever are rarest
+rk AS MATERIALIZED (SELECT win, l, word FROM (SELECT gc.win, gc.l, gc.word, sum(need) OVER (PARTITION BY gc.win ORDER BY coalesce(f, 0), gc.word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gc LEFT JOIN freq USING (word)) WHERE coalesce(before, 0) <= l // 5),
+cand AS MATERIALIZED (SELECT DISTINCT tok.doc_id, tok.p, rk.win, rk.l FROM tok JOIN rk USING (word)),
+-- occurrences of the window's words near a candidate
+occ AS (SELECT c.doc_id, c.p, c.win, c.l, gc.word, gc.need, tok.p AS q FROM cand c JOIN gc ON gc.win = c.win JOIN tok ON tok.doc_id = c.doc_id AND tok.word = gc.word AND tok.p BETWEEN c.p - 19 AND c.p + 19),
+near AS MATERIALIZED (SELECT doc_id, p, win, l FROM (SELECT doc_id, p, win, any_value(l) AS l, word, least(any_value(need), count(*)) AS have FROM occ GROUP BY doc_id, p, win, word) GROUP BY doc_id, p, win, l HAVING sum(have) >= l - l // 5),
+-- each span of 20 words with the candidate in it
+span AS (SELECT n.doc_id, n.win, n.l, n.p, s.s, gc.word, least(any_value(gc.need), count(*)) AS have FROM near n, range(20) AS s(s), gc, tok
+  WHERE gc.win = n.win AND tok.doc_id = n.doc_id AND tok.word = gc.word AND tok.p BETWEEN n.p - s.s AND n.p - s.s + 19 GROUP BY ALL),
+full_ AS (SELECT DISTINCT doc_id, win FROM (SELECT doc_id, win, p, s, l FROM span GROUP BY doc_id, win, p, s, l HAVING sum(have) >= l - l // 5)),
+c AS (SELECT doc_id, count(*) AS n_near, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT full_.doc_id, CAST(win.item_id AS VARCHAR) AS item FROM full_ JOIN g ON g.win = full_.win JOIN win ON win.l = g.l AND win.g = g.g) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(t.s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near, coalesce(c.s, sha256('')) AS near_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
 """

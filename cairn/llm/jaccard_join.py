@@ -28,17 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, UPPER, components, cut, lower_bytes, small_batches, table, unused
+from .common import LOWER, UPPER, components, cut, lower_bytes, slices, table, unused
 from .hashing import A, B, mixed, shingles
 
 SLOTS, SLICE, FAN_IN, PORTION, HUB_ROUNDS = 1 << 18, 1 << 12, 64, 1 << 20, 3
 EMPTY = 0
+#: Different sets that a task keeps, to tell equal ones before they are shuffled.
+SEEN = 1 << 18
 
 
 def portions(batches: Iterator[pa.RecordBatch], size: int, most: int = PORTION) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(first columns as lists, sets) of about most bytes of text at a time; the text is the last column."""
     held, texts, n = [], [], 0
-    for b in batches:
+    for b in slices(batches, -1):
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             held.append(row[:-1])
             texts.append(lower_bytes(row[-1]))
@@ -64,21 +66,26 @@ def slots(h: np.ndarray) -> np.ndarray:
 
 
 def surveyed(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """((id, n, f): of every row of docs (id, text); (slice, counts): document frequencies by slot)."""
+    """((id, n, f, lead): of every row of docs (id, text), lead the first id with an equal set in its task; (slice, counts): document frequencies by slot)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(SLOTS, np.int64), ["id", "n", "f", "slice", "task", "counts"]
+        total, names = np.zeros(SLOTS, np.int64), ["id", "n", "f", "lead", "slice", "task", "counts"]
+        first: dict[int, int] = {}
         for held, sets in portions(batches, size):
             for s in sets:
                 if len(s):
                     np.add.at(total, slots(s), 1)
-            none = pa.nulls(len(held), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), none, none, pa.nulls(len(held), pa.binary())], names)
+            none, prints, lead = pa.nulls(len(held), pa.int32()), [fingerprint(s) for s in sets], []
+            for (ident,), x in zip(held, prints, strict=True):
+                if ident is not None and x != EMPTY and len(first) < SEEN:
+                    first.setdefault(x, ident)
+                lead.append(None if ident is None else first.get(x, ident))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array(lead, pa.int64()), none, none, pa.nulls(len(held), pa.binary())], names)
         n = SLOTS // SLICE
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([x.tobytes() for x in total.reshape(n, SLICE)], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([x.tobytes() for x in total.reshape(n, SLICE)], pa.binary())], names)
 
-    got = cut(docs.mapInArrow(f, "id long, n long, f long, slice int, task int, counts binary"), "survey")
+    got = cut(docs.mapInArrow(f, "id long, n long, f long, lead long, slice int, task int, counts binary"), "survey")
 
     def add(t: pa.Table) -> pa.Table:
         x = sum(np.frombuffer(c.as_py(), np.int64) for c in t["counts"])
@@ -91,7 +98,7 @@ def surveyed(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         if (top := -(-top // FAN_IN)) <= 1:
             break
         sketch = cut(sketch, "sketch")
-    return got.where("slice is null").select("id", "n", "f"), sketch
+    return got.where("slice is null").select("id", "n", "f", "lead"), sketch
 
 
 def prefixes(docs: DataFrame, size: int, per_cent: int, frequency: np.ndarray) -> DataFrame:
@@ -105,7 +112,7 @@ def prefixes(docs: DataFrame, size: int, per_cent: int, frequency: np.ndarray) -
             for (ident,), s in zip(held, sets, strict=True):
                 if not len(s) or ident is None or (own := fingerprint(s)) in seen:
                     continue
-                if len(seen) < 1 << 18:  # equal sets meet later anyway
+                if len(seen) < SEEN:  # equal sets meet later anyway
                     seen.add(own)
                 n = len(s)
                 p = n - -(-per_cent * n // 100) + 1
@@ -143,7 +150,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, per_cent: int) -> Da
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in slices(batches, 4):
             left, right = [], []
             for a, fa, b, fb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last[0] != (b, fb):  # rows come by b: a hub's set is made once
@@ -165,14 +172,16 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, per_cent: int) -> Da
 def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int = 90) -> DataFrame:
     """key, n_shingles and component_id (the least key reachable by links) of every row of docs (key, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     own = docs.select(F.col(key).cast("long").alias("id"), "text")
     rows, sketch = surveyed(own, size)
     frequency = np.zeros((SLOTS // SLICE, SLICE), np.int64)
     for r in sketch.collect():  # SLOTS numbers
         frequency[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    equal = rows.where(F.col("id").isNotNull() & (F.col("f") != EMPTY)).groupBy("f").agg(F.min("id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
-    links = rows.join(equal, "f").where("id <> b").select(F.col("id").alias("a"), "b")
+    # equal sets: a task's own meet in its first one, those of different tasks by fingerprint, so a group has a row a task there
+    sets = rows.where(F.col("id").isNotNull() & (F.col("f") != EMPTY))
+    leads = sets.where("id = lead").select("id", "f").distinct()
+    equal = leads.groupBy("f").agg(F.min("id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
+    links = leads.join(equal, "f").where("id <> b").select(F.col("id").alias("a"), "b").unionByName(sets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")))
 
     # members of groups of more than one set; the window is one shuffle of prefix shingles
     by = W.partitionBy("h")
@@ -182,8 +191,7 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
     member = cut(member.select("h", "id", "f", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos")), "members")
     texts = cut(own.join(member.select("id").distinct(), "id"), "texts")
 
-    state, done = cut(links, "links"), None
-    comp = components(state)
+    comp, done = components(links), None
     for round_ in range(HUB_ROUNDS + 1):
         lead = member.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         lead = lead.withColumn("open", F.min("component").over(by) != F.max("component").over(by)).where("open").drop("open")
@@ -206,14 +214,14 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
         found = cut(verified(pairs.select("a", "fa", "b", "fb"), texts, size, per_cent), "links")
         done = pairs.select("fa", "fb") if done is None else done.unionByName(pairs.select("fa", "fb"))
         if not found.isEmpty():
-            state = state.unionByName(found)
-            comp = components(state)
+            # components so far are stars: they stand for all links before
+            comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     out = rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = 3, per_cent: int = 90) -> DataFrame:
-    """The rows of docs (doc_id, text and more) with the least doc_id of their component; of rows that repeat doc_id and text, one. A null doc_id is kept."""
+    """The rows of docs (doc_id, text and more) with the least doc_id of their component; of rows that repeat doc_id and text, one. A null doc_id is kept; rows that share a doc_id are one node of the join, and go together."""
     gone = joined(docs, "doc_id", size, per_cent).where("doc_id <> component_id").select("doc_id").distinct()
     copy = unused("copy", docs.columns)
     once = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, table
+from .common import LOWER, UPPER, cut, table, unused
 
 BITS_PER_KEY, HASHES, KEYS_PER_PASS, MAX_LEVELS = 10, 4, 1 << 22, 40
 #: A bitmap of bitmap_construct_agg has so many bits.
@@ -45,8 +45,8 @@ def positions(key: Column, bits: int, level: int, shard: int) -> list[Column]:
 
 def level_filter(keys: DataFrame, n: int, level: int, shard: int) -> tuple[Column, int]:
     """The level's bits as a scalar subquery, and their number."""
-    buckets = max(1, -(-n * BITS_PER_KEY // BITMAP))
-    bits = buckets * BITMAP
+    bits = max(64, n * BITS_PER_KEY)
+    buckets = -(-bits // BITMAP)
     at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, level, shard))).alias("p"))
     maps = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
     whole = keys.sparkSession.range(1, buckets + 1).withColumnRenamed("id", "b").join(maps, "b", "left").select("b", F.coalesce(F.hex("m"), F.lit("00" * (BITMAP // 8))).alias("m"))
@@ -92,21 +92,22 @@ def cascade(listed: DataFrame, universe: DataFrame, key: Column, keys_per_pass:
     return out
 
 
-def judged(rows: DataFrame, host: str, path: str, listed: DataFrame, universe: DataFrame, rules=RULES, keys_per_pass: int = KEYS_PER_PASS) -> DataFrame:
-    """rows with rule (null where none fits) and verdict: the longest fitting rule's, else block for listed hosts and allow for the rest."""
-    rule, verdict = F.lit(None).cast("string"), F.when(cascade(listed, universe, F.col(host), keys_per_pass), "block").otherwise("allow")
+def judged(rows: DataFrame, host: str, path: str, key: Column, listed: DataFrame, universe: DataFrame, rules=RULES, keys_per_pass: int = KEYS_PER_PASS) -> DataFrame:
+    """rows with rule (null where none fits) and verdict: the longest fitting rule's, else block for listed keys and allow for the rest. Where rows has columns of these names, the new ones get underscores before them."""
+    rule, verdict = F.lit(None).cast("string"), F.when(cascade(listed, universe, key, keys_per_pass), "block").otherwise("allow")
     for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col(host) == h) | F.col(host).endswith("." + h)) & F.col(path).startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
-    return rows.withColumns({"rule": rule, "verdict": verdict})
+    return rows.withColumns({unused("rule", rows.columns): rule, unused("verdict", rows.columns): verdict})
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict. The list that the cascade encodes: hosts of mobile mirrors, m.*, among all pages' hosts."""
+    """Every page's verdict. The list that the cascade encodes: host and path of all pages of mobile mirrors, m.*, among those of all pages."""
     host, path = parts(F.col("url"))
     pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
-    universe = pages.select(F.col("host").alias("key")).distinct()
-    return judged(pages, "host", "path", universe.where(F.col("key").startswith("m.")), universe)
+    key = F.concat("host", "path")
+    universe = pages.select(key.alias("key")).distinct()
+    return judged(pages, "host", "path", key, universe.where(F.col("key").startswith("m.")), universe)
 
 
 OP7_SQL = r"""

@@ -7,12 +7,12 @@ WARC-Payload-Digest. No more than one record and one block are in memory.
 Duplicates: of records with equal payloads of at least min_bytes the one with the largest id holds the payload
 (response), the others revisit it. Digests are grouped by partial aggregation, and AQE splits a hot digest in the join.
 
-Files go to the session's shared folder through pyarrow.fs, so local paths and stores with a URI scheme both work. A task
+Files go to the session's shared folder through pyarrow.fs, for the schemes that common.store() names. A task
 writes under a name of its own attempt, and only the names that successful tasks report are read: a lost executor's
 retry can't mix two attempts.
 
 Defined cases: a null payload is empty; a null url is written without WARC-Target-URI; rows that repeat an id are
-records of their own, of which one is the response; a null id is the smallest. A corrupt member, a short record or a wrong
+records of their own, and all responses where that id is the largest of its group; a null id is the smallest. A corrupt member, a short record or a wrong
 digest raises.
 """
 
@@ -25,11 +25,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder, small_batches, table
+from .common import cut, shared_folder, slices, store, table
 
 BLOCK = 1 << 16
 LEVEL = 4
@@ -98,9 +97,9 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
     """Archives in folder, one a task; (path, records) of each."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = store(folder)
         name, out, n = f"{uuid.uuid4().hex}.warc.gz", None, 0
-        for b in batches:
+        for b in slices(batches, 2):
             for ident, url, body, revisit, best in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None:
                     fs.create_dir(base, recursive=True)
@@ -130,7 +129,7 @@ def read(archives: DataFrame) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                fs, at = pafs.FileSystem.from_uri(path)
+                fs, at = store(path)
                 rows, held = [], 0
                 with fs.open_input_stream(at, compression=None) as stream:
                     for raw in members(stream):
@@ -151,7 +150,6 @@ def read(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archives pages (page_id, url, html) in the shared folder and reads them back."""
     spark = pages.sparkSession
-    small_batches(spark)
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("body")
     planned = plan(pages.select("page_id", "url", body), min_bytes)
     return read(write(planned, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"))
