@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, jaccard_join, mixing, quality_classifier, secret_scans
-from cairn.llm.common import cut, table, unused
+from cairn.llm.common import cut, scratch, table, unused
 
 #: Near copies share words in shingles of five with a similarity of 0.8 or more.
 SHINGLE, SIMILAR = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit."""
+    """Documents whose perplexity and marks of toxic texts are within their language's limits."""
     return quality_classifier.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id. Rows without a doc_id stay."""
+    """One document of each group of near copies: the one with the least doc_id. Rows without a doc_id stay; rows that share one are one document, and go or stay together."""
     return jaccard_join.representatives(docs, size=SHINGLE, per_cent=SIMILAR)
 
 
@@ -48,10 +48,11 @@ STAGES = [("quality_classifier", quality), ("jaccard_join", near_copies), ("deco
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's result written to the shared folder and read back."""
+    """All stages over documents, each stage's result written to the shared folder and read back; what a stage wrote besides is removed then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
