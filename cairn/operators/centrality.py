@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,19 +52,22 @@ def mean_neighbour_degree(edges: DataFrame, weighted: bool = False) -> DataFrame
     return by.agg(F.avg("m").alias("value"))
 
 
-def hops(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(source, node, depth) of all pairs connected in the undirected network: a frontier joined to its neighbours, level by level."""
+def hops(edges: DataFrame, most: int = 1000, sources: DataFrame | None = None) -> DataFrame:
+    """(source, node, depth) of all pairs connected in the undirected network, or of those from sources (node): a frontier joined to its neighbours, level by level.
+
+    A neighbour of a level is in it or in one beside it, so new pairs are told by the last two levels alone.
+    """
     arcs = cut(network.both_ways(network.undirected(edges)).select("src", "dst").where("src <> dst"), "arcs")
-    seen = cut(arcs.select(F.col("src").alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("depth")), "hops")
-    front, all_ = seen, seen
+    starts = arcs.select(F.col("src").alias("source")).distinct() if sources is None else sources.select(F.col("node").alias("source")).distinct()
+    seen = cut(starts.select("source", F.col("source").alias("node"), F.lit(0).alias("depth")), "hops")
+    before, front, levels = seen.limit(0), seen, [seen]
     for depth in range(1, most + 1):
         step = front.select("source", F.col("node").alias("src")).join(arcs, "src").select("source", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(all_.select("source", "node"), ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)), "hops")
+        last = before.unionByName(front).select("source", "node")
+        before, front = front, cut(step.join(last, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)), "hops")
         if front.isEmpty():
-            return all_
-        all_ = all_.unionByName(front)
-        if depth % 8 == 0:
-            all_ = cut(all_, "hops")
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(front)
     raise RuntimeError(f"distances above {most}")
 
 
@@ -90,14 +94,25 @@ def largest_component(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(F.broadcast(best), "component").select("node")  # one row
 
 
-def eccentricity(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, ecc): the largest hop distance; raises where the network isn't connected."""
-    d = cut(hops(edges), "hops")
+def eccentricity(vertices: DataFrame, edges: DataFrame, batch: int = 256) -> DataFrame:
+    """(node, ecc): the largest hop distance; raises where the network isn't connected.
+
+    By bounds, not from all pairs: a source's distances d and eccentricity e bound a node's between max(d, e - d) and e + d.
+    Each round takes sources among the nodes whose bounds differ, those with the highest upper and the lowest lower ones,
+    twice as many as the round before, until all bounds meet. A round holds a row a node and source.
+    """
     n = vertices.count()
-    out = d.groupBy(F.col("source").alias("node")).agg(F.max("depth").alias("ecc"), F.count("*").alias("reached"))
-    if n > 1 and (out.where(F.col("reached") < n).limit(1).count() or out.count() < n):
-        raise ValueError("the network isn't connected; take one component")
-    return out.select("node", "ecc")
+    state = cut(vertices.select("node", F.lit(0).alias("lo"), F.lit(1 << 30).alias("hi")), "bounds")
+    while not (open_ := state.where("lo < hi")).isEmpty():
+        high, low = open_.orderBy(F.desc("hi"), "lo", "node").limit(batch // 2), open_.orderBy("lo", F.desc("hi"), F.desc("node")).limit(batch // 2)
+        d = cut(hops(edges, sources=high.union(low).select("node").distinct()), "hops")
+        own = d.groupBy("source").agg(F.max("depth").alias("e"), F.count("*").alias("reached"))
+        if not own.where(F.col("reached") < n).isEmpty():
+            raise ValueError("the network isn't connected; take one component")
+        by = d.join(own, "source").groupBy("node").agg(F.max(F.greatest(F.col("depth"), F.col("e") - F.col("depth"))).alias("a"), F.min(F.col("e") + F.col("depth")).alias("b"))
+        state = cut(state.join(by, "node", "left").select("node", F.greatest("lo", F.coalesce("a", F.lit(0))).alias("lo"), F.least("hi", F.coalesce("b", "hi")).alias("hi")), "bounds")
+        batch *= 2
+    return state.select("node", F.col("lo").alias("ecc"))
 
 
 def radius_diameter(ecc: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.columns import AGGREGATES, described
 from cairn.operators import centrality, network
+from cairn.plans.lineage import cut
 
 #: Edge attributes of lexical enrichment.
 PATH, WUP, SYNONYM, ANTONYM, EDIT = "path_similarity", "wup_similarity", "synonyms", "antonyms", "edit_distance"
@@ -53,6 +54,7 @@ def numeric(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def lexical(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(metric, value): depths of nodes, and weighted mean and deviation of five edge attributes; -1 where none is known."""
+    edges = cut(edges, "enriched")  # read once for each number
     parts = {f"depth_{w}": node_descriptor(vertices, w, "depth") for w in ("max", "min", "mean", "std")}
     for name in (PATH, WUP, SYNONYM, ANTONYM, EDIT):
         parts[f"{name}_avg"] = edge_descriptor(edges, "weighted average", name)
@@ -61,7 +63,7 @@ def lexical(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def node_lexical(vertices: DataFrame, edges: DataFrame, compat: bool = False) -> DataFrame:
-    """Per node, over its out-edges, in one aggregation: max, mean and deviation of the similarities, mean and max of synonymy and antonymy, mean edit distance; -1 where unknown.
+    """Per node, over its out-edges, means first and then deviations from them: max, mean and deviation of the similarities, mean and max of synonymy and antonymy, mean edit distance; -1 where unknown.
 
     compat: the wup columns hold path similarity, as the original definition has it.
     """
@@ -75,29 +77,28 @@ def node_lexical(vertices: DataFrame, edges: DataFrame, compat: bool = False) ->
 
     cols = {}
     for name, data in (("path", PATH), ("wup", PATH if compat else WUP)):
-        # values are within 0 and 1, so moments about 0 lose little
         x = known(data)
-        m = mean(data)
-        var = F.sum(x * x * w) / F.sum(F.when(F.col(data) >= 0, w)) - m * m
-        cols |= {f"{name}_max": F.max(x), f"{name}_avg": m, f"{name}_std": F.sqrt(F.greatest(F.lit(0.0), var))}
+        cols |= {f"{name}_max": F.max(x), f"{name}_avg": mean(data), f"{name}_std": F.sqrt(F.sum(w * F.pow(x - F.col(f"_{data}"), 2)) / F.sum(F.when(F.col(data) >= 0, w)))}
     for name, data in (("synonym", SYNONYM), ("antonym", ANTONYM)):
         cols |= {f"{name}_mean": F.avg(known(data)), f"{name}_max": F.max(known(data)), f"{name}_avg": mean(data)}
     cols["edit_avg"] = mean(EDIT)
-    by = edges.groupBy(F.col("src").alias("node")).agg(*[c.alias(k) for k, c in cols.items()])
+    means = edges.groupBy("src").agg(*[mean(c).alias(f"_{c}") for c in ((PATH,) if compat else (PATH, WUP))])
+    by = edges.join(means, "src").groupBy(F.col("src").alias("node")).agg(*[c.alias(k) for k, c in cols.items()])
     out = vertices.select("node").join(by, "node", "left")
     return out.select("node", *[F.coalesce(k, F.lit(-1.0)).alias(k) for k in cols])
 
 
-def maximising(vertices: DataFrame, edges: DataFrame, column: str, k: int = 20, include_neighbours: bool = False, compat: bool = False) -> DataFrame:
-    """Edges of the subgraph of the k nodes with the largest value of a per-node descriptor."""
-    best = network.top(node_lexical(vertices, edges, compat), column, k).select("node")
-    return network.subgraph(edges, best, include_neighbours)
+def maximising(bundle: DataFrame, edges: DataFrame, column: str, k: int = 20, include_neighbours: bool = False) -> DataFrame:
+    """Edges of the subgraph of the k nodes with the largest value of a column of node_lexical()."""
+    return network.subgraph(edges, network.top(bundle, column, k).select("node"), include_neighbours)
 
 
 def restricted(vertices: DataFrame, edges: DataFrame, k: int = 20, include_neighbours: bool = False) -> DataFrame:
     """The subgraphs that maximise five descriptors, named in column subgraph."""
+    edges = cut(edges, "enriched")
+    bundle = cut(node_lexical(vertices, edges), "bundle")
     parts = {"path": "path_avg", "wup": "wup_avg", "antonym": "antonym_avg", "synonym": "synonym_avg", "edit": "edit_avg"}
-    return reduce(DataFrame.unionByName, [maximising(vertices, edges, c, k, include_neighbours).withColumn("subgraph", F.lit(name)) for name, c in parts.items()])
+    return reduce(DataFrame.unionByName, [maximising(bundle, edges, c, k, include_neighbours).withColumn("subgraph", F.lit(name)) for name, c in parts.items()])
 
 
 def tag_frequency(tags: DataFrame) -> DataFrame:
@@ -132,14 +133,13 @@ def between_clusters(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """Per cluster, over the edges that leave it: number, weighted mean and deviation of path similarity and edit distance."""
     c = clusters.select("node", "cluster")
     out = edges.join(c.withColumnsRenamed({"node": "src", "cluster": "cluster"}), "src").join(c.withColumnsRenamed({"node": "dst", "cluster": "other"}), "dst").where("cluster <> other")
-    w = F.col("weight")
-    cols = [F.count("*").alias("boundary")]
+    w, first, cols = F.col("weight"), [], [F.count("*").alias("boundary")]
     for name in (PATH, EDIT):
         x = F.when(F.col(name) >= 0, F.col(name).cast("double"))
         total = F.sum(F.when(F.col(name) >= 0, w))
-        m = F.sum(x * w) / total
-        cols += [F.coalesce(m, F.lit(-1.0)).alias(f"{name}_avg"), F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.sum(x * x * w) / total - m * m)), F.lit(-1.0)).alias(f"{name}_std")]
-    return out.groupBy("cluster").agg(*cols)
+        first.append((F.sum(x * w) / total).alias(f"_{name}"))
+        cols += [F.coalesce(F.max(f"_{name}"), F.lit(-1.0)).alias(f"{name}_avg"), F.coalesce(F.sqrt(F.sum(w * F.pow(x - F.col(f"_{name}"), 2)) / total), F.lit(-1.0)).alias(f"{name}_std")]
+    return out.join(out.groupBy("cluster").agg(*first), "cluster").groupBy("cluster").agg(*cols)
 
 
 def cluster_report(edges: DataFrame, clusters: DataFrame, relevances: DataFrame, tags: DataFrame) -> DataFrame:

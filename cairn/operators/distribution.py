@@ -24,7 +24,7 @@ def linear_edges(lo: float, hi: float, edges: int = 10) -> list[float]:
 
 
 def unit_edges(lo: float, hi: float, two_valued: bool = False) -> list[float]:
-    """Steps of 1 from lo, ending below hi: larger values fall off. Two-valued data have halves of [0, 1]."""
+    """Steps of 1 from lo, ending below hi: larger values fall off. Data of exactly 0 and 1 have halves of [0, 1]."""
     return [0.0, 0.5, 1.0] if two_valued else [lo + i for i in range(max(0, math.ceil(hi - lo)))]
 
 
@@ -104,7 +104,8 @@ def power_law(values: DataFrame, value: str = "value") -> DataFrame:
 def distribution(metrics: dict[str, DataFrame], edges: int = 10) -> DataFrame:
     """(metric, bins, bin, lo, hi, count, pdf, ccdf, gamma, unknown_share) of each metric's values on linear, unit and log bins.
 
-    There are no unit bins of a range of 1 or less, and log bins only as log_edges() has them; the number of unit bins has no limit.
+    Values that are exactly 0 and 1 have two unit bins and no others. Else there are no unit bins of a range of 1 or less, and
+    log bins only as log_edges() has them; the number of unit bins has no limit.
     """
     parts = []
     for name, values in metrics.items():
@@ -114,13 +115,13 @@ def distribution(metrics: dict[str, DataFrame], edges: int = 10) -> DataFrame:
         known = values.where("value >= 0")
         gamma = power_law(known).first().gamma
         share = unknown_share(values).first().unknown_share
-        two_valued = known.select("value").distinct().limit(3).count() <= 2
-        bins = {"linear": densities(histogram(known, linear_edges(lo, hi, edges)))}
-        if two_valued:
-            bins["unit"] = densities(histogram(known, unit_edges(lo, hi, True)))
-        elif math.ceil(hi - lo) > 1:
-            bins["unit"] = many_densities(unit_histogram(known, lo, hi))
-        if len(at := log_edges(lo, hi, edges)) > 1:
-            bins["log"] = densities(histogram(known, at))
+        if (lo, hi) == (0.0, 1.0) and known.where("value not in (0, 1)").isEmpty():
+            bins = {"unit": densities(histogram(known, unit_edges(lo, hi, True)))}
+        else:
+            bins = {"linear": densities(histogram(known, linear_edges(lo, hi, edges)))}
+            if math.ceil(hi - lo) > 1:
+                bins["unit"] = many_densities(unit_histogram(known, lo, hi))
+            if len(at := log_edges(lo, hi, edges)) > 1:
+                bins["log"] = densities(histogram(known, at))
         parts += [b.select(F.lit(name).alias("metric"), F.lit(kind).alias("bins"), "bin", "lo", "hi", "count", "pdf", "ccdf", F.lit(gamma).cast("double").alias("gamma"), F.lit(share).alias("unknown_share")) for kind, b in bins.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,7 @@ executors. Each Lloyd iteration is one job: assignment is a projection, the upda
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,7 +69,8 @@ def sampled(rows: DataFrame, k: int, seed: int, *by: str) -> DataFrame:
 
 
 def _literal(centers: Centers) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
+    """All centers as one literal, which the optimiser makes of the text."""
+    return F.from_json(F.lit(json.dumps([[float(x) for x in c] for c in centers])), "array<array<double>>")
 
 
 def nearest(features: str, centers: Centers) -> Column:
@@ -135,16 +137,18 @@ def summarised(points: DataFrame, dims: int, clusters: int, growth: int | None =
         m *= step
 
 
-def fit(points: DataFrame, clusters: int = 8, max_part: int = 2, max_iter: int = 300, seed: int | None = None, tol: float = 1e-4, verbose: int = 0, growth: int | None = None) -> Fit:
+def fit(points: DataFrame, clusters: int = 8, max_part: int = 2, max_iter: int = 300, seed: int | None = None, tol: float = 1e-4, verbose: int = 0, growth: int | None = None, start: Centers | None = None) -> Fit:
     """Recursive-partition k-means: Lloyd on a grid's weighted means, then on finer grids, until the centers rest.
 
+    The first centers are cells drawn by the seed, or start where it is given.
+
     Labels are those of each point's cell in the last assignment. n_iter is the zero-based number of the last iteration
     of the last round, iterations the number of all.
     """
     dims = checked(points, clusters, max_part, max_iter, seed, tol, verbose)
     m, lo, hi, cells = summarised(points, dims, clusters, growth)
     n_part = m.bit_length() - 1
-    centers = [list(r.rep) for r in sampled(cells, clusters, seed or 0, "cell").collect()]  # K rows
+    centers = start or [list(r.rep) for r in sampled(cells, clusters, seed or 0, "cell").collect()]  # K rows
     used, done, total, distances, rounds = centers, 0, 0, 0, 0
     while True:
         before = centers

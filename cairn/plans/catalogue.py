@@ -1,21 +1,29 @@
 """Named queries over the driver's tables, with SQL for the same rows.
 
-Points are line items (l_quantity, l_extendedprice) and embeddings' first components. The network is English words in
-sequence: cue, next word, number of times, kept where that number reaches a fiftieth of the number of documents. Queries
-named whole_... take all pairs of all texts.
+Points are line items (l_quantity, l_extendedprice) and embeddings. The network is English words in sequence: cue, next word,
+number of times, kept where that number reaches LEAST, so it grows with the texts. Queries named whole_... take all pairs of
+all texts. Node sets are words of at most three letters; the lexicon knows words that don't end in e.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
+
+import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import AGGREGATES, described, floor_div, max_normalised, ordinal
 from cairn.operators import centrality, community, describe, distribution, grid, kmeans, lexical, network, sweep, walks
-from cairn.plans.lineage import cut
+from cairn.plans.lineage import cached, cut, shared_folder
+from cairn.sources import graph_files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Occurrences from which on a pair of words is an edge of the word network.
+LEAST = 20
 
 
 def query(name: str, sql: str | None = None):
@@ -40,8 +48,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array("l_quantity", "l_extendedprice").alias("features"))
 
 
-def embedded(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("features"))
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as points of all their dimensions."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
 
 def sequences(docs: DataFrame, word: str) -> DataFrame:
@@ -65,10 +74,8 @@ def whole_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight, ord) of the word network."""
-    docs = table(spark, sf_dir, "documents")
-    least = docs.agg(F.ceil(F.count("*") / 50).alias("least"))
-    by = sequences(docs.where("lang = 'en'"), "([a-z]+)")
-    return by.join(F.broadcast(least), F.col("weight") >= F.col("least")).select("src", "dst", "weight", F.concat_ws(" ", "src", "dst").alias("ord"))  # one row
+    by = sequences(table(spark, sf_dir, "documents").where("lang = 'en'"), "([a-z]+)")
+    return by.where(F.col("weight") >= LEAST).select("src", "dst", "weight", F.concat_ws(" ", "src", "dst").alias("ord"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -89,10 +96,9 @@ def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 #: CTEs that several oracles start with.
-NET = """WITH RECURSIVE lim AS (SELECT ceil(count(*) / 50.0) AS least FROM documents),
-tok AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'),
+NET = f"""WITH RECURSIVE tok AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'),
 two AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM tok)),
-e AS (SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS weight FROM two WHERE a <> b GROUP BY ALL HAVING count(*) >= (SELECT least FROM lim)),
+e AS (SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS weight FROM two WHERE a <> b GROUP BY ALL HAVING count(*) >= {LEAST}),
 v AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)),
 u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_max(weight, src || ' ' || dst) AS weight FROM e GROUP BY ALL),
 arcs AS (SELECT a AS src, b AS dst, weight FROM u UNION ALL SELECT b, a, weight FROM u WHERE a <> b)
@@ -164,9 +170,9 @@ def _(spark, d):
     return spark.createDataFrame(list(enumerate(grid.grid_lines(lo[0], hi[0], 3))), "line long, at double").select("line", r6("at").alias("at"))
 
 
-@query("nearest_center", NEAR + "SELECT id, label, round_even(d2, 3) AS d2 FROM n")
+@query("nearest_center", NEAR + "SELECT id, label, CAST(CAST(d2 AS FLOAT) AS DOUBLE) AS d2 FROM n")
 def _(spark, d):
-    return kmeans.assign(items(spark, d), CENTERS).select("id", "label", F.bround("d2", 3).alias("d2"))
+    return kmeans.assign(items(spark, d), CENTERS).select("id", "label", f32(F.col("d2")).alias("d2"))
 
 
 @query("center_update", NEAR + "SELECT label, CAST(CAST(avg(x) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(avg(y) AS FLOAT) AS DOUBLE) AS y, count(*) AS n FROM n GROUP BY label")
@@ -218,54 +224,142 @@ def _(spark, d):
     return kmeans.propagated(p, grid.representatives(p, 16, lo, hi), 16, lo, hi, CENTERS, 3).select("id", "label")
 
 
-@query("summary_kmeans_fit")
+def _lloyd_sql(rounds: list[int], steps: int, k: int = 3) -> str:
+    """CTEs of recursive-partition k-means from CENTERS: cells r of each grid, centers c after each step; a cluster without cells keeps its center."""
+    out = ["WITH p AS MATERIALIZED (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS x, l_extendedprice AS y FROM lineitem)", "b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p)"]
+    out.append("c0 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(CENTERS)) + ") AS t(k, cx, cy))")
+    n = 0
+    for j, m in enumerate(rounds):
+        cell = lambda v: f"CAST(least(round((({v} - l{v}) - (({v} - l{v}) % ((h{v} - l{v}) / {m}))) / ((h{v} - l{v}) / {m})), {m} - 1) AS BIGINT)"
+        out.append(f"g{j} AS MATERIALIZED (SELECT id, x, y, {cell('x')} AS i, {cell('y')} AS j FROM p, b)")
+        out.append(f"r{j} AS MATERIALIZED (SELECT i, j, avg(x) AS x, avg(y) AS y, count(*) AS w FROM g{j} GROUP BY i, j)")
+        for _ in range(steps):
+            out.append(f"l{n} AS MATERIALIZED (SELECT i, j, x, y, w, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM r{j}, c{n} GROUP BY ALL)")
+            out.append(f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(x, cx) AS cx, coalesce(y, cy) AS cy FROM c{n} LEFT JOIN (SELECT label, sum(x * w) / sum(w) AS x, sum(y * w) / sum(w) AS y FROM l{n} GROUP BY label) ON label = k)")
+            n += 1
+    return ",\n".join(out)
+
+
+_FIT = {"clusters": 3, "max_part": 5, "max_iter": 4, "tol": 0.0, "start": CENTERS}
+_GRIDS = [2, 4, 8, 16, 32]
+_DONE = _lloyd_sql(_GRIDS, 4)
+
+
+@query("summary_kmeans_fit", _DONE + f""", z AS (SELECT id, p.x AS x, p.y AS y, label FROM g4 p JOIN l19 USING (i, j))
+SELECT (SELECT CAST(round_even(sum(d), 0) AS BIGINT) FROM (SELECT min((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM r4, c20 GROUP BY i, j)) AS inertia, 5 AS n_part, 3 AS n_iter, 20 AS iterations,
+  CAST(4 * 3 * ({' + '.join(f'(SELECT count(*) FROM r{j})' for j in range(5))}) AS BIGINT) AS distances, (SELECT count(*) FROM r4) AS partitions,
+  (SELECT round_even(sum(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))), 2) FROM z JOIN c20 ON k = label) AS error""")
+def _(spark, d):
+    return kmeans.fit(items(spark, d), **_FIT).metrics(spark).withColumn("error", F.bround("error", 2))
+
+
+@query("summary_kmeans_labels", _DONE + " SELECT id, label FROM g4 JOIN l19 USING (i, j)")
+def _(spark, d):
+    return kmeans.fit_predict(items(spark, d), **_FIT)
+
+
+@query("summary_kmeans_predict", _DONE + " SELECT id, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM p, c20 GROUP BY id, x, y")
+def _(spark, d):
+    p = items(spark, d)
+    return kmeans.fit(p, **_FIT).predict(p)
+
+
+@query("summary_kmeans_drawn_start")
+def _(spark, d):
+    """Whole embeddings, from cells drawn by the seed."""
+    return kmeans.fit_predict(embedded(spark, d), clusters=4, max_part=2, max_iter=10, seed=3)
+
+
+@query("lloyd_to_rest", NEAR + """, s0(t, k, cx, cy) AS (SELECT 0, k, cx, cy FROM c), """ + ", ".join(f"s{t + 1} AS MATERIALIZED (SELECT {t + 1} AS t, label AS k, avg(x) AS cx, avg(y) AS cy FROM (SELECT id, x, y, arg_min(k, (x - cx) * (x - cx) + (y - cy) * (y - cy)) AS label FROM p, s{t} GROUP BY ALL) GROUP BY label)" for t in range(15)) + """, a AS (""" + " UNION ALL ".join(f"SELECT * FROM s{t}" for t in range(16)) + """),
+m AS (SELECT b.t AS t, sum((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS shift FROM a JOIN a b ON b.t = a.t + 1 AND b.k = a.k GROUP BY b.t),
+f AS (SELECT coalesce(min(t) FILTER (shift < 1e6), 15) AS t, count(*) FILTER (shift < 1e6) > 0 AS rests FROM m)
+SELECT k AS label, CAST(CAST(cx AS FLOAT) AS DOUBLE) AS x, CAST(CAST(cy AS FLOAT) AS DOUBLE) AS y, CAST(f.t AS INT) AS iterations, rests FROM a JOIN f USING (t)""")
+def _(spark, d):
+    c, _, n, rests = kmeans.lloyd(items(spark, d), CENTERS, 15, 1e6)
+    return spark.createDataFrame([(i, *x, n, rests) for i, x in enumerate(c)], "label int, x double, y double, iterations int, rests boolean").withColumns({"x": f32(F.col("x")), "y": f32(F.col("y"))})
+
+
+_CELLS = {m: GRID.format(m=m).split("AS (", 3)[3].rsplit(")", 1)[0] for m in (16, 32, 64, 128)}
+
+
+@query("grown_summary", GRID.format(m=16).rsplit("g AS (", 1)[0] + ", ".join(f"g{m} AS (SELECT count(DISTINCT (cx, cy)) AS n FROM ({q}))" for m, q in _CELLS.items()) + " SELECT CAST(m AS BIGINT) AS m, n AS cells FROM (" + " UNION ALL ".join(f"SELECT {m} AS m, n FROM g{m}" for m in _CELLS) + ") WHERE n >= 2000 ORDER BY m LIMIT 1")
 def _(spark, d):
-    return kmeans.fit(items(spark, d), 3, 5, 20, 7, 1e-4).metrics(spark)
+    """From 64 boxes a dimension on, as 2,000 cells are asked for."""
+    m, _, _, cells = kmeans.summarised(items(spark, d), 2, 2000)
+    return spark.createDataFrame([(m, cells.count())], "m long, cells long")
+
+
+@query("smallest_resolutions", "SELECT CAST(d AS INT) AS dims, CAST(k AS INT) AS clusters, CAST(pow(2, greatest(0, ceil(log2(ceil(round(pow(k, 1.0 / d), 9)))))) AS BIGINT) AS m FROM range(1, 9) a(d), range(1, 65) b(k)")
+def _(spark, d):
+    return spark.createDataFrame([(a, k, grid.smallest_resolution(a, k)) for a in range(1, 9) for k in range(1, 65)], "dims int, clusters int, m long")
+
+
+_WRONG = {"clusters": 0, "max_part": -1, "max_iter": 0, "seed": -1, "tol": -0.5, "verbose": 2}
 
 
-@query("summary_kmeans_labels")
+@query("refused_parameters", "SELECT * FROM (VALUES ('clusters', 'clusters must be above 0, not 0'), ('max_part', 'max_part must be above 0, not -1'), ('max_iter', 'max_iter must be above 0, not 0'), ('seed', 'seed must not be negative: -1'), ('tol', 'tol must not be negative: -0.5'), ('verbose', 'verbose must be 0 or 1, not 2'), ('points', (SELECT count(*) || ' points for 4096 clusters' FROM nation))) AS t(parameter, reason)")
 def _(spark, d):
-    return kmeans.fit_predict(embedded(spark, d, 3), clusters=4, max_part=2, max_iter=10, seed=3)
+    points, out = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_nationkey").cast("double")).alias("features")), []
+    for name, how in [*((k, {"clusters": 3, k: v}) for k, v in _WRONG.items()), ("points", {"clusters": 4096})]:
+        try:
+            kmeans.fit(points, **how)
+        except ValueError as e:
+            out.append((name, str(e)))
+    return spark.createDataFrame(out, "parameter string, reason string")
 
 
-@query("summary_kmeans_predict")
+@query("baseline_costs", "SELECT CAST(i AS INT) AS iterations, CAST(k AS INT) AS k, n, i * k * n AS full_cost, i * k * 100 AS batch_cost, round_even((i * k * n - i * k * 100) / (i * k * n), 9) AS saved FROM range(1, 6) a(i), range(2, 10) b(k), (SELECT count(*) AS n FROM lineitem)")
 def _(spark, d):
-    p = embedded(spark, d, 3)
-    return kmeans.fit(p, 4, 2, 10, 3).predict(p)
+    n = items(spark, d).count()
+    rows = [(i, k, n, sweep.full_cost(i, k, n), sweep.batch_cost(i, k, 100)) for i in range(1, 6) for k in range(2, 10)]
+    return spark.createDataFrame([(*r, sweep.relative_error(r[4], r[3])) for r in rows], "iterations int, k int, n long, full_cost long, batch_cost long, saved double").withColumn("saved", F.bround("saved", 9))
+
+
+def _centers(spark, centers, n):
+    """A row a component: clusters of any number of dimensions."""
+    return spark.createDataFrame([(i, j, float(x), n) for i, c in enumerate(centers) for j, x in enumerate(c)], "cluster int, dimension int, value double, iterations int")
 
 
 @query("kmeans_full_baseline")
 def _(spark, d):
-    c, n = kmeans.plus_plus(embedded(spark, d), 4, 1, 20)
-    return spark.createDataFrame([(i, *x, n) for i, x in enumerate(c)], "cluster int, x0 double, x1 double, x2 double, x3 double, iterations int")
+    return _centers(spark, *kmeans.plus_plus(embedded(spark, d), 4, 1, 20))
 
 
 @query("kmeans_mini_batch")
 def _(spark, d):
-    c, n = kmeans.mini_batch(embedded(spark, d, 2), 3, 100, 5)
-    return spark.createDataFrame([(i, *x, n) for i, x in enumerate(c)], "cluster int, x0 double, x1 double, iterations int")
+    return _centers(spark, *kmeans.mini_batch(embedded(spark, d), 3, 100, 5))
 
 
-@query("kmeans_seeded_baseline")
+@query("kmeans_seeded_baseline", """WITH p AS MATERIALIZED (SELECT id, j, v[j]::DOUBLE AS x FROM (SELECT vec_id AS id, embedding AS v, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings)),
+c0 AS (SELECT id AS k, j, x AS c FROM p WHERE id < 4), """ + ", ".join(f"""l{t} AS MATERIALIZED (SELECT id, arg_min(k, d) AS k FROM (SELECT id, k, sum((x - c) * (x - c)) AS d FROM p JOIN c{t} USING (j) GROUP BY id, k) GROUP BY id),
+c{t + 1} AS MATERIALIZED (SELECT k, j, avg(x) AS c FROM p JOIN l{t} USING (id) GROUP BY k, j)""" for t in range(4)) + """
+SELECT CAST(k AS INT) AS cluster, CAST(j - 1 AS INT) AS dimension, CAST(CAST(c AS FLOAT) AS DOUBLE) AS value, 4 AS iterations FROM c4""")
 def _(spark, d):
-    p = embedded(spark, d, 2)
-    c, n = kmeans.seeded(p, kmeans.fit(p, 3, 2, 10, 1).centers, 10)
-    return spark.createDataFrame([(i, *x, n) for i, x in enumerate(c)], "cluster int, x0 double, x1 double, iterations int")
+    p = embedded(spark, d)
+    start = [r.features for r in p.where("id < 4").orderBy("id").collect()]  # four vectors
+    return _centers(spark, *kmeans.seeded(p, start, 4, 0.0)).withColumn("value", f32(F.col("value")))
 
 
 @query("sweep_means")
 def _(spark, d):
-    return sweep.means(sweep.sweep(lambda n, dims, k, rep: sweep.blobs(spark, n, k, dims, rep), [3], [2], [500], 2, 2, (100,), max_iter=5))
+    n = items(spark, d).count() // 100
+    return sweep.means(sweep.sweep(lambda n, dims, k, rep: sweep.blobs(spark, n, k, dims, rep), [3], [2], [n], 2, 2, (100,), max_iter=5))
 
 
 @query("synthetic_blobs")
 def _(spark, d):
-    return sweep.blobs(spark, 1000, 3, 2, 1)
+    return sweep.blobs(spark, items(spark, d).count(), 3, 2, 1)
 
 
 @query("row_subset")
 def _(spark, d):
-    return sweep.subset(embedded(spark, d, 8), [0, 3], 50, 1)
+    return sweep.subset(embedded(spark, d), [0, 3], 50, 1)
+
+
+@query("feature_subset", "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[64]::DOUBLE AS y FROM embeddings")
+def _(spark, d):
+    p = embedded(spark, d)
+    return sweep.subset(p, [0, 63], p.count(), 1).select("id", F.col("features")[0].alias("x"), F.col("features")[1].alias("y"))
 
 
 # --- networks
@@ -308,11 +402,11 @@ def _(spark, d):
     return network.relabelled(e, v).select("src", "dst", "weight")
 
 
-_SEEDS = "(SELECT node FROM v WHERE idx % 3 = 0)"
+_SEEDS = "(SELECT node FROM v WHERE length(node) <= 3)"
 
 
 def _seeds(v):
-    return v.where("idx % 3 = 0").select("node")
+    return v.where("length(node) <= 3").select("node")
 
 
 @query("induced_subgraph", NET + f"SELECT src, dst, weight FROM e WHERE src IN {_SEEDS} AND dst IN {_SEEDS}")
@@ -382,6 +476,11 @@ def _(spark, d):
     return network.visual_scales(*words(spark, d))[0].select("node", r6("size").alias("size"))
 
 
+@query("visual_widths", NET + "SELECT src, dst, round_even(weight / max(weight) OVER (), 9) AS width FROM e")
+def _(spark, d):
+    return network.visual_scales(*words(spark, d))[1].select("src", "dst", F.bround("width", 9).alias("width"))
+
+
 # --- descriptors and distributions
 
 
@@ -469,10 +568,29 @@ def _(spark, d):
     return distribution.rebinned(m, [0.0, 10.0, 20.0, 30.0, 40.0, 50.0]).select("bin", "mass")
 
 
-@query("distributions")
+def _distribution_sql(metric: str, values: str) -> str:
+    """CTEs and a query of one metric's bins; values is a query of (value)."""
+    m = metric
+    return f"""{m}_g AS MATERIALIZED ({values}), {m}_s AS MATERIALIZED (SELECT min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi, CAST(least(10, max(value)) AS BIGINT) AS n FROM {m}_g),
+{m}_y AS (SELECT 1 + count(*) / sum(ln(value / (lo - 0.5))) AS gamma FROM {m}_g, {m}_s),
+{m}_e AS MATERIALIZED (SELECT 'linear' AS bins, i, lo + (hi - lo) * i / 9 AS x FROM {m}_s, range(10) t(i) UNION ALL SELECT 'unit', i, lo + i FROM {m}_s, range((SELECT CAST(ceil(hi - lo) AS BIGINT) FROM {m}_s)) t(i)
+  UNION ALL SELECT 'log', i, pow(10, log10(lo) + (log10(hi) - log10(lo)) * i / (n - 1)) FROM {m}_s, range(10) t(i) WHERE i < n),
+{m}_b AS MATERIALIZED (SELECT a.bins, a.i AS bin, a.x AS lo, b.x AS hi, a.i = max(a.i) OVER (PARTITION BY a.bins) AS last FROM {m}_e a JOIN {m}_e b ON b.bins = a.bins AND b.i = a.i + 1),
+{m}_c AS (SELECT bins, bin, lo, hi, count(value) AS n FROM {m}_b LEFT JOIN {m}_g ON value >= lo AND (value < hi OR (last AND value = hi)) GROUP BY ALL),
+{m}_d AS (SELECT '{metric}' AS metric, bins, CAST(bin AS INT) AS bin, round_even(lo, 6) AS lo, round_even(hi, 6) AS hi, n AS count, round_even(n / sum(n) OVER (PARTITION BY bins), 9) AS pdf, round_even(1 - sum(n) OVER (PARTITION BY bins ORDER BY bin) / sum(n) OVER (PARTITION BY bins), 9) + 0.0 AS ccdf, round_even(gamma, 6) AS gamma, 0.0::DOUBLE AS unknown_share FROM {m}_c, {m}_y)"""
+
+
+@query("distributions", NET + ", " + _distribution_sql("degree", "SELECT count(*) AS value FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node") + ", " + _distribution_sql("strength", "SELECT CAST(sum(weight) AS BIGINT) AS value FROM (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY node") + " SELECT * FROM degree_d UNION ALL SELECT * FROM strength_d")
 def _(spark, d):
     e = words(spark, d)[1]
-    return distribution.distribution({"degree": network.degrees(e).withColumnRenamed("degree", "value"), "strength": network.degrees(e, "weight").withColumnRenamed("degree", "value")})
+    got = distribution.distribution({"degree": network.degrees(e).withColumnRenamed("degree", "value"), "strength": network.degrees(e, "weight").withColumnRenamed("degree", "value")})
+    return got.withColumns({"lo": r6("lo"), "hi": r6("hi"), "pdf": F.bround("pdf", 9), "ccdf": F.bround("ccdf", 9) + 0.0, "gamma": r6("gamma")})
+
+
+@query("two_valued_distribution", "WITH g AS (SELECT CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS value FROM part) SELECT 'large' AS metric, 'unit' AS bins, CAST(b AS INT) AS bin, b / 2.0::DOUBLE AS lo, (b + 1) / 2.0::DOUBLE AS hi, count(value) AS count, round_even(count(value) / (SELECT count(*) FROM g), 9) AS pdf FROM range(2) t(b) LEFT JOIN g ON value = b GROUP BY b")
+def _(spark, d):
+    v = table(spark, d, "part").select((F.col("p_size") > 25).cast("double").alias("value"))
+    return distribution.distribution({"large": v}).select("metric", "bins", "bin", "lo", "hi", "count", F.bround("pdf", 9).alias("pdf"))
 
 
 @query("tag_frequency", "WITH t AS (SELECT p_size % 10 AS tag, count(*) AS n FROM part GROUP BY ALL) SELECT tag, n, round_even(n / sum(n) OVER (), 2) AS share FROM t")
@@ -540,14 +658,16 @@ def _(spark, d):
     return centrality.pagerank(*words(spark, d), iterations=20, tol=0.0, normalise=False).select("node", F.bround("score", 9).alias("score"))
 
 
-@query("eigenvector_centrality")
-def _(spark, d):
-    return centrality.eigenvector(*trade(spark, d))
-
-
-@query("betweenness_centrality")
+@query("betweenness_centrality", NET + """, d(t, s, v, x) AS (SELECT 0, node, node, 0.0::DOUBLE FROM v UNION ALL SELECT t + 1, s, y, min(x) FROM (SELECT d.t AS t, d.s AS s, f.dst AS y, d.x + f.weight AS x FROM d JOIN (SELECT src, dst, weight FROM e UNION ALL SELECT node, node, 0.0 FROM v) f ON f.src = d.v) WHERE t < 40 GROUP BY t, s, y),
+dist AS MATERIALIZED (SELECT s, v, x FROM d WHERE t = 40),
+tight AS MATERIALIZED (SELECT a.s AS s, e.src AS u, e.dst AS v FROM dist a JOIN e ON e.src = a.v JOIN dist b ON b.s = a.s AND b.v = e.dst WHERE a.x + e.weight = b.x),
+n(t, s, v, c) AS (SELECT 0, node, node, 1.0::DOUBLE FROM v UNION ALL SELECT n.t + 1, n.s, tight.v, sum(c) FROM n JOIN tight ON tight.s = n.s AND tight.u = n.v WHERE n.t < 40 GROUP BY n.t + 1, n.s, tight.v),
+sigma AS MATERIALIZED (SELECT s, v, sum(c) AS c FROM n GROUP BY s, v),
+w AS MATERIALIZED (SELECT s, v, x, c FROM dist JOIN sigma USING (s, v) WHERE s <> v),
+b AS (SELECT a.v AS node, sum(a.c * z.c / w.c) AS b FROM w a JOIN w z ON z.s = a.v JOIN w ON w.s = a.s AND w.v = z.v WHERE a.x + z.x = w.x GROUP BY a.v)
+SELECT node, round_even(coalesce(b, 0) / max(b) OVER (), 9) AS score FROM v LEFT JOIN b USING (node)""")
 def _(spark, d):
-    return centrality.betweenness(*words(spark, d))
+    return centrality.betweenness(*words(spark, d)).select("node", F.bround("score", 9).alias("score"))
 
 
 _TRADE = """WITH RECURSIVE e AS (SELECT c.n_name AS src, s.n_name AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
@@ -555,6 +675,13 @@ _TRADE = """WITH RECURSIVE e AS (SELECT c.n_name AS src, s.n_name AS dst, CAST(c
 """
 
 
+@query("eigenvector_centrality", _TRADE + """, v AS (SELECT n_name AS node FROM nation), r(t, node, x) AS (SELECT 0, node, 1.0::DOUBLE / count(*) OVER () FROM v UNION ALL
+  SELECT t, node, x / sqrt(sum(x * x) OVER ()) FROM (SELECT r.t + 1 AS t, f.dst AS node, sum(r.x * f.weight) AS x FROM r JOIN (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e UNION ALL SELECT node, node, 1.0 FROM v) GROUP BY ALL) f ON f.src = r.node WHERE r.t < 12 GROUP BY r.t + 1, f.dst))
+SELECT node, round_even(x / max(x) OVER (), 9) AS score FROM r WHERE t = 12""")
+def _(spark, d):
+    return centrality.eigenvector(*trade(spark, d), iterations=12, tol=0.0).select("node", F.bround("score", 9).alias("score"))
+
+
 @query("trade_network", _TRADE + "SELECT * FROM e")
 def _(spark, d):
     return trade(spark, d)[1].select("src", "dst", "weight")
@@ -634,66 +761,221 @@ def _(spark, d):
     return out.select("cluster", "nodes", *[F.bround(c, 9).alias(c) for c in ("mean_relevance", "std_relevance")], "relevant", F.bround("relevant_share", 9).alias("relevant_share"))
 
 
-# --- lexical relations; part names and their words stand in for a lexicon, prefixes for synsets
+# --- lexical relations; words' first letters stand in for a lexicon: the longer a prefix, the deeper the synset
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(vertices, edges, lexicon, lemmas, antonyms, hypernyms): a word's synset is its first two letters, whose parent is the first."""
+    """(vertices, edges, lexicon, lemmas, antonyms, hypernyms): a word's synsets are its first three letters and, for words of an even number of letters, its first two; shorter prefixes are their ancestors."""
     v, e = words(spark, sf_dir)
-    known = v.where("idx % 5 <> 0")
-    lex = known.select(F.col("node").alias("word"), F.substring("node", 1, 2).alias("synset"), F.lit(1).alias("min_depth"))
-    lemmas = lex.select("synset", F.substring("word", 1, 3).alias("lemma")).distinct()
-    anti = lemmas.select("lemma", F.reverse("lemma").alias("antonym"))
-    hyper = lex.select("synset", F.substring("synset", 1, 1).alias("parent"), F.lit(1).alias("hops")).where("synset <> parent").distinct()
+    known = v.where("node not like '%e'")
+    lex = known.select(F.col("node").alias("word"), F.substring("node", 1, 3).alias("synset")).union(known.where("length(node) % 2 = 0").select("node", F.substring("node", 1, 2))).distinct().withColumn("min_depth", F.length("synset"))
+    lemmas = lex.select("synset", F.substring("word", 1, 4).alias("lemma")).distinct()
+    anti = lemmas.select("lemma", F.reverse("lemma").alias("antonym")).distinct()
+    above = lex.select("synset").distinct().where("length(synset) > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.length("synset") - 1)))
+    hyper = above.select("synset", F.expr("substring(synset, 1, n)").alias("parent"), (F.length("synset") - F.col("n")).alias("hops"))
     return v, e, lex, lemmas, anti, hyper
 
 
-_LEX = NET + """, lex AS (SELECT node AS word, substr(node, 1, 2) AS syn FROM v WHERE idx % 5 <> 0), lem AS (SELECT DISTINCT syn, substr(word, 1, 3) AS lemma FROM lex),
-wl AS (SELECT DISTINCT word, lemma FROM lex JOIN lem USING (syn)),
+_LEX = NET + """, lex AS MATERIALIZED (SELECT word, syn, length(syn) AS depth FROM (SELECT node AS word, substr(node, 1, 3) AS syn FROM v WHERE node NOT LIKE '%e' UNION SELECT node, substr(node, 1, 2) FROM v WHERE node NOT LIKE '%e' AND length(node) % 2 = 0)),
+lem AS (SELECT DISTINCT syn, substr(word, 1, 4) AS lemma FROM lex), wl AS MATERIALIZED (SELECT DISTINCT word, lemma FROM lex JOIN lem USING (syn)),
+anc AS (SELECT DISTINCT syn, substr(syn, 1, i) AS a, length(syn) - i AS hops FROM lex, range(1, 4) t(i) WHERE i <= length(syn)), dep AS (SELECT syn AS a, min(depth) AS depth FROM lex GROUP BY syn),
 k AS (SELECT src, dst, weight, src IN (SELECT word FROM lex) AND dst IN (SELECT word FROM lex) AS known FROM e),
-sy AS (SELECT DISTINCT x.word AS src, y.word AS dst FROM wl x JOIN wl y ON x.lemma = y.lemma), an AS (SELECT DISTINCT x.word AS src, y.word AS dst FROM wl x JOIN wl y ON reverse(x.lemma) = y.lemma OR reverse(y.lemma) = x.lemma),
-f AS (SELECT k.src, k.dst, k.weight, known, CASE WHEN known THEN CAST((k.src, k.dst) IN (SELECT (src, dst) FROM sy) AS INT) END AS synonyms, CASE WHEN known THEN CAST((k.src, k.dst) IN (SELECT (src, dst) FROM an) AS INT) END AS antonyms,
-  CASE WHEN known THEN CASE WHEN substr(k.src, 1, 2) = substr(k.dst, 1, 2) THEN 1.0
-    WHEN length(substr(k.src, 1, 2)) = 1 AND substr(k.src, 1, 1) = substr(k.dst, 1, 1) OR length(substr(k.dst, 1, 2)) = 1 AND substr(k.src, 1, 1) = substr(k.dst, 1, 1) THEN 0.5
-    WHEN substr(k.src, 1, 1) = substr(k.dst, 1, 1) THEN 0.333 ELSE 0.0 END END AS path_similarity,
-  CASE WHEN known THEN levenshtein(k.src, k.dst) END AS edit_distance FROM k)
+sy AS MATERIALIZED (SELECT DISTINCT x.word AS src, y.word AS dst FROM wl x JOIN wl y ON x.lemma = y.lemma), an AS MATERIALIZED (SELECT DISTINCT x.word AS src, y.word AS dst FROM wl x JOIN wl y ON reverse(x.lemma) = y.lemma),
+sim AS MATERIALIZED (SELECT k.src, k.dst, max(1 / (1.0::DOUBLE + x.hops + y.hops)) AS path, max(2.0::DOUBLE * (coalesce(dep.depth, 0) + 1) / (2 * (coalesce(dep.depth, 0) + 1) + x.hops + y.hops)) AS wup
+  FROM k JOIN lex s ON s.word = k.src JOIN anc x ON x.syn = s.syn JOIN lex t ON t.word = k.dst JOIN anc y ON y.syn = t.syn AND y.a = x.a LEFT JOIN dep ON dep.a = x.a GROUP BY k.src, k.dst),
+f AS MATERIALIZED (SELECT k.src, k.dst, k.weight, CASE WHEN known THEN CAST((k.src, k.dst) IN (SELECT (src, dst) FROM sy) AS INT) END AS synonyms, CASE WHEN known THEN CAST((k.src, k.dst) IN (SELECT (src, dst) FROM an) AS INT) END AS antonyms,
+  CASE WHEN known THEN round_even(coalesce(path, 0), 3) END AS path_similarity, CASE WHEN known THEN round_even(coalesce(wup, 0), 3) END AS wup_similarity, CASE WHEN known THEN levenshtein(k.src, k.dst) END AS edit_distance FROM k LEFT JOIN sim ON sim.src = k.src AND sim.dst = k.dst),
+dp AS (SELECT node, min(depth) AS depth FROM v LEFT JOIN lex ON word = node GROUP BY node)
 """
+_ATTRIBUTES = ("path_similarity", "wup_similarity", "synonyms", "antonyms", "edit_distance")
 
 
-@query("lexical_enrichment", _LEX + "SELECT src, dst, weight, coalesce(synonyms, -1) AS synonyms, coalesce(antonyms, -1) AS antonyms, CAST(coalesce(path_similarity, -1) AS DOUBLE) AS path_similarity, CAST(coalesce(edit_distance, -1) AS INT) AS edit_distance FROM f")
+@query("lexical_enrichment", _LEX + "SELECT src, dst, weight, coalesce(synonyms, -1) AS synonyms, coalesce(antonyms, -1) AS antonyms, CAST(coalesce(path_similarity, -1) AS DOUBLE) AS path_similarity, CAST(coalesce(wup_similarity, -1) AS DOUBLE) AS wup_similarity, CAST(coalesce(edit_distance, -1) AS INT) AS edit_distance FROM f")
 def _(spark, d):
-    return lexical.with_marks(lexical.enriched(*lexicon(spark, d))[1]).select("src", "dst", "weight", "synonyms", "antonyms", "path_similarity", "edit_distance")
+    return lexical.with_marks(lexical.enriched(*lexicon(spark, d))[1]).select("src", "dst", "weight", "synonyms", "antonyms", "path_similarity", "wup_similarity", "edit_distance")
 
 
-@query("node_depths", NET + "SELECT idx, node, CASE WHEN idx % 5 <> 0 THEN 1 ELSE -1 END AS depth FROM v")
+@query("node_depths", _LEX + "SELECT idx, node, CAST(coalesce(depth, -1) AS INT) AS depth FROM v JOIN dp USING (node)")
 def _(spark, d):
     v, e, lex, *_ = lexicon(spark, d)
     return lexical.depths(v, lex).select("idx", "node", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
-@query("lexical_descriptors")
+def _moments(name: str) -> str:
+    mean = f"(SELECT sum({name} * weight) / sum(weight) FROM f WHERE {name} IS NOT NULL)"
+    return f"SELECT '{name}_avg' AS metric, {mean} AS value UNION ALL SELECT '{name}_std', sqrt(sum(weight * pow({name} - {mean}, 2)) / sum(weight)) FROM f WHERE {name} IS NOT NULL"
+
+
+@query("lexical_descriptors", _LEX + "SELECT metric, round_even(CAST(coalesce(value, -1) AS DOUBLE), 6) AS value FROM (" + " UNION ALL ".join([*(f"SELECT 'depth_{n}' AS metric, {f}(depth)::DOUBLE AS value FROM dp" for n, f in (("max", "max"), ("min", "min"), ("mean", "avg"), ("std", "stddev_pop"))), *map(_moments, _ATTRIBUTES)]) + ")")
 def _(spark, d):
     return describe.lexical(*lexical.enriched(*lexicon(spark, d))).select("metric", r6("value").alias("value"))
 
 
-@query("node_lexical_bundle", _LEX + """, b AS (SELECT src AS node, max(path_similarity) AS a, sum(path_similarity * weight) / sum(weight) FILTER (path_similarity IS NOT NULL) AS b, avg(synonyms) AS c, max(synonyms) AS d, sum(edit_distance * weight) / sum(weight) FILTER (edit_distance IS NOT NULL) AS g FROM f GROUP BY src)
-SELECT v.node, coalesce(CAST(a AS DOUBLE), -1) AS path_max, coalesce(round_even(b, 6), -1) AS path_avg, coalesce(round_even(c, 6), -1) AS synonym_mean, coalesce(CAST(d AS DOUBLE), -1) AS synonym_max, coalesce(round_even(g, 6), -1) AS edit_avg FROM v LEFT JOIN b USING (node)""")
+_PARTS = {f"{n}_{w}": x for n, c in (("path", "path_similarity"), ("wup", "wup_similarity")) for w, x in (("max", f"max({c})"), ("avg", f"sum({c} * weight) / sum(weight) FILTER ({c} IS NOT NULL)"), ("std", f"sqrt(sum(weight * pow({c} - m_{c}, 2)) / sum(weight) FILTER ({c} IS NOT NULL))"))}
+_PARTS |= {f"{n}_{w}": x for n, c in (("synonym", "synonyms"), ("antonym", "antonyms")) for w, x in (("mean", f"avg({c})"), ("max", f"max({c})"), ("avg", f"sum({c} * weight) / sum(weight) FILTER ({c} IS NOT NULL)"))}
+_PARTS["edit_avg"] = "sum(edit_distance * weight) / sum(weight) FILTER (edit_distance IS NOT NULL)"
+_MEANS = ", ".join(f"sum({c} * weight) FILTER ({c} IS NOT NULL) OVER w / sum(weight) FILTER ({c} IS NOT NULL) OVER w AS m_{c}" for c in ("path_similarity", "wup_similarity"))
+_NODES = f""", fm AS (SELECT *, {_MEANS} FROM f WINDOW w AS (PARTITION BY src)), bundle AS MATERIALIZED (SELECT v.node AS node, {', '.join(f'coalesce(CAST(any_value(b.{k}) AS DOUBLE), -1) AS {k}' for k in _PARTS)} FROM v LEFT JOIN (SELECT src AS node, {', '.join(f'{x} AS {k}' for k, x in _PARTS.items())} FROM fm GROUP BY src) b USING (node) GROUP BY v.node)
+"""
+
+
+@query("node_lexical_bundle", _LEX + _NODES + "SELECT node, " + ", ".join(f"round_even({k}, 6) AS {k}" for k in _PARTS) + " FROM bundle")
 def _(spark, d):
     n = describe.node_lexical(*lexical.enriched(*lexicon(spark, d)))
-    return n.select("node", "path_max", r6("path_avg").alias("path_avg"), r6("synonym_mean").alias("synonym_mean"), "synonym_max", r6("edit_avg").alias("edit_avg"))
+    return n.select("node", *[r6(k).alias(k) for k in _PARTS])
+
 
+def _best(neighbours: bool) -> str:
+    """The five subgraphs of the eight nodes with the largest values each, ties by name."""
+    out = []
+    for name in ("path", "wup", "antonym", "synonym", "edit"):
+        top = f"(SELECT node FROM bundle ORDER BY round_even({name}_avg, 9) DESC, node LIMIT 8)"
+        keep = f"(SELECT node FROM {top} UNION SELECT src FROM f WHERE src IN {top} UNION SELECT dst FROM f WHERE src IN {top})" if neighbours else top
+        out.append(f"SELECT '{name}' AS subgraph, src, dst, weight FROM f WHERE src IN {keep} AND dst IN {keep}")
+    return " UNION ALL ".join(out)
 
-@query("restricted_networks")
+
+@query("restricted_networks", _LEX + _NODES + _best(False))
 def _(spark, d):
     return describe.restricted(*lexical.enriched(*lexicon(spark, d)), 8).select("subgraph", "src", "dst", "weight")
 
 
-@query("cluster_report")
+@query("restricted_networks_with_neighbours", _LEX + _NODES + _best(True))
+def _(spark, d):
+    return describe.restricted(*lexical.enriched(*lexicon(spark, d)), 8, True).select("subgraph", "src", "dst", "weight")
+
+
+_REPORT = {c: f"coalesce(max(m_{c}), -1) AS {c}_avg, coalesce(sqrt(sum(weight * pow({c} - m_{c}, 2)) / sum(weight) FILTER ({c} IS NOT NULL)), -1) AS {c}_std" for c in ("path_similarity", "edit_distance")}
+
+
+@query("cluster_report", _LEX + f""", c AS MATERIALIZED (SELECT node, CAST(idx % 4 AS INT) AS cluster, idx % 3 AS tag FROM v), g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node), r AS (SELECT node, n / max(n) OVER () AS r FROM g),
+rel AS (SELECT cluster, count(*) AS nodes, avg(r) AS mean_relevance, stddev_pop(r) AS std_relevance, CAST(sum(CASE WHEN r > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS relevant, avg(CASE WHEN r > 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS relevant_share FROM c JOIN r USING (node) GROUP BY cluster),
+ins AS (SELECT x.cluster AS cluster, count(*) AS edges_inside, avg(weight) AS avg_weight FROM f JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.cluster = y.cluster GROUP BY x.cluster),
+out_ AS (SELECT x.cluster AS cluster, f.*, {', '.join(f'sum({c} * weight) FILTER ({c} IS NOT NULL) OVER w / sum(weight) FILTER ({c} IS NOT NULL) OVER w AS m_{c}' for c in _REPORT)} FROM f JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.cluster <> y.cluster WINDOW w AS (PARTITION BY x.cluster)),
+bnd AS (SELECT cluster, count(*) AS boundary, {', '.join(_REPORT.values())} FROM out_ GROUP BY cluster),
+tgs AS (SELECT cluster, string_agg(tag || ': ' || CAST(round_even(n / t, 2) AS VARCHAR), ', ' ORDER BY n DESC, tag DESC) AS tags FROM (SELECT cluster, tag, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster) AS t FROM c GROUP BY cluster, tag) GROUP BY cluster)
+SELECT cluster, nodes, round_even(mean_relevance, 6) AS mean_relevance, round_even(std_relevance, 6) AS std_relevance, relevant, round_even(relevant_share, 6) AS relevant_share, edges_inside, round_even(avg_weight, 6) AS avg_weight, boundary,
+  {', '.join(f'round_even({c}_{w}, 6) AS {c}_{w}' for c in _REPORT for w in ('avg', 'std'))}, tags FROM rel LEFT JOIN ins USING (cluster) LEFT JOIN bnd USING (cluster) LEFT JOIN tgs USING (cluster)""")
 def _(spark, d):
     v, e = lexical.enriched(*lexicon(spark, d))
     e = cut(e, "enriched")
     r = max_normalised(network.degrees(e).withColumnRenamed("degree", "relevance"), "relevance")
-    return describe.cluster_report(e, _bands(v), r, v.select("node", (F.col("idx") % 3).alias("tag")))
+    got = describe.cluster_report(e, _bands(v), r, v.select("node", (F.col("idx") % 3).alias("tag")))
+    return got.withColumns({c: r6(c) for c, t in got.dtypes if t == "double"})
+
+
+# --- files, caches and texts, written to the shared folder and read back
+
+
+def _written(lines: DataFrame, name: str) -> str:
+    """lines (at, value) as one text file in the shared folder: its path."""
+    at = f"{shared_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.orderBy("at").coalesce(1).select("value").write.text(at)
+    return at
+
+
+def _pajek(spark, d):
+    v, e = trade(spark, d)
+    e = network.relabelled(e, v).select((F.lit(1000) + F.col("src") * 100 + F.col("dst")).alias("at"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight").alias("value"))
+    marks = spark.createDataFrame([(-1, "% nations"), (0, "*Vertices 25"), (999, "*Arcs")], "at long, value string")
+    names = v.select((F.col("idx") + 1).alias("at"), F.format_string('%d "%s"', F.col("idx") + 1, "node").alias("value"))
+    return graph_files.pajek(spark, _written(marks.unionByName(names).unionByName(e.select(F.col("at").cast("long").alias("at"), "value")), "pajek"))
+
+
+@query("pajek_vertices", "SELECT CAST(n_nationkey AS BIGINT) AS idx, n_name AS node FROM nation")
+def _(spark, d):
+    return _pajek(spark, d)[0]
+
+
+@query("pajek_edges", _TRADE + "SELECT src, dst, 0 AS key, weight FROM e")
+def _(spark, d):
+    return _pajek(spark, d)[1].select("src", "dst", "key", "weight")
+
+
+@query("without_artefacts", _TRADE + "SELECT src, dst, weight FROM e")
+def _(spark, d):
+    """A header among the nodes goes, with the arcs of it."""
+    v, e = trade(spark, d)
+    bad = spark.createDataFrame([(98, "*Arcs"), (99, ":2")], "idx long, node string")
+    more = e.unionByName(e.limit(3).withColumn("src", F.lit("*Arcs"))).unionByName(e.limit(2).withColumn("dst", F.lit(":2")))
+    return graph_files.without_artefacts(v.unionByName(bad), more)[1].select("src", "dst", "weight")
+
+
+def _tags(spark, d):
+    tags = table(spark, d, "part").select(F.col("p_partkey").alias("at"), (F.col("p_size") % 10).cast("string").alias("value"))
+    heads = spark.createDataFrame([(-3, "% parts"), (-2, "% by size"), (-1, "*vertices")], "at long, value string")
+    return graph_files.partition(spark, _written(heads.unionByName(tags), "partition"))
+
+
+_TAGS = "WITH g AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, CAST(p_size % 10 AS TINYINT) AS tag FROM part)"
+
+
+@query("partition_tags", _TAGS + " SELECT * FROM g")
+def _(spark, d):
+    return _tags(spark, d)
+
+
+@query("first_tags", _TAGS + " SELECT * FROM g WHERE idx < 1000")
+def _(spark, d):
+    """The slice by place that goes with a network of fewer nodes: its limit is the feature."""
+    return network.sliced(_tags(spark, d), 1000)
+
+
+@query("tag_text", _TAGS + ", n AS (SELECT tag, count(*) AS n, (SELECT count(*) FROM g) AS t FROM g GROUP BY tag) SELECT string_agg((['None', 'N', 'V', 'AJ', 'AD', 'P', 'PP', 'I', 'C', 'A'])[tag + 1] || ': ' || CAST(round_even(n / t, 2) AS VARCHAR), ', ' ORDER BY tag) AS text FROM n")
+def _(spark, d):
+    return describe.tag_text(_tags(spark, d), graph_files.TAGS)
+
+
+@query("array_points", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part")
+def _(spark, d):
+    rows = table(spark, d, "part").orderBy("p_partkey").select(F.col("p_size").cast("double"), "p_retailprice").toPandas().to_numpy()  # a fixture: an array file is one writer's
+    at = f"{shared_folder(spark)}/points-{uuid.uuid4().hex}.npy"
+    held = io.BytesIO()
+    np.save(held, rows)
+    fs, path = pafs.FileSystem.from_uri(at if ":" in at else f"file://{at}")
+    with fs.open_output_stream(path) as f:
+        f.write(held.getvalue())
+    return graph_files.arrays(spark, at).select("id", F.col("features")[0].alias("x"), F.col("features")[1].alias("y"))
+
+
+@query("graph_edges", "SELECT CAST(user_id AS VARCHAR) AS src, event_type AS dst, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS INT) AS key, value AS weight FROM events")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("dst"), F.col("value").alias("weight"), F.col("event_id").alias("ord"))
+    return graph_files.graph(e)[1].select("src", "dst", "key", "weight")
+
+
+@query("graph_vertices", "SELECT row_number() OVER (ORDER BY node) - 1 AS idx, node FROM (SELECT CAST(user_id AS VARCHAR) AS node FROM events UNION SELECT event_type FROM events)")
+def _(spark, d):
+    return graph_files.graph(table(spark, d, "events").select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("dst"), F.col("value").alias("weight")))[0]
+
+
+@query("labels_of_communities", "SELECT n_name AS node, n_regionkey AS cluster FROM nation")
+def _(spark, d):
+    return network.labels(table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("cluster")).agg(F.collect_list("n_name").alias("members")))  # a region's nations
+
+
+@query("cached_degrees", NET + "SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
+def _(spark, d):
+    """Computed once, read twice; another network is another key."""
+    e = words(spark, d)[1]
+    first = cached("degrees", [e], {"by": "edges"}, lambda: network.degrees(e))
+    other = cached("degrees", [e.where("weight > 1e9")], {"by": "edges"}, lambda: network.degrees(e.where("weight > 1e9")))
+    again = cached("degrees", [e], {"by": "edges"}, lambda: first.limit(0))
+    return again.join(other.select("node"), "node", "left_anti")
+
+
+@query("descriptors_text", NET + "SELECT 'nodes' AS metric, CAST((SELECT count(*) FROM v) AS DOUBLE) AS value UNION ALL SELECT 'edges', CAST((SELECT count(*) FROM e) AS DOUBLE)")
+def _(spark, d):
+    c = network.counts(*words(spark, d))
+    at = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    graph_files.descriptors_text(c.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in ("nodes", "edges")])).alias("m")).select("m.*"), at)
+    return spark.read.text(at).select(F.from_json("value", "metric string, value double").alias("m")).select("m.*")
+
+
+@query("printed_counts", NET + "SELECT 'network:' || chr(10) || '  nodes:' || chr(10) || '    ' || (SELECT count(*) FROM v) || chr(10) || '  edges:' || chr(10) || '    ' || (SELECT count(*) FROM e) AS text")
+def _(spark, d):
+    r = network.counts(*words(spark, d)).first()
+    return spark.createDataFrame([(graph_files.pretty({"network": {"nodes": r.nodes, "edges": r.edges}}),)], "text string")
 
 
 @query("float_floor_division", "SELECT l_orderkey, l_linenumber, CAST(round((l_extendedprice - (l_extendedprice % 0.1)) / 0.1) AS BIGINT) AS q FROM lineitem")

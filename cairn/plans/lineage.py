@@ -6,11 +6,18 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_HERE: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where it is unset and Spark runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,18 +25,36 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        context = spark.sparkContext.applicationId
+        if context not in _HERE:
+            _HERE[context] = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        at = _HERE[context]
     return at.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df, written once and read from there on; survives the loss of executors."""
+    """df, written once and read from there on; survives the loss of executors. Within scratch(), removed at its end."""
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    if _SCOPES:
+        _SCOPES[-1].append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what cut() wrote within: results that read those tables must have been written or collected by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for at in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fingerprint(df: DataFrame) -> str:
     """A key of a table's rows, whatever their order or partitioning."""
     row = F.xxhash64(*df.columns)
@@ -42,7 +67,9 @@ def cached(name: str, inputs: list[DataFrame], params: dict, compute) -> DataFra
     spark = inputs[0].sparkSession
     key = hashlib.sha256(json.dumps([name, params, *(fingerprint(x) for x in inputs)], sort_keys=True).encode()).hexdigest()[:24]
     at = f"{shared_folder(spark)}/cache-{name}-{key}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        compute().write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+    try:
+        spark.read.parquet(f"{at}/done")  # written last: a result without it is a failed attempt's
+    except AnalysisException:
+        compute().write.mode("overwrite").parquet(f"{at}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{at}/done")
+    return spark.read.parquet(f"{at}/rows")

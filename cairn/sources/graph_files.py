@@ -14,9 +14,9 @@ from cairn.functions.columns import ordinal
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, at) of one text file in order. Files of this kind are a network's labels or a partition: read whole, as one row."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("at", "line"))
+    """(at, line) of a text file: its lines and their numbers. The file is read in splits, whose first bytes put them in order."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"))
+    return ordinal(rows, "_split", "_row", name="at").select("at", "line")
 
 
 def pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
