@@ -125,7 +125,10 @@ def principal(space: DataFrame, components: int | None = None, variance: float =
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    width = space.select(F.size(vector_to_array("features")).alias("n")).first().n
+    first = space.select(F.size(vector_to_array("features")).alias("n")).first()
+    if first is None:
+        return space.select("start", F.array().cast("array<double>").alias("coordinates"))
+    width = first.n
     model = PCA(k=components or width, inputCol="features", outputCol="out").fit(space)
     keep = components or max(1, int((np.cumsum(model.explainedVariance.toArray()) < variance).sum()))
     mean = space.select(Summarizer.mean(F.col("features")).alias("m")).first().m.toArray()

@@ -73,7 +73,8 @@ def test_unit_bins_of_any_number(spark):
     assert a == distribution.histogram(few, distribution.unit_edges(1.0, 7.0)).orderBy("bin").collect()
 
 
-def test_principal_coordinates_take_all_columns(spark, tmp_path):
+def test_principal_coordinates_take_all_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "LEAST", 1)
     names = [a + b for a in "abcdef" for b in "uvwxyz"]
     texts = [" ".join(names), "au av au av au aw ax", "bu cu du"]
     spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -105,6 +106,36 @@ def test_whole_network_has_rare_pairs_of_all_languages(spark, tmp_path):
     assert len(score) == 6 and abs(sum(score.values()) - 1) < 1e-6
 
 
+def test_walks_go_by_weight_whatever_the_degree(spark):
+    """A hub with one heavy and many light arcs: a row a walker, and shares as the weights are."""
+    arcs = spark.createDataFrame([("hub", "heavy", 300.0)] + [("hub", f"n{i:03d}", 1.0 + i % 2) for i in range(200)], "src string, dst string, weight double")
+    guide = walks.guided(arcs).collect()
+    assert len(guide) <= 2 * 201 and {r.slot for r in guide} == set(range(201)) and max(r.hi for r in guide) == 1.0 and min(r.lo for r in guide) == 0.0
+    starts = spark.createDataFrame([("hub",), ("alone",)], "node string")
+    got = walks.walks(starts, arcs, 1, 4000, 3).where("step = 1").collect()
+    assert len(got) == 8000 and {r.node for r in got if r.start == "alone"} == {"alone"}
+    heavy = sum(r.node == "heavy" for r in got)
+    assert abs(heavy - 2000) < 4 * (4000 * 0.25) ** 0.5 and len({r.node for r in got}) > 190
+
+
+def test_two_valued_bins_are_for_zero_and_one_only(spark):
+    one = lambda x: distribution.distribution({"m": spark.createDataFrame([(float(a),) for a in x], "value double")}).collect()
+    assert [(r.bins, r.lo, r.hi, r["count"]) for r in sorted(one([0, 1, 1]), key=lambda r: r.bin)] == [("unit", 0.0, 0.5, 1), ("unit", 0.5, 1.0, 2)]
+    rows = one([5, 9, 9])
+    assert {r.bins for r in rows} == {"linear", "unit", "log"} and sum(r["count"] for r in rows if r.bins == "linear") == 3 and all(r.pdf is not None for r in rows if r.bins != "unit")
+    assert [(r.lo, r["count"]) for r in sorted(rows, key=lambda r: r.bin) if r.bins == "unit"] == [(5.0, 1), (6.0, 0), (7.0, 0)]
+
+
+def test_scratch_tables_go(spark):
+    with lineage.scratch(spark):
+        rows = lineage.cut(spark.range(5), "gone")
+        at = rows.inputFiles()
+        assert rows.count() == 5
+    import os
+
+    assert at and not any(os.path.exists(f.removeprefix("file://")) for f in at)
+
+
 def test_histograms(spark):
     v = spark.createDataFrame([(float(x),) for x in (1, 1, 2, 4, 10)], "value double")
     edges = distribution.linear_edges(1, 10)
@@ -139,6 +170,9 @@ def test_distances(spark):
     v, e = net(spark, [("a", "b", 1), ("c", "d", 1), ("d", "e", 1)])
     with pytest.raises(ValueError):
         centrality.eccentricity(v, e)
+    w, f = net(spark, [(f"{i:02d}", f"{i + 1:02d}", 1) for i in range(30)] + [("05", f"x{i}", 1) for i in range(9)])
+    whole = {r.source: r.d for r in centrality.hops(f).groupBy("source").agg(F.max("depth").alias("d")).collect()}
+    assert {r.node: r.ecc for r in centrality.eccentricity(w, f, 4).collect()} == whole
     assert {r.node for r in centrality.largest_component(v, e).collect()} == {"c", "d", "e"}
 
 
