@@ -118,6 +118,12 @@ def release() -> None:
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of queries that nothing refers to any more: it does so when the driver's memory is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable over edges (a, b), for every node that has an edge.
 

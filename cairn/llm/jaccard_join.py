@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, UPPER, components, cut, lower_bytes, slices, table, unused
+from .common import LOWER, UPPER, components, cut, lower_bytes, slices, table, tidy, unused
 from .hashing import A, B, mixed, shingles
 
 SLOTS, SLICE, FAN_IN, PORTION, HUB_ROUNDS = 1 << 18, 1 << 12, 64, 1 << 20, 3
@@ -189,7 +189,8 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
     several = packed.withColumn("several", F.min("f").over(by) != F.max("f").over(by)).where("several")
     member = several.groupBy("h", "f").agg(F.min("id").alias("id"), F.first("at").alias("at"))
     member = cut(member.select("h", "id", "f", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos")), "members")
-    texts = cut(own.join(member.select("id").distinct(), "id"), "texts")
+    texts = cut(own.join(member.select("id").distinct(), "id"), "texts", "zstd")
+    del packed, several
 
     comp, done = components(links), None
     for round_ in range(HUB_ROUNDS + 1):
@@ -209,6 +210,8 @@ def joined(docs: DataFrame, key: str = "doc_id", size: int = 3, per_cent: int =
         if done is not None:
             pairs = pairs.join(done, ["fa", "fb"], "left_anti").join(done.select(F.col("fa").alias("fb"), F.col("fb").alias("fa")), ["fa", "fb"], "left_anti")
         pairs = cut(pairs, "pairs")
+        del lead
+        tidy(spark)
         if pairs.isEmpty():
             continue
         found = cut(verified(pairs.select("a", "fa", "b", "fb"), texts, size, per_cent), "links")
