@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +119,27 @@ def test_previous_factors_by_definition(length):
             assert f == max((prefix(raw[e : e + length], raw[s : s + length]) for e in range(s)), default=0)
 
 
+def test_suffix_dedup_releases_shuffles_of_finished_steps(spark):
+    """On disk there is no more than one step's shuffle: those of the steps before are gone when the result is asked for."""
+
+    def shuffles():
+        files, out = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), set()
+        while files.hasNext():
+            if (name := files.next().getName()).startswith("shuffle_") and name.endswith(".data"):
+                out.add(int(name.split("_")[1]))
+        return out
+
+    before = shuffles()
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 40) * k % 977}" for k in range(80))) for i in range(80)], "doc_id long, text string")
+    got = suffix_dedup.spans(docs)
+    for _ in range(20):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert got.where("_starts is not null").count() >= 40
+
+
 def test_suffix_dedup_tells_texts_of_one_key_apart(spark):
     """Thousands of texts without a doc_id, or with one, whose hashes collide in 24 bits: none takes another's copies."""
     texts = [f"{i:05d} " + "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(200)) for i in range(26)]
