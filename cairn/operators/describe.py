@@ -117,8 +117,12 @@ def tag_text(tags: DataFrame, names: dict[int, str]) -> DataFrame:
 
 def relevance(space: DataFrame, n: int) -> DataFrame:
     """(visited, relevance, uncertainty): column sums and population deviations of the association space over n starts, zeros counted, each over its maximum."""
-    s = space.groupBy("visited").agg(F.sum("avg_visits").alias("s"), F.sum(F.col("avg_visits") * F.col("avg_visits")).alias("q"))
-    s = s.withColumns({"relevance": F.col("s"), "uncertainty": F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - F.pow(F.col("s") / n, 2)))})
+    return scaled_relevance(space.groupBy("visited").agg(F.sum("avg_visits").alias("s"), F.sum(F.col("avg_visits") * F.col("avg_visits")).alias("q")), n)
+
+
+def scaled_relevance(moments: DataFrame, n: int) -> DataFrame:
+    """relevance() from each column's sum s and sum of squares q."""
+    s = moments.withColumns({"relevance": F.col("s"), "uncertainty": F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - F.pow(F.col("s") / n, 2)))})
     top = s.agg(F.max("relevance").alias("r"), F.max("uncertainty").alias("u"))
     return s.crossJoin(F.broadcast(top)).select("visited", (F.col("relevance") / F.col("r")).alias("relevance"), (F.col("uncertainty") / F.when(F.col("u") != 0, F.col("u"))).alias("uncertainty"))  # one row
 

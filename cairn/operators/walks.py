@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairn.functions.columns import uniform
-from cairn.operators import network
+from cairn.operators import network, shipped
 from cairn.plans.lineage import cut
 
 
@@ -75,3 +75,11 @@ def expected(starts: DataFrame, arcs: DataFrame, steps: int) -> DataFrame:
         now = cut(now.withColumnRenamed("visited", "src").join(p, "src").groupBy("start", F.col("dst").alias("visited")).agg(F.sum(F.col("x") * F.col("p")).alias("x")), "power")
         out = out.unionByName(now)
     return out.groupBy("start", "visited").agg(F.sum("x").alias("avg_visits"))
+
+
+def moments(vertices: DataFrame, arcs: DataFrame, steps: int) -> DataFrame:
+    """(visited, s, q): sums and sums of squares of the columns of expected() from all vertices (idx, node). Tasks make the rows and add them up; beyond shipped.MOST_ARCS joins do."""
+    net = shipped.collected(vertices, arcs)
+    if net is None:
+        return expected(vertices.select("node"), arcs, steps).groupBy("visited").agg(F.sum("avg_visits").alias("s"), F.sum(F.col("avg_visits") * F.col("avg_visits")).alias("q"))
+    return cut(shipped.moments(vertices, shipped.transitions(net), steps), "moments").join(vertices, "idx").select(F.col("node").alias("visited"), "s", "q")

@@ -713,8 +713,9 @@ sp AS (SELECT a, b, sum(x) AS x FROM r GROUP BY ALL), n AS (SELECT count(*) AS n
 s AS (SELECT b AS visited, sum(x) AS r, sqrt(greatest(0, sum(x * x) / any_value(n) - (sum(x) / any_value(n)) * (sum(x) / any_value(n)))) AS u FROM sp, n GROUP BY b)
 SELECT visited, round_even(r / max(r) OVER (), 8) AS relevance, round_even(u / max(u) OVER (), 6) AS uncertainty FROM s""")
 def _(spark, d):
-    v, e, s = _space(spark, d, 2)
-    return describe.relevance(s, v.count()).select("visited", F.bround("relevance", 8).alias("relevance"), r6("uncertainty").alias("uncertainty"))
+    v, e = words(spark, d)
+    m = walks.moments(v, cut(walks.undirected_arcs(e), "arcs"), 2)
+    return describe.scaled_relevance(m, v.count()).select("visited", F.bround("relevance", 8).alias("relevance"), r6("uncertainty").alias("uncertainty"))
 
 
 def _bands(v):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import described
-from cairn.operators import centrality, community, describe, distribution, lexical, network, walks
+from cairn.operators import centrality, community, describe, distribution, lexical, network, shipped, walks
 from cairn.plans import catalogue, lineage
 from cairn.sources import graph_files
 
@@ -210,6 +210,22 @@ def test_expected_visits(spark, triangle):
     assert all(got[str(i), str(j)] == pytest.approx(want[i][j]) for i in range(3) for j in range(3))
 
 
+def test_relevance_without_a_table_of_all_pairs(spark, tmp_path, monkeypatch):
+    """Column sums of the space come from rows that are never written, and are those of the space; joins give the same."""
+    monkeypatch.setattr(catalogue, "LEAST", 1)
+    texts = ["a b c a d a e a f", "b c d", "x y x z", "f g g h"]
+    spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    v, e, s = catalogue._space(spark, str(tmp_path), 2)
+    want = {r.visited: (round(r.relevance, 6), round(r.uncertainty, 6)) for r in describe.relevance(s, v.count()).collect()}
+    score = lambda: {r.visited: (round(r.relevance, 6), round(r.uncertainty, 6)) for r in catalogue.QUERIES["relevance_uncertainty"](spark, str(tmp_path)).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(shipped, "MOST_ARCS", 0)
+        assert score() == want
+    monkeypatch.setattr(walks, "expected", None)
+    monkeypatch.setattr(shipped, "PORTION", 7)
+    assert score() == want and len(want) == 11
+
+
 def test_walks(spark, triangle):
     v, e = triangle
     v = v.union(spark.createDataFrame([(3, "lone")], v.schema))
