@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import max_normalised
-from cairn.operators import network
+from cairn.operators import network, shipped
 from cairn.plans.lineage import cut
 
 #: Arcs up to which betweenness ships the network to every task.
@@ -194,26 +194,120 @@ def _brandes(first: np.ndarray, to: np.ndarray, weight: np.ndarray, s: int, out:
             out[v] += delta[v]
 
 
+class Paths:
+    """A network for shortest paths from many sources. A way over a hub bounds each distance from above, and each node's arcs are ordered so that those a bound leaves come first.
+
+    An arc (u, v) is on a shortest path from s only where dist(s, u) + weight <= dist(s, hub) + dist(hub, v). slack is
+    dist(hub, v) - weight, and many[u, j] counts u's arcs with a slack of lo + j * width or more: all of them for j = 0.
+    """
+
+    STEPS = 64
+
+    def __init__(self, net: shipped.Arcs) -> None:
+        self.net, self.step = net, net.weight.min(initial=np.inf)
+        if not len(net.src) or self.step <= 0:
+            return
+        hub = int(np.argmax(np.minimum(np.bincount(net.src, minlength=net.n), np.bincount(net.dst, minlength=net.n))))
+        self.to_hub = self.distances(net.dst, net.src, hub)
+        slack = self.distances(net.src, net.dst, hub)[net.dst] - net.weight
+        order = np.lexsort((-slack, net.src))
+        net.dst, net.weight, slack = net.dst[order], net.weight[order], slack[order]
+        some = slack[np.isfinite(slack)]
+        self.lo, hi = np.quantile(some, (0.01, 0.999)) if len(some) else (0.0, 0.0)
+        self.width = max(hi - self.lo, self.step) / self.STEPS
+        j = np.clip(np.floor((slack - self.lo) / self.width * (1 + 1e-9) + 1e-6), 0, self.STEPS - 1).astype(np.int64)
+        by = np.bincount(net.src * np.int64(self.STEPS) + j, minlength=net.n * self.STEPS).reshape(net.n, -1)
+        self.many = by[:, ::-1].cumsum(1)[:, ::-1].astype(np.int32).ravel()
+
+    def distances(self, of: np.ndarray, to: np.ndarray, s: int) -> np.ndarray:
+        dist = np.full(self.net.n, np.inf)
+        dist[s] = 0.0
+        while True:
+            new = dist.copy()
+            np.minimum.at(new, to, dist[of] + self.net.weight)
+            if (new == dist).all():
+                return dist
+            dist = new
+
+    def out(self, u: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Arcs.out() of nodes u, without the arcs that no shortest path takes where u lies beyond farther from the source than the hub."""
+        j = np.clip((beyond - self.lo) / self.width - 1e-3, 0, self.STEPS - 1).astype(np.int64)
+        k = self.many[u * self.STEPS + j]
+        return k, np.arange(k.sum(dtype=np.int64)) + np.repeat(self.net.first[u] - (np.cumsum(k, dtype=np.int64) - k), k)
+
+
+def dependencies(paths: Paths, sources: np.ndarray, most: int = 2000) -> np.ndarray | None:
+    """The dependencies of sources, added up: shortest paths from all of them at once, in bands as wide as the least weight.
+
+    An arc is at least that long, so what is nearest within a band has its distance and its number of paths, whatever the
+    order in the band. None where weights aren't above 0 or there would be more than most bands.
+    """
+    net, n, base = paths.net, paths.net.n, np.arange(len(sources)) * paths.net.n
+    dist, sigma, slot = np.full(len(sources) * n, np.inf), np.zeros(len(sources) * n), np.empty(len(sources) * n, np.int32)
+    own = base + sources
+    dist[own], sigma[own] = 0.0, 1.0
+    if not len(net.src):
+        return np.zeros(n)
+    if paths.step <= 0:
+        return None
+    hub = paths.to_hub[sources]
+    left, trail = own, []
+    while len(left):
+        if len(trail) >= most:
+            return None
+        d = dist[left]
+        near = d < d.min() + paths.step
+        now, d, left = left[near], d[near], left[~near]
+        row = now // n
+        u = now - row * n
+        k, at = paths.out(u, d - hub[row])
+        far = np.repeat(d, k)
+        far += net.weight[at]
+        v = np.repeat(now - u, k)
+        v += net.dst[at]
+        good = np.flatnonzero(far <= dist[v])
+        v, far, a = v[good], far[good], np.repeat(now, k)[good]
+        old = dist[v]
+        np.minimum.at(dist, v, far)
+        best = dist[v]
+        sigma[v[best < old]] = 0.0
+        tight = far == best
+        first = v[tight & np.isinf(old)]
+        slot[first] = np.arange(len(first))
+        left = np.concatenate((left, first[slot[first] == np.arange(len(first))]))
+        a, v, far = a[tight], v[tight], far[tight]
+        np.add.at(sigma, v, sigma[a])
+        trail.append((a, v, far))
+    delta = np.zeros(len(dist))
+    for a, v, far in reversed(trail):
+        last = far == dist[v]  # no shorter path was found since
+        a, v = a[last], v[last]
+        np.add.at(delta, a, sigma[a] / sigma[v] * (1 + delta[v]))
+    delta[own] = 0.0
+    return delta.reshape(-1, n).sum(0)
+
+
 def betweenness(vertices: DataFrame, edges: DataFrame, normalise: bool = True) -> DataFrame:
     """(node, score): weighted directed betweenness, weights as distances. Sources are dealt to tasks, each with the network's arrays, checked against MOST_ARCS."""
     spark = vertices.sparkSession
-    arcs = network.relabelled(network.digraph(edges), vertices).where("src <> dst")
-    if (m := arcs.count()) > MOST_ARCS:
-        raise ValueError(f"{m} arcs are more than a task holds ({MOST_ARCS})")
-    t = arcs.select("src", "dst", "weight").toPandas().sort_values(["src", "dst"])
-    n = vertices.count()
-    first = np.searchsorted(t["src"].to_numpy(), np.arange(n + 1))
-    shared = spark.sparkContext.broadcast((first, t["dst"].to_numpy(), t["weight"].to_numpy(float)))
-
-    def f(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b, w = shared.value
-        out = np.zeros(len(a) - 1)
-        for p in parts:
-            for s in p["idx"]:
-                _brandes(a, b, w, int(s), out)
-        yield pd.DataFrame({"idx": np.arange(len(out)), "score": out})
-
-    sources = vertices.select("idx").repartition(max(1, min(n, spark.sparkContext.defaultParallelism)), "idx")
-    got = sources.mapInPandas(f, "idx long, score double").groupBy("idx").agg(F.sum("score").alias("score"))
-    out = vertices.select("idx", "node").join(got, "idx", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+    net = shipped.collected(vertices, network.digraph(edges).where("src <> dst"), MOST_ARCS)
+    if net is None:
+        raise ValueError(f"there are more arcs than a task holds ({MOST_ARCS})")
+    shared = spark.sparkContext.broadcast(Paths(net))
+
+    def f(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        paths = shared.value
+        net = paths.net
+        out, size = np.zeros(net.n), max(1, shipped.PORTION // net.n)
+        for part in parts:
+            for i in range(0, len(part), size):
+                if (got := dependencies(paths, part[i : i + size])) is not None:
+                    out += got
+                    continue
+                for s in part[i : i + size]:
+                    _brandes(net.first, net.dst, net.weight, int(s), out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(net.n)), pa.array(out)], ["idx", "score"])
+
+    got = shipped.over(vertices, f, "idx long, score double").groupBy("idx").agg(F.sum("score").alias("score"))
+    out = cut(vertices.select("idx", "node").join(got, "idx", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score")), "betweenness")
     return max_normalised(out, "score") if normalise else out

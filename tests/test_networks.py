@@ -203,6 +203,24 @@ def test_betweenness_by_all_paths(spark):
     assert got == {"a": 0.0, "b": 1.0, "c": 3.0, "d": 1.0, "f": 0.0}
 
 
+def test_betweenness_of_many_sources_at_once_is_that_of_each():
+    """With ties, loops, parts that don't reach each other, and an arc that no path takes; and without the order by a hub."""
+    rng = np.random.default_rng(5)
+    for n, m, top in ((40, 300, 4), (60, 120, 30), (30, 200, 1)):
+        a, b = rng.integers(0, n, (2, m))
+        key = np.unique((a * n + b)[a != b])
+        net = shipped.Arcs(n, key // n, key % n, rng.integers(1, top + 1, len(key)) * 10.0)
+        want = np.zeros(n)
+        for s in range(n):
+            centrality._brandes(net.first, net.dst, net.weight, s, want)
+        paths = centrality.Paths(net)
+        got = sum(centrality.dependencies(paths, np.arange(i, min(n, i + 7))) for i in range(0, n, 7))
+        assert np.allclose(got, want) and want.max() > 0
+    assert centrality.dependencies(paths, np.arange(3), 1) is None
+    net.weight[0] = 0.0
+    assert centrality.dependencies(centrality.Paths(net), np.arange(3)) is None
+
+
 def test_expected_visits(spark, triangle):
     v, e = triangle
     got = {(r.start, r.visited): r.avg_visits for r in walks.expected(v.select("node"), walks.undirected_arcs(e), 4).collect()}
