@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.columns import max_normalised
+from cairn.functions.columns import max_normalised, ordinal
 from cairn.operators import network, shipped
 from cairn.plans.lineage import cut
 
@@ -56,8 +56,11 @@ def hops(edges: DataFrame, most: int = 1000, sources: DataFrame | None = None) -
     """(source, node, depth) of all pairs connected in the undirected network, or of those from sources (node): a frontier joined to its neighbours, level by level.
 
     A neighbour of a level is in it or in one beside it, so new pairs are told by the last two levels alone.
+    From all nodes of a network of up to shipped.MOST_ARCS arcs, tasks go level by level for 64 sources at once instead.
     """
     arcs = cut(network.both_ways(network.undirected(edges)).select("src", "dst").where("src <> dst"), "arcs")
+    if sources is None and (got := _all_hops(arcs, most)) is not None:
+        return got
     starts = arcs.select(F.col("src").alias("source")).distinct() if sources is None else sources.select(F.col("node").alias("source")).distinct()
     seen = cut(starts.select("source", F.col("source").alias("node"), F.lit(0).alias("depth")), "hops")
     before, front, levels = seen.limit(0), seen, [seen]
@@ -71,6 +74,32 @@ def hops(edges: DataFrame, most: int = 1000, sources: DataFrame | None = None) -
     raise RuntimeError(f"distances above {most}")
 
 
+def _all_hops(arcs: DataFrame, most: int) -> DataFrame | None:
+    """hops() from all nodes, a row a source until the end; none where there are too many arcs (src, dst) to ship."""
+    vertices = cut(ordinal(arcs.select(F.col("src").alias("node")).distinct(), "node").select("idx", "node"), "vertices")
+    net = shipped.collected(vertices, arcs.withColumn("weight", F.lit(1.0)))
+    if net is None:
+        return None
+    shared = arcs.sparkSession.sparkContext.broadcast(net)
+
+    def f(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for part in parts:
+            for i in range(0, len(part), 64):
+                d = shipped.depths(net, part[i : i + 64], most)
+                for j in range(0, len(d), 8):
+                    x = np.ascontiguousarray(d[j : j + 8])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[i + j : i + j + len(x)]), pa.ListArray.from_arrays(np.arange(0, x.size + 1, net.n, dtype=np.int32), x.ravel())], ["source", "depths"])
+
+    rows = shipped.over(vertices, f, "source long, depths array<smallint>")
+    pairs = rows.select("source", F.posexplode("depths").alias("place", "depth")).where("depth >= 0")
+    # a network of MOST_ARCS arcs at most
+    named = F.broadcast(vertices)
+    out = pairs.join(named.select(F.col("idx").alias("source"), F.col("node").alias("_source")), "source")
+    out = out.join(named.select(F.col("idx").cast("int").alias("place"), "node"), "place")
+    return out.select(F.col("_source").alias("source"), "node", F.col("depth").cast("int").alias("depth"))
+
+
 def components(vertices: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, component): the least name reachable, by spreading minima and shortcuts."""
     arcs = cut(network.both_ways(network.undirected(edges)).select("src", "dst"), "arcs")

@@ -176,6 +176,19 @@ def test_distances(spark):
     assert {r.node for r in centrality.largest_component(v, e).collect()} == {"c", "d", "e"}
 
 
+def test_hops_of_all_nodes_are_those_of_joins(spark, monkeypatch):
+    """More sources than a word has bits, two parts, a loop; a path longer than allowed."""
+    edges = [(f"{i:03d}", f"{i * 7 % 150:03d}", 1) for i in range(150)] + [("x", "y", 1), ("y", "z", 1), ("x", "x", 1)]
+    _, e = net(spark, edges)
+    got = centrality._all_hops(network.both_ways(network.undirected(e)).select("src", "dst").where("src <> dst"), 1000)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in centrality.hops(e).collect()}
+    monkeypatch.setattr(shipped, "MOST_ARCS", 0)
+    joined = centrality.hops(e)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in joined.collect()} and got.count() == joined.count() and got.schema.names == joined.schema.names
+    with pytest.raises(RuntimeError):
+        shipped.depths(shipped.Arcs(3, np.array([0, 1, 1, 2]), np.array([1, 0, 2, 1]), np.ones(4)), np.array([0]), 1)
+
+
 def test_pagerank_and_eigenvector_are_numpy(spark):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 4)]
     v, e = net(spark, edges + [("c", "z", 1)])
