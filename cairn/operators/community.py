@@ -5,14 +5,15 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators import network
+from cairn.operators import network, shipped
 from cairn.plans.lineage import cut
 
-#: Nodes and edges up to which greedy merging runs on the driver, and columns up to which spaces become vectors.
-MOST_NODES, MOST_EDGES, MOST_COLUMNS = 20_000, 500_000, 4_096
+#: Columns up to which spaces become vectors.
+MOST_COLUMNS = 4_096
 
 
 def fluid(vertices: DataFrame, edges: DataFrame, k: int, seed: int = 0, most: int = 100) -> DataFrame:
@@ -53,51 +54,67 @@ def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return both.agg(F.sum(F.coalesce("w", F.lit(0.0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def greedy(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cluster) by greedy merging for modularity; larger communities have lower numbers.
+def merged(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> list[list[int]]:
+    """Members of the communities of greedy merging for modularity, of n nodes and undirected edges (a, b, weight); the largest first.
 
-    Merging is a sequence, so it runs on the driver: a network above MOST_NODES or MOST_EDGES raises.
+    Of the two that merge, the one with more neighbours stays, so an edge moves a logarithmic number of times. A pair's
+    gain falls as its communities grow, and rises only with its weight, when it gets a new entry: what the heap holds is
+    an upper bound, which is corrected when it comes up.
     """
-    pairs = network.undirected(edges)
-    n, m = vertices.count(), pairs.count()
-    if n > MOST_NODES or m > MOST_EDGES:
-        raise ValueError(f"{n} nodes and {m} edges are more than the driver merges")
-    names = [r.node for r in vertices.orderBy("idx").select("node").collect()]
-    at = {x: i for i, x in enumerate(names)}
-    w: list[dict[int, float]] = [{} for _ in names]
-    degree = np.zeros(n)
-    for r in pairs.collect():
-        a, b = at[r.a], at[r.b]
-        degree[a] += r.weight
-        degree[b] += r.weight
-        if a != b:
-            w[a][b] = w[b][a] = r.weight
-    total = degree.sum() or 1.0
-    share = degree / total
-    gain = [{j: 2 * (x / total - share[i] * share[j]) for j, x in w[i].items()} for i in range(n)]
-    heap = [(-g, i, j) for i in range(n) for j, g in gain[i].items() if i < j]
+    degree = np.bincount(a, weight, n) + np.bincount(b, weight, n)
+    total = float(degree.sum()) or 1.0
+    share = (degree / total).tolist()
+    w: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, x in zip(a.tolist(), b.tolist(), (weight / total).tolist(), strict=True):
+        if i != j:
+            w[i][j] = w[j][i] = x
+    heap = [(-2 * (x - share[i] * share[j]), i, j) for i in range(n) for j, x in w[i].items() if i < j]
     heapq.heapify(heap)
     members, alive = [[i] for i in range(n)], [True] * n
     while heap:
-        g, i, j = heapq.heappop(heap)
-        if not (alive[i] and alive[j]) or gain[i].get(j) != -g:
-            continue
-        if -g <= 0:
+        bound, i, j = heapq.heappop(heap)
+        if bound >= 0:
             break
+        if not (alive[i] and alive[j]):
+            continue
+        gain = -2 * (w[i][j] - share[i] * share[j])
+        if gain != bound:
+            if gain < 0:
+                heapq.heappush(heap, (gain, i, j))
+            continue
         # j joins i
-        for k in set(gain[i]) | set(gain[j]):
-            if k in (i, j):
-                continue
-            a, b = gain[i].get(k), gain[j].get(k)
-            new = a + b if a is not None and b is not None else (a - 2 * share[j] * share[k] if a is not None else b - 2 * share[i] * share[k])
-            gain[i][k] = gain[k][i] = new
-            gain[k].pop(j, None)
-            heapq.heappush(heap, (-new, min(i, k), max(i, k)))
-        gain[i].pop(j, None)
-        alive[j], share[i] = False, share[i] + share[j]
+        if len(w[j]) > len(w[i]):
+            i, j = j, i
+        own, s = w[i], share[i] + share[j]
+        share[i], alive[j] = s, False
+        del own[j]
+        for k, x in w[j].items():
+            if k != i:
+                del w[k][j]
+                own[k] = w[k][i] = x = own.get(k, 0.0) + x
+                if (gain := -2 * (x - s * share[k])) < 0:
+                    heapq.heappush(heap, (gain, min(i, k), max(i, k)))
+        w[j] = {}
         members[i] += members[j]
-    order = sorted((m for m, a in zip(members, alive, strict=True) if a), key=lambda m: (-len(m), min(m)))
-    return vertices.sparkSession.createDataFrame([(names[i], c) for c, m in enumerate(order) for i in m], "node string, cluster int")
+        members[j] = []
+    return sorted((m for m, here in zip(members, alive, strict=True) if here), key=lambda m: (-len(m), min(m)))
+
+
+def greedy(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, cluster) by greedy merging for modularity; larger communities have lower numbers.
+
+    Merging is a sequence, so it runs on the driver, which holds the network: some 300 bytes an edge, whatever their number.
+    """
+    rows = network.relabelled(network.undirected(edges).withColumnsRenamed({"a": "src", "b": "dst"}), vertices).select("src", "dst", F.col("weight").cast("double")).toArrow()
+    communities = merged(vertices.count(), *(rows[c].to_numpy() for c in ("src", "dst", "weight")))
+    idx = np.array([i for m in communities for i in m], np.int64)
+    return _named(vertices, idx, "cluster", pa.array(np.repeat(np.arange(len(communities), dtype=np.int32), [len(m) for m in communities])))
+
+
+def _named(vertices: DataFrame, idx: np.ndarray, name: str, values: pa.Array, node: str = "node") -> DataFrame:
+    """(node, name) of values by the numbers of vertices (idx, node)."""
+    rows = vertices.sparkSession.createDataFrame(pa.table({"idx": pa.array(idx, pa.int64()), name: values}))
+    return vertices.select("idx", F.col("node").alias(node)).join(rows, "idx").select(node, name)
 
 
 def vectors(space: DataFrame, columns: DataFrame) -> DataFrame:

@@ -288,6 +288,32 @@ def test_communities(spark):
     assert len(community.principal(space).first().coordinates) >= 1
 
 
+def test_greedy_merging_of_any_size(spark):
+    """The pair of the largest gain merges each time, also of more than 20,000 nodes."""
+    rng = np.random.default_rng(2)
+    for n, m in ((12, 30), (25, 60), (9, 8)):
+        key = np.unique((lambda a, b: np.minimum(a, b) * n + np.maximum(a, b))(*rng.integers(0, n, (2, m))))
+        a, b, w = key // n, key % n, rng.random(len(key)) + 0.1
+        sets, total = [{i} for i in range(n)], 2 * w.sum()
+        degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+        while True:
+            gain = {}
+            for i, x in enumerate(sets):
+                for j in range(i + 1, len(sets)):
+                    between = sum(c for p, q, c in zip(a, b, w) if (p in x and q in sets[j]) or (q in x and p in sets[j]))
+                    if between:
+                        gain[i, j] = 2 * (between / total - degree[list(x)].sum() * degree[list(sets[j])].sum() / total**2)
+            if not gain or max(gain.values()) <= 0:
+                break
+            i, j = max(gain, key=gain.get)
+            sets[i] |= sets.pop(j)
+        assert sorted(map(sorted, community.merged(n, a, b, w))) == sorted(map(sorted, sets))
+    ring = spark.range(20_004).select(F.format_string("%05d", "id").alias("src"), F.format_string("%05d", (F.col("id") + 1) % 20_004).alias("dst"), F.lit(0).alias("key"), F.col("id").alias("ord"), F.lit(1.0).alias("weight"))
+    nodes = spark.range(20_004).select(F.col("id").alias("idx"), F.format_string("%05d", "id").alias("node"))
+    got = community.greedy(nodes, ring)
+    assert got.count() == 20_004 and 10 < got.select("cluster").distinct().count() < 2000
+
+
 def lexicon(spark):
     lex = spark.createDataFrame([("hot", "h1", 2), ("warm", "h1", 3), ("cold", "c1", 4), ("cat", "k1", 5), ("dog", "d1", 5)], "word string, synset string, min_depth int")
     lemmas = spark.createDataFrame([("h1", "hot"), ("c1", "cold"), ("k1", "cat"), ("d1", "dog")], "synset string, lemma string")
