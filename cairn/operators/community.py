@@ -152,3 +152,55 @@ def principal(space: DataFrame, components: int | None = None, variance: float =
     shift = mean @ model.pc.toArray()[:, :keep]
     out = F.slice(vector_to_array("out"), 1, keep)
     return model.transform(space).select("start", F.zip_with(out, F.array(*[F.lit(float(x)) for x in shift]), lambda x, m: x - m).alias("coordinates"))
+
+
+def _transitions(vertices: DataFrame, arcs: DataFrame) -> shipped.Arcs:
+    net = shipped.collected(vertices, arcs)
+    if net is None:
+        raise ValueError(f"there are more arcs than the driver holds ({shipped.MOST_ARCS})")
+    return shipped.transitions(net)
+
+
+def _component(times, n: int, found: list[np.ndarray], rng, steps: int = 200, tol: float = 1e-12) -> np.ndarray:
+    """The leading eigenvector, orthogonal to those found, of a positive matrix that times() multiplies with: Lanczos with full orthogonalisation, restarted from its best vector."""
+
+    def clean(x: np.ndarray, basis: list[np.ndarray]) -> np.ndarray:
+        for _ in range(2):
+            for b in (*found, *basis):
+                x = x - (b @ x) * b
+        return x
+
+    v = clean(rng.standard_normal(n), [])
+    v /= np.linalg.norm(v)
+    while True:
+        basis, on, off = [v], [], []
+        while True:
+            x = times(basis[-1])
+            on.append(basis[-1] @ x)
+            x = clean(x, basis)
+            beta = np.linalg.norm(x)
+            value, vector = np.linalg.eigh(np.diag(on) + np.diag(off, 1) + np.diag(off, -1))
+            done = beta * abs(vector[-1, -1]) <= tol * max(value[-1], np.finfo(float).tiny) or len(basis) + len(found) >= n
+            if done or len(basis) == steps:
+                break
+            off.append(beta)
+            basis.append(x / beta)
+        v = clean(sum(c * b for c, b in zip(vector[:, -1], basis, strict=True)), [])
+        v /= np.linalg.norm(v)
+        if done:
+            return v
+
+
+def principal_walks(vertices: DataFrame, arcs: DataFrame, steps: int, components: int) -> DataFrame:
+    """(start, coordinates): principal() of the rows of walks.expected() from all vertices, of any number of columns, without a table of them: products with the network's arcs give the components."""
+    p = _transitions(vertices, arcs)
+    space, rng = shipped.Space(p, steps), np.random.default_rng(0)
+    mean = space.transposed(np.ones(p.n)) / max(1, p.n)
+    centered = lambda x: space.times(x) - mean @ x
+    back = lambda y: space.transposed(y) - mean * y.sum()
+    found: list[np.ndarray] = []
+    for _ in range(min(components, p.n)):
+        found.append(_component(lambda x: back(centered(x)), p.n, found, rng))
+    xy = np.stack([centered(v) for v in found], 1) if found else np.zeros((0, 0))
+    values = pa.array(xy.tolist(), pa.list_(pa.float64()))
+    return _named(vertices, np.arange(p.n), "coordinates", values, "start")

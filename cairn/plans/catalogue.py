@@ -750,8 +750,8 @@ def _(spark, d):
 
 @query("principal_coordinates")
 def _(spark, d):
-    v, e, s = _space(spark, d, 2)
-    return community.principal(community.vectors(s, v), 2)
+    v, e = words(spark, d)
+    return community.principal_walks(v, cut(walks.undirected_arcs(e), "arcs"), 2, 2)
 
 
 @query("cluster_relevance", "WITH r AS (SELECT p_size % 4 AS cluster, p_retailprice / max(p_retailprice) OVER () AS r FROM part) SELECT cluster, count(*) AS nodes, round_even(avg(r), 9) AS mean_relevance, round_even(stddev_pop(r), 9) AS std_relevance, CAST(sum(CASE WHEN r > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS relevant, round_even(avg(CASE WHEN r > 0.5 THEN 1.0 ELSE 0.0 END), 9) AS relevant_share FROM r GROUP BY cluster")

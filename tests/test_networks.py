@@ -314,6 +314,23 @@ def test_greedy_merging_of_any_size(spark):
     assert got.count() == 20_004 and 10 < got.select("cluster").distinct().count() < 2000
 
 
+def test_principal_coordinates_of_more_columns_than_a_covariance_matrix(spark, monkeypatch):
+    """Also where components are alike: two equal halves."""
+    monkeypatch.setattr(community, "MOST_COLUMNS", 3)
+    half = [(a, b, w) for g in "xy" for a, b, w in ((g + "1", g + "2", 1), (g + "2", g + "3", 2), (g + "3", g + "4", 1), (g + "1", g + "4", 5))]
+    v, e = net(spark, [*half, ("z", "x1", 3), ("z", "y1", 3)], ["alone", *(g + i for g in "xy" for i in "1234"), "z"])
+    names = [r.node for r in v.orderBy("idx").collect()]
+    x = np.zeros((10, 10))
+    for r in walks.expected(v.select("node"), walks.undirected_arcs(e), 2).collect():
+        x[names.index(r.start), names.index(r.visited)] = r.avg_visits
+    x -= x.mean(0)
+    u, s, _ = np.linalg.svd(x)
+    for k in (2, 5, 10):
+        got = {r.start: r.coordinates for r in community.principal_walks(v, walks.undirected_arcs(e), 2, k).collect()}
+        xy = np.array([got[n] for n in names])
+        assert np.allclose(np.linalg.norm(xy, axis=0), s[:k], atol=1e-7) and np.allclose(xy @ xy.T, x @ x.T if k == 10 else (u[:, :k] * s[:k] ** 2) @ u[:, :k].T, atol=1e-6)
+
+
 def lexicon(spark):
     lex = spark.createDataFrame([("hot", "h1", 2), ("warm", "h1", 3), ("cold", "c1", 4), ("cat", "k1", 5), ("dog", "d1", 5)], "word string, synset string, min_depth int")
     lemmas = spark.createDataFrame([("h1", "hot"), ("c1", "cold"), ("k1", "cat"), ("d1", "dog")], "synset string, lemma string")
