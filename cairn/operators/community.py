@@ -161,6 +161,40 @@ def _transitions(vertices: DataFrame, arcs: DataFrame) -> shipped.Arcs:
     return shipped.transitions(net)
 
 
+def clustered_walks(vertices: DataFrame, arcs: DataFrame, steps: int, k: int, seed: int = 0, most: int = 100) -> DataFrame:
+    """(node, cluster): k-means of the rows of walks.expected() from all vertices, of any number of columns, without a table of them.
+
+    A center is a mean of rows, so its products with all rows, and the means of clusters, are products with the network's
+    arcs; tasks make the rows once, for their norms. Starts are drawn by squared distance; ends when no row moves.
+    """
+    p = _transitions(vertices, arcs)
+    if not p.n:
+        return _named(vertices, np.zeros(0, np.int64), "cluster", pa.array([], pa.int32()))
+    t = shipped.moments(vertices, p, steps).select("idx", "norm").toArrow()
+    norm = np.empty(p.n)
+    norm[t["idx"].to_numpy()] = t["norm"].to_numpy()
+    space, rng = shipped.Space(p, steps), np.random.default_rng(seed)
+    one = lambda i: space.transposed((np.arange(p.n) == i).astype(float))
+    away = lambda c: norm - 2 * space.times(c) + c @ c
+    centers = [one(rng.integers(p.n))]
+    near = away(centers[0])
+    while len(centers) < k and (near > 1e-9 * norm.max()).any():
+        share = np.where(near > 1e-9 * norm.max(), near, 0.0)
+        centers.append(one(rng.choice(p.n, p=share / share.sum())))
+        near = np.minimum(near, away(centers[-1]))
+    label = np.full(p.n, -1)
+    for _ in range(most):
+        d = np.stack([away(c) for c in centers])
+        new = d.argmin(0)
+        for c in np.flatnonzero(np.bincount(new, minlength=len(centers)) == 0):
+            new[d.min(0).argmax()] = c  # an empty cluster gets the row that is farthest off
+        if (new == label).all():
+            break
+        label = new
+        centers = [space.transposed((label == c) / max(1, (label == c).sum())) for c in range(len(centers))]
+    return _named(vertices, np.arange(p.n), "cluster", pa.array(label.astype(np.int32)))
+
+
 def _component(times, n: int, found: list[np.ndarray], rng, steps: int = 200, tol: float = 1e-12) -> np.ndarray:
     """The leading eigenvector, orthogonal to those found, of a positive matrix that times() multiplies with: Lanczos with full orthogonalisation, restarted from its best vector."""
 

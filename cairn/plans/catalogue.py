@@ -744,8 +744,8 @@ def _(spark, d):
 
 @query("clustered_space")
 def _(spark, d):
-    v, e, s = _space(spark, d, 2)
-    return community.clustered(community.vectors(s, v), 4, 1)
+    v, e = words(spark, d)
+    return community.clustered_walks(v, cut(walks.undirected_arcs(e), "arcs"), 2, 4, 1)
 
 
 @query("principal_coordinates")

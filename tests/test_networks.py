@@ -331,6 +331,24 @@ def test_principal_coordinates_of_more_columns_than_a_covariance_matrix(spark, m
         assert np.allclose(np.linalg.norm(xy, axis=0), s[:k], atol=1e-7) and np.allclose(xy @ xy.T, x @ x.T if k == 10 else (u[:, :k] * s[:k] ** 2) @ u[:, :k].T, atol=1e-6)
 
 
+def test_clusters_of_more_columns_than_vectors(spark, monkeypatch):
+    """Each row is with the mean that is nearest to it."""
+    monkeypatch.setattr(community, "MOST_COLUMNS", 3)
+    monkeypatch.setattr(shipped, "PORTION", 20)
+    rng = np.random.default_rng(4)
+    v, e = net(spark, [(f"{g}{a}", f"{g}{b}", int(rng.integers(1, 9))) for g in "pqr" for a, b in rng.integers(0, 6, (12, 2)) if a != b] + [("p0", "q0", 1), ("q0", "r0", 1)])
+    names = [r.node for r in v.orderBy("idx").collect()]
+    x = np.zeros((len(names), len(names)))
+    for r in walks.expected(v.select("node"), walks.undirected_arcs(e), 2).collect():
+        x[names.index(r.start), names.index(r.visited)] = r.avg_visits
+    got = {r.node: r.cluster for r in community.clustered_walks(v, walks.undirected_arcs(e), 2, 3, 1).collect()}
+    label = np.array([got[n] for n in names])
+    assert sorted(set(label)) == [0, 1, 2]
+    d = ((x[:, None] - np.stack([x[label == c].mean(0) for c in range(3)])) ** 2).sum(2)
+    assert (d.argmin(1) == label).all()
+    assert {r.cluster for r in community.clustered_walks(v, walks.undirected_arcs(e), 2, 1).collect()} == {0}
+
+
 def lexicon(spark):
     lex = spark.createDataFrame([("hot", "h1", 2), ("warm", "h1", 3), ("cold", "c1", 4), ("cat", "k1", 5), ("dog", "d1", 5)], "word string, synset string, min_depth int")
     lemmas = spark.createDataFrame([("h1", "hot"), ("c1", "cold"), ("k1", "cat"), ("d1", "dog")], "synset string, lemma string")
