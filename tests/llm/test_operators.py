@@ -657,6 +657,36 @@ def test_op8_rejects_marked_texts(spark, tmp_path):
     assert all(r.n_tokens == len((t or "").split()) + 1 for r, (_, t, _, _) in zip(sorted(rows, key=lambda r: r.doc_id), sorted(docs, key=lambda d: d[0]), strict=True))
 
 
+def test_op8_trains_on_all_trusted_texts(spark, tmp_path, monkeypatch):
+    """Each half is judged by a model of all trusted texts of the other half, however many bytes they have, whether it is broadcast or asked."""
+    docs, labels = labelled()
+    rng = random.Random(12)
+    docs += [(7000 + i, " ".join(f"w{rng.randrange(10**5)}" for _ in range(50_000)), "fr", 0.0) for i in range(16)]  # 5 MB
+    labels = labels + [(7000 + i, 1, 0) for i in range(16)]
+    first = picked_ids(spark, docs, labels)
+    good = {i for i, q, t in labels if q and not t}
+    df, lb = spark.createDataFrame(docs, "doc_id long, text string, lang string, key double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert quality_classifier.shares(df, lb) == {"en": 0.5, "de": 0.5, "fr": 0.5}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    lb.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    for most in (quality_classifier.MOST_MODEL, 0):
+        ready = quality_classifier.Ready
+        monkeypatch.setattr(quality_classifier, "Ready", lambda s, m, _=0, most=most: ready(s, m, most))
+        got = {r.doc_id: r for r in quality_classifier.op8_quality_classifier(spark, str(tmp_path)).collect()}
+        monkeypatch.undo()
+        seen.append(got)
+        for lang in ("en", "fr"):
+            for half in (True, False):
+                own = [d for d in docs if d[2] == lang and (d[0] in first) == half][:40]
+                train = [d[1] for d in docs if d[2] == lang and d[0] in good and (d[0] in first) != half]
+                for d, w in zip(own, kneser_ney(train, [d[1] for d in own]), strict=True):
+                    assert got[d[0]].log10_prob == pytest.approx(w, rel=1e-4)
+                limit = sorted(got[d[0]].perplexity for d in docs if d[2] == lang and (d[0] in first) == half and d[0] in good)
+                assert {got[d[0]].threshold for d in own} == {limit[math.ceil(0.995 * len(limit)) - 1]}
+    assert all(seen[0][i].kept == seen[1][i].kept and seen[0][i].lang == seen[1][i].lang for i in seen[0])
+
+
 def picked_ids(spark, docs, labels):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, key double")
     lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
