@@ -194,6 +194,18 @@ class Known:
         return Lookup(self.words, np.arange(len(self.words), dtype=np.float32))
 
 
+def run_sums(rows: np.ndarray, first: np.ndarray, long: int = 8) -> np.ndarray:
+    """Sums of the runs of rows that begin at first: a product for each run of more than long rows, the others together, row by row of a run."""
+    size = np.diff(np.append(first, len(rows)))
+    out, one = rows[first], np.ones(size.max(initial=0), rows.dtype)
+    for i in np.flatnonzero(size > long):
+        out[i] = one[: size[i]] @ rows[first[i] : first[i] + size[i]]
+    for j in range(1, long):
+        at = np.flatnonzero((size > j) & (size <= long))
+        out[at] += rows[first[at] + j]
+    return out
+
+
 class Gated:
     """Parameters: gate and new state by token (x) and by state (u), outputs of class (wc, bc) and member (wm, bm). Ids are dealt to classes in turn of their number.
 
@@ -228,11 +240,14 @@ class Gated:
     def output(self, h: np.ndarray, y: np.ndarray, back: bool = False):
         """ln P(y | h) of rows, and gradients of their negative sum where asked."""
         klass, member = np.divmod(y, MEMBERS)
-        rows, one = np.arange(len(y)), np.ones(max(CLASSES, MEMBERS), h.dtype)
+        rows, one = np.arange(len(y)), np.ones(max(CLASSES, MEMBERS, len(y)), h.dtype)
+        # states are within 1, so that the parameters bound what is raised to a power
+        high = not all((np.abs(self.p[w]).sum(-2) + np.abs(self.p[b])).max() <= 60 for w, b in (("wc", "bc"), ("wm", "bm")))
 
         def soft(q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """(logarithms at the targets, sums of exponentials); q becomes exponentials."""
-            np.minimum(q, 60, out=q)  # exponentials stay finite; states are within 1, so nothing real is cut
+            if high:
+                np.minimum(q, 60, out=q)  # exponentials stay finite; nothing real is cut
             own = q[rows[: len(q)], at]
             np.exp(q, out=q)
             total = q @ one[: q.shape[1]]
@@ -247,7 +262,7 @@ class Gated:
         if back:
             q /= total[:, None]
             q[rows, klass] -= 1
-            grad = {"wc": h.T @ q, "bc": q.sum(0), "wm": np.zeros_like(self.p["wm"]), "bm": np.zeros_like(self.p["bm"])}
+            grad = {"wc": h.T @ q, "bc": one[: len(q)] @ q, "wm": np.zeros_like(self.p["wm"]), "bm": np.zeros_like(self.p["bm"])}
             dh, di = q @ self.p["wc"].T, np.empty_like(hs)
         for k in np.flatnonzero(np.diff(edge)):
             a, b = edge[k], edge[k + 1]
@@ -257,7 +272,7 @@ class Gated:
             if back:
                 f /= sums[:, None]
                 f[rows[: b - a], ms[a:b]] -= 1
-                grad["wm"][k], grad["bm"][k] = hs[a:b].T @ f, f.sum(0)
+                grad["wm"][k], grad["bm"][k] = hs[a:b].T @ f, one[: b - a] @ f
                 di[a:b] = f @ self.p["wm"][k].T
         out[order] += inner
         if not back:
@@ -271,14 +286,19 @@ class Gated:
         The state is cleared where x is the start; a y below 0 is no target.
         """
         steps, lanes = x.shape
-        goes_on = (x != OUTPUTS)[:, :, None].astype(h.dtype)
-        g = self.p["x"][x.ravel()].reshape(steps, lanes, 2 * HIDDEN)
+        cleared = x == OUTPUTS
+        goes_on, some = (~cleared)[:, :, None].astype(h.dtype), cleared.any(1)
+        g = self.p["x"].take(x.ravel(), 0).reshape(steps, lanes, 2 * HIDDEN)
         befores, afters = np.empty((2, steps, lanes, HIDDEN), h.dtype)
-        u, ut = self.p["u"], np.ascontiguousarray(self.p["u"].T)
+        u, ut, both = self.p["u"], np.ascontiguousarray(self.p["u"].T), np.empty((lanes, 2 * HIDDEN), h.dtype)
         for t in range(steps):
-            before = np.multiply(h, goes_on[t], out=befores[t])
+            before = befores[t]
+            if some[t]:
+                np.multiply(h, goes_on[t], out=before)
+            else:
+                before[:] = h
             now = g[t]
-            now += before @ u
+            now += np.matmul(before, u, out=both)
             np.tanh(now, out=now)
             h = afters[t]
             # ((1 + gate) before + (1 - gate) new) / 2
@@ -293,18 +313,28 @@ class Gated:
         dh = np.zeros((steps * lanes, HIDDEN), h.dtype)
         dh[real] = part
         dh = dh.reshape(steps, lanes, HIDDEN)
-        gate, new = g[:, :, :HIDDEN], g[:, :, HIDDEN:]
-        keep = 0.5 * (1 + gate)
         d = np.empty((steps, lanes, 2, HIDDEN), h.dtype)
-        d[:, :, 0] = 0.5 * (befores - new) * (1 - gate * gate)
-        d[:, :, 1] = (1 - keep) * (1 - new * new)
         carry = np.zeros((lanes, HIDDEN), h.dtype)
+        keep, less, own = np.empty((3, lanes, HIDDEN), h.dtype)
         for t in range(steps - 1, -1, -1):
+            gate, new = g[t, :, :HIDDEN], g[t, :, HIDDEN:]
             carry += dh[t]
-            d[t] *= carry[:, None]
-            carry *= keep[t]
-            carry += d[t].reshape(lanes, -1) @ ut
-            carry *= goes_on[t]
+            np.add(gate, 1, out=keep)
+            keep *= 0.5
+            np.subtract(1, keep, out=less)
+            less *= carry
+            # of the new state: less (1 - new²); of the gate: 2 less keep (before - new)
+            np.multiply(less, new, out=own)
+            own *= new
+            np.subtract(less, own, out=d[t, :, 1])
+            np.subtract(befores[t], new, out=own)
+            own *= keep
+            own *= less
+            np.multiply(own, 2, out=d[t, :, 0])
+            carry *= keep
+            carry += np.matmul(d[t].reshape(lanes, -1), ut, out=own)
+            if some[t]:
+                carry *= goes_on[t]
         flat = d.reshape(-1, 2 * HIDDEN)
         grad["u"] = befores.reshape(-1, HIDDEN).T @ flat
         ids = x.ravel()
@@ -312,7 +342,7 @@ class Gated:
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         scale = 1 / len(real)
         grad = {k: v * np.float32(scale) for k, v in grad.items()}
-        grad["x"] = ids[order[first]], np.add.reduceat(flat[order], first, axis=0) * np.float32(scale)
+        grad["x"] = ids[order[first]], run_sums(flat[order], first) * np.float32(scale)
         return h, grad, log
 
     def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:

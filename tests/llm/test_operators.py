@@ -796,6 +796,18 @@ def test_proximity_finds_long_items_in_any_block(spark, tmp_path):
 # --- 10
 
 
+def test_lm_sums_runs_of_any_length():
+    """Rows of equal tokens add up to one, whether their runs are short or long, and large parameters don't overflow."""
+    rng = np.random.default_rng(4)
+    ids = np.sort(np.concatenate((np.arange(40), rng.integers(0, 12, 300), np.full(9, 20), np.full(7, 30))))
+    rows, first = rng.normal(size=(len(ids), 6)), np.flatnonzero(np.diff(ids, prepend=-1))
+    assert lm_scoring.run_sums(rows, first) == pytest.approx(np.add.reduceat(rows, first, axis=0))
+    assert lm_scoring.run_sums(rows[:0], first[:0]).shape == (0, 6)
+    model = lm_scoring.Gated(seed=1)
+    model.p["bc"][0], model.p["bm"][0, 0] = 500, 500
+    assert np.isfinite(model.output(np.zeros((2, lm_scoring.HIDDEN), np.float32), np.array([0, 1]))).all()
+
+
 def test_lm_base_scores_are_counts(spark, corpus):
     got = lm_scoring.score(frame(spark, corpus), block_bytes=6000).collect()
     out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
