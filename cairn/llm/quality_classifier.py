@@ -10,7 +10,7 @@ discounted probability and each context's weight of the lower order; discounts c
 order, half and language.
 
 Scoring. Where the fitted tables have at most MOST_MODEL bytes, each task looks n-grams up in them, in hash tables of
-arrays. Beyond that, blocks of BLOCK bytes of text ask shards of the n-grams, each distinct n-gram once, and get the part of
+arrays. Beyond that, the model is written by order and shard, and blocks of BLOCK bytes of text ask its shards, each distinct n-gram once, and get the part of
 the model that they hold: words and bigrams first, then those trigrams whose bigrams are both known (no other can be).
 That goes in WAVES of documents, to take less disk at once. Every whole document gets its perplexity.
 
@@ -35,11 +35,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release, scratch, shards, slices, table, tidy, unused
+from .common import cut, dropped, placed, release, scratch, shards, slices, store, table, tidy, unused
 from .decontamination import terms_of
 from .hashing import A, B, mixed, words
 
@@ -160,9 +161,10 @@ class Model:
 
 @dataclass
 class Tables:
-    """A model as rows (kind, context, keys, values) by order, before anything is collected; entries is their number of n-grams and contexts."""
+    """A model as rows (kind, context, keys, values) by the order of the n-grams they are of, before anything is collected; entries is their number of n-grams and contexts, paths are where the n-grams lie."""
 
     orders: list[DataFrame] = field(default_factory=list)
+    paths: list[str] = field(default_factory=list)
     floors: dict[str | None, float] = field(default_factory=dict)
     entries: int = 0
     marks: Marks = field(default_factory=dict)
@@ -177,7 +179,7 @@ class Tables:
             got = rows.toArrow()
             for context, to in ((False, out.probabilities), (True, out.weights)):
                 t = got.filter(got["context"] if context else pa.compute.invert(got["context"]))
-                if not context or k + 1 < ORDER:
+                if not context or k:
                     to.append(tuple(np.concatenate([np.frombuffer(x.as_py(), d) for x in t[c]] or [np.zeros(0, d)]) for c, d in (("keys", np.uint64), ("values", np.float32))))
             del got, t
             release()
@@ -338,9 +340,11 @@ def summed(order: int):
 
 def fit(docs: DataFrame, labels: DataFrame, share: dict[str | None, float] | None) -> Tables:
     """The models of the picked trusted texts of docs (doc_id, text, lang); of all of them, where docs has other names of models than languages and share is None."""
-    spark, n = docs.sparkSession, shards(docs.sparkSession)
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang")
     texts = labelled(docs if share is None else docs.where(picked(share)), trusted(labels))
+    # few large rows of n-grams take less than many small ones, which repeat words
+    n = -(-2 * shards(spark) // max(1, texts.select("lang").distinct().count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str | None, list] = {}
@@ -368,7 +372,10 @@ def fit(docs: DataFrame, labels: DataFrame, share: dict[str | None, float] | Non
     # the highest order by occurrences, each lower one by the n-grams of the next that end in it
     rows, tables = texts.mapInArrow(count, GRAMS), []
     for k in range(ORDER, 0, -1):
-        tables.append(cut(rows.groupBy("lang", "shard").applyInArrow(summed(k), SUMS), "grams"))
+        at = placed(spark, "grams")
+        rows.groupBy("lang", "shard").applyInArrow(summed(k), SUMS).write.parquet(at)
+        tables.append(spark.read.schema(SUMS).parquet(at))
+        model.paths.insert(0, at)
         tidy(spark)
         rows = tables[-1].select("lang", "words", F.lit(k).alias("order")).mapInArrow(lower, GRAMS) if k > 1 else None
     tables.reverse()
@@ -385,9 +392,6 @@ def fit(docs: DataFrame, labels: DataFrame, share: dict[str | None, float] | Non
             for x, r in by.items():
                 d = off[x][0] * r.once + off[x][1] * r.twice + off[x][2] * (r.types - r.once - r.twice)
                 model.floors[x] = d / r.total / (r.types + 1)
-    # weights of contexts lie with the order of the n-gram that the context is
-    p, g = [x.where("not context") for x in model.orders], [x.where("context") for x in model.orders[1:]]
-    model.orders = [x.unionByName(y) for x, y in zip(p, g, strict=False)] + p[-1:]
     return model
 
 
@@ -447,11 +451,17 @@ def perplexity(log10: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Ready:
-    """A fitted model, ready to score: a broadcast of at most MOST_MODEL bytes, or rows to ask."""
+    """A fitted model, ready to score: a broadcast of at most MOST_MODEL bytes, or files by order and shard, to ask. The model's tables aren't needed any more then."""
 
     def __init__(self, spark: SparkSession, model: Tables, most: int = MOST_MODEL) -> None:
         self.tables = None if model.fits(most) else model
         self.shared = spark.sparkContext.broadcast(model.collected() if self.tables is None else Model(floors=model.floors, marks=model.marks))
+        self.told, self.shards = None if self.tables is None else placed(spark, "told", outer=True), shards(spark)
+        for rows, done in [] if self.tables is None else zip(reversed(model.orders), reversed(model.paths), strict=True):
+            by = rows.mapInArrow(tell(self.shards), ASKS).groupBy("kind", "shard").applyInArrow(merged, TOLD)
+            by.write.mode("append").option("compression", "zstd").partitionBy("kind", "shard").parquet(self.told)
+            dropped(spark, done)
+            tidy(spark)
         release()
 
 
@@ -498,7 +508,7 @@ def questions(block: int | None, kind: int, context: bool | None, key: np.ndarra
     """Sorted keys by shard: a block's, or, with values, those of the model."""
     edge = np.searchsorted(shard_of(key, n), np.arange(n + 1))
     some = [(s, i, j) for s, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if j > i]
-    own = [[kind] * len(some), [s for s, _, _ in some], [context] * len(some), [block] * len(some), [planes(key[i:j]) for _, i, j in some], [None if value is None else value[i:j].tobytes() for _, i, j in some]]
+    own = [[kind] * len(some), [s for s, _, _ in some], [context] * len(some), [block] * len(some), [planes(key[i:j]) for _, i, j in some], [None if value is None else pa.compress(value[i:j].tobytes(), codec="zstd", asbytes=True) for _, i, j in some]]
     return pa.RecordBatch.from_arrays([pa.array(x, y.type) for x, y in zip(own, _ASKS, strict=True)], schema=_ASKS)
 
 
@@ -515,29 +525,58 @@ def part(answers: pa.Table, model: Model) -> Model:
     return Model([of(k, False) for k in range(ORDER)], [of(k, True) for k in range(ORDER - 1)], model.floors, model.marks)
 
 
-def answer(t: pa.Table) -> pa.Table:
-    """A grouped map of one shard: of each block's keys, those that the model has, with their values."""
-    rows, out = t.select(["context", "block", "kind"]).to_pylist(), []
-    key_of, value_of = (lambda i: unplaned(t["keys"][i].as_py())), (lambda i: np.frombuffer(t["values"][i].as_py(), np.float32))
-    asks = [(r, key_of(i)) for i, r in enumerate(rows) if r["context"] is None]
+TOLD = "kind int, shard int, keys binary, values binary, contexts binary, weights binary"
+
+
+def tell(n: int):
+    """A map of a model's rows to those of its shards."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind, context, key, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key, value = np.frombuffer(key, np.uint64), np.frombuffer(value, np.float32)
+                order = np.argsort(key)
+                yield questions(None, kind, context, key[order], value[order], n)
+
+    return f
+
+
+def merged(t: pa.Table) -> pa.Table:
+    """A grouped map: all of a shard's keys, sorted, with their values: of n-grams, and of contexts."""
+    out = []
     for context in (False, True):
-        own = [i for i, r in enumerate(rows) if r["context"] is context]
-        if not own:
-            continue
-        key, value = np.concatenate([key_of(i) for i in own]), np.concatenate([value_of(i) for i in own])
+        own = t.filter(t["context"] if context else pa.compute.invert(t["context"]))
+        key = np.concatenate([np.zeros(0, np.uint64), *(unplaned(x.as_py()) for x in own["keys"])])
+        value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(pa.decompress(x.as_py(), len(y.as_py()) // 2, "zstd", asbytes=True), np.float32) for x, y in zip(own["values"], own["keys"], strict=True))])
         order = np.argsort(key)
-        key, value = key[order], value[order]
-        for r, q in asks:
-            at = np.minimum(np.searchsorted(key, q), len(key) - 1)
-            found = key[at] == q
-            if found.any():
-                out.append((r["block"], r["kind"], context, planes(q[found]), value[at[found]].tobytes()))
-    return pa.table([pa.array([x[i] for x in out], y.type) for i, y in enumerate(_ANSWERS)], schema=_ANSWERS)
+        out += [planes(key[order]), value[order].tobytes()]
+    return pa.table([pa.array([x], y) for x, y in zip([t["kind"][0].as_py(), t["shard"][0].as_py(), *out], [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], ["kind", "shard", "keys", "values", "contexts", "weights"])
+
+
+def answer(told: str):
+    """A grouped map of one shard: of each block's keys, those that the model has, with their values."""
+
+    def f(t: pa.Table) -> pa.Table:
+        files, at = store(told)
+        at, out = f"{at}/kind={t['kind'][0].as_py()}/shard={t['shard'][0].as_py()}", []
+        known = pq.read_table(at, filesystem=files, partitioning=None).to_pylist() if files.get_file_info(at).type else []  # one row
+        for r in known:
+            for context, k, v in ((False, "keys", "values"), (True, "contexts", "weights")):
+                key, value = unplaned(r[k]), np.frombuffer(r[v], np.float32)
+                for block, kind, q in zip(t["block"].to_pylist(), t["kind"].to_pylist(), t["keys"], strict=True):
+                    q = unplaned(q.as_py())
+                    place = np.minimum(np.searchsorted(key, q), len(key) - 1)
+                    found = key[place] == q if len(key) else np.zeros(len(q), bool)
+                    if found.any():
+                        out.append((block, kind, context, planes(q[found]), value[place[found]].tobytes()))
+        return pa.table([pa.array([x[i] for x in out], y.type) for i, y in enumerate(_ANSWERS)], schema=_ANSWERS)
+
+    return f
 
 
 def asked(docs: DataFrame, ready: Ready, keep: list[str], new: list[str], fields: str) -> DataFrame:
     """scored(), for tables of any size: blocks of texts ask shards of the n-grams, each distinct one once."""
-    shared, spark, n = ready.shared, docs.sparkSession, shards(docs.sparkSession)
+    shared, spark, n, told = ready.shared, docs.sparkSession, ready.shards, ready.told
     docs = docs.select(*[c for c in docs.columns if c in keep or c in ("text", "lang")])
     text, lang, top = docs.columns.index("text"), docs.columns.index("lang"), ORDER - 1
 
@@ -582,30 +621,21 @@ def asked(docs: DataFrame, ready: Ready, keep: list[str], new: list[str], fields
             some.append(sorted_distinct(own[top][may]))
         return pa.Table.from_batches([questions(block["block"][0].as_py(), top, None, sorted_distinct(np.concatenate(some)), None, n)])
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for kind, context, key, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key, value = np.frombuffer(key, np.uint64), np.frombuffer(value, np.float32)
-                order = np.argsort(key)
-                yield questions(None, kind, context, key[order], value[order], n)
-
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         score, mark = Scorer(model := part(answers, shared.value)), Marker(model.marks)
         rows = batched(iter([opened(block["rows"][0].as_py())]), text, lang)
         return pa.Table.from_batches([with_scores(b.select(keep), new, *score(data, langs), mark(data, langs)) for b, data, langs in rows])
 
-    def answers(asks: DataFrame, orders: list[DataFrame]) -> DataFrame:
-        for rows in orders:
-            asks = asks.unionByName(rows.mapInArrow(tell, ASKS))
-        out = cut(asks.groupBy("kind", "shard").applyInArrow(answer, ANSWERS), "answers", "zstd")
+    def answers(asks: DataFrame) -> DataFrame:
+        out = cut(asks.groupBy("kind", "shard").applyInArrow(answer(told), ANSWERS), "answers", "zstd")
         tidy(spark)
         return out
 
     def wave(some: DataFrame) -> DataFrame:
         with scratch(spark):
             blocks = cut(some.mapInArrow(blocked, BLOCKS), "blocks", "zstd")
-            first = answers(blocks.mapInArrow(lower, ASKS), ready.tables.orders[:top])
-            second = answers(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(highest, ASKS), ready.tables.orders[top:])
+            first = answers(blocks.mapInArrow(lower, ASKS))
+            second = answers(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(highest, ASKS))
             out = cut(blocks.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(score, fields), "scored", "zstd", outer=True)
             tidy(spark)
             return out
@@ -650,7 +680,8 @@ def filtered(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mos
 
     Where the models are broadcast, texts are scored twice, for the limits and for the verdicts: only scores are written in between, no text.
     """
-    ready = Ready(docs.sparkSession, crossed(docs, labels), most_model)
+    with scratch(docs.sparkSession):  # n-grams go once the model is ready
+        ready = Ready(docs.sparkSession, crossed(docs, labels), most_model)
     own = unused("own", docs.columns)  # the language, while lang names a model
     named = docs.withColumn(own, F.col("lang")).withColumn("lang", told())
     back = [F.col(own).alias(c) if c == "lang" else F.col(c) for c in docs.columns]
@@ -677,7 +708,8 @@ def filtered(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mos
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity and verdict."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels")
-    ready = Ready(spark, crossed(docs, labels))
+    with scratch(spark):  # n-grams go once the model is ready
+        ready = Ready(spark, crossed(docs, labels))
     # texts needn't be written here: the scores are small
     got = cut(scored(docs.select("doc_id", F.col("lang").alias("own"), told().alias("lang"), "text"), ready, ["doc_id", "own", "lang"]), "scored")
     cols = {"_tokens": "n_tokens", "_log10_prob": "log10_prob", "_perplexity": "perplexity", "_threshold": "threshold", "_mark": "mark", "_mark_threshold": "mark_threshold", "_kept": "kept"}
