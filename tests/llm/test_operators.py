@@ -687,6 +687,16 @@ def test_op8_trains_on_all_trusted_texts(spark, tmp_path, monkeypatch):
     assert all(seen[0][i].kept == seen[1][i].kept and seen[0][i].lang == seen[1][i].lang for i in seen[0])
 
 
+def test_quality_filter_asks_large_models(spark):
+    """Models beyond the broadcast reject the same rows, whole, whatever columns they have."""
+    docs, labels = labelled()
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, own double")
+    lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    small, large = (quality_classifier.filtered(df, lb, most_model=m) for m in (quality_classifier.MOST_MODEL, 0))
+    assert large.columns == df.columns and 200 < small.count() < len(docs) and Counter(map(tuple, small.collect())) == Counter(map(tuple, large.collect()))
+    assert quality_classifier.filtered(df.limit(0), lb, most_model=-1).count() == 0
+
+
 def picked_ids(spark, docs, labels):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, key double")
     lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
