@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -697,6 +698,19 @@ def test_quality_filter_asks_large_models(spark):
     assert quality_classifier.filtered(df.limit(0), lb, most_model=-1).count() == 0
 
 
+def test_quality_model_is_small_on_disk(spark):
+    """Ready to score, a model beyond the broadcast takes at most 1.5 times the bytes of the texts that it was trained on (before, four times)."""
+    rng = random.Random(21)
+    docs = [(i, " ".join(f"w{min(rng.randrange(1, 3000), rng.randrange(1, 3000))}" for _ in range(1500)), "en") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lb = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    shared_bytes = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    before = shared_bytes()
+    ready = quality_classifier.Ready(spark, quality_classifier.crossed(df, lb), 0)
+    assert ready.tables is not None and shared_bytes() - before < 1.5 * sum(len(t) for _, t, _ in docs)
+
+
 def picked_ids(spark, docs, labels):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, key double")
     lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
