@@ -52,6 +52,21 @@ _STOPS[list(b".,;:!?|)\"'")] = True
 _KINDS = {"x": (OUTPUTS + 1, 2 * HIDDEN), "u": (HIDDEN, 2 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (CLASSES, HIDDEN, MEMBERS), "bm": (CLASSES, MEMBERS)}
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique() with where each is first and each one's place, of hashes: one sort of their high bits with their places in the low ones, where that tells them apart."""
+    bits = np.uint64(max(1, len(h).bit_length()))
+    at = np.sort((h >> bits << bits) | np.arange(len(h), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))
+    at = at.astype(np.int64)
+    by = h[at]
+    if (by[1:] < by[:-1]).any():  # different hashes with equal high bits
+        return np.unique(h, return_index=True, return_inverse=True)
+    new = np.ones(len(h), bool)
+    new[1:] = by[1:] != by[:-1]
+    which = np.empty(len(h), np.int64)
+    which[at] = np.cumsum(new) - 1
+    return by[new], at[new], which
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, shape, row) of the tokens of lower-cased texts, an end after each."""
     parts, row0, at = [], 0, 0
@@ -97,7 +112,7 @@ def blocks(n: int, block_bytes: int):
 
     def done(block: int, ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
         h, shape, row = tokens([lower_bytes(x) for x in texts])
-        own, first, which = np.unique(h, return_index=True, return_inverse=True)
+        own, first, which = distinct(h)
         count = np.bincount(which, ~np.array(held, bool)[row], len(own)).astype(np.int64)
         sizes, shape = np.bincount(row, minlength=len(ids)).astype(np.int32), shape[first]
         yield pa.RecordBatch.from_pydict({"block": [block], "ids": [ids], "held": [held], "sizes": [sizes.tobytes()], "tokens": [which.astype(np.uint32).tobytes()], "shard": [None], "words": [own.tobytes()], "counts": [None], "shapes": [shape.tobytes()]}, _BLOCKS)
@@ -131,7 +146,7 @@ def answered(vocabulary: int):
     def f(t: pa.Table) -> pa.Table:
         asked_ = [np.frombuffer(x.as_py(), np.uint64) for x in t["words"]]
         every = np.concatenate(asked_)
-        own, first, which = np.unique(every, return_index=True, return_inverse=True)
+        own, first, which = distinct(every)
         total = np.bincount(which, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t["counts"]]), len(own)).astype(np.int64)
         shape = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t["shapes"]])[first]
         ends = np.cumsum([len(x) for x in asked_])
@@ -288,24 +303,27 @@ class Gated:
         steps, lanes = x.shape
         cleared = x == OUTPUTS
         goes_on, some = (~cleared)[:, :, None].astype(h.dtype), cleared.any(1)
-        g = self.p["x"].take(x.ravel(), 0).reshape(steps, lanes, 2 * HIDDEN)
+        # gates and new states apart: each lies in one piece
+        g = np.ascontiguousarray(self.p["x"].take(x.ravel(), 0).reshape(steps, lanes, 2, HIDDEN).transpose(2, 0, 1, 3))
         befores, afters = np.empty((2, steps, lanes, HIDDEN), h.dtype)
-        u, ut, both = self.p["u"], np.ascontiguousarray(self.p["u"].T), np.empty((lanes, 2 * HIDDEN), h.dtype)
+        ut, part = np.ascontiguousarray(self.p["u"].T), np.empty((lanes, HIDDEN), h.dtype)
+        us = [np.ascontiguousarray(self.p["u"][:, i : i + HIDDEN]) for i in (0, HIDDEN)]
         for t in range(steps):
             before = befores[t]
             if some[t]:
                 np.multiply(h, goes_on[t], out=before)
             else:
                 before[:] = h
-            now = g[t]
-            now += np.matmul(before, u, out=both)
-            np.tanh(now, out=now)
+            gate, new = g[:, t]
+            for now, u in ((gate, us[0]), (new, us[1])):
+                now += np.matmul(before, u, out=part)
+                np.tanh(now, out=now)
             h = afters[t]
             # ((1 + gate) before + (1 - gate) new) / 2
-            np.subtract(before, now[:, HIDDEN:], out=h)
-            h *= now[:, :HIDDEN]
+            np.subtract(before, new, out=h)
+            h *= gate
             h += before
-            h += now[:, HIDDEN:]
+            h += new
             h *= 0.5
         targets, states = y.ravel(), afters.reshape(-1, HIDDEN)
         real = np.flatnonzero(targets >= 0)
@@ -317,7 +335,7 @@ class Gated:
         carry = np.zeros((lanes, HIDDEN), h.dtype)
         keep, less, own = np.empty((3, lanes, HIDDEN), h.dtype)
         for t in range(steps - 1, -1, -1):
-            gate, new = g[t, :, :HIDDEN], g[t, :, HIDDEN:]
+            gate, new = g[:, t]
             carry += dh[t]
             np.add(gate, 1, out=keep)
             keep *= 0.5
@@ -487,7 +505,7 @@ def likelihood(model: Gated, ids: np.ndarray, row: np.ndarray, rows: int) -> np.
     active = rows
     while t < longest:
         states, targets, whose, held = [], [], [], 0
-        while held < 2 * STEP:
+        while held < 4 * STEP:
             while active and size[active - 1] <= t:
                 active -= 1
             if not active:

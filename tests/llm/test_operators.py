@@ -935,6 +935,14 @@ def test_lm_state_is_carried():
         assert got[i] == pytest.approx(total, rel=1e-4)
 
 
+def test_lm_distinct_hashes():
+    """As np.unique(), also where hashes differ in low bits only."""
+    rng = np.random.default_rng(4)
+    for h in (np.zeros(0, np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64)[rng.integers(0, 50, 3000)], rng.integers(0, 9, 500, dtype=np.uint64), np.array([7, 6, 7, 1 << 63, 6], np.uint64)):
+        for got, want in zip(lm_scoring.distinct(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_op10_scores_are_the_trained_models(spark, corpus, tmp_path, monkeypatch):
     """The registered query's scores, recomputed one document and one token at a time from the parameters that it trained."""
     kept = {}
