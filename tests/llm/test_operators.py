@@ -711,6 +711,15 @@ def test_quality_model_is_small_on_disk(spark):
     assert ready.tables is not None and shared_bytes() - before < 1.5 * sum(len(t) for _, t, _ in docs)
 
 
+def test_quality_filter_leaves_no_model(spark):
+    """What a model wrote goes once all is scored: only scored rows stay."""
+    docs, labels = labelled()
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    rows = quality_classifier.filtered(spark.createDataFrame(docs, "doc_id long, text string, lang string, key double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most_model=0)
+    assert {p.name.split("-")[0] for p in shared.iterdir() if p.name not in before} <= {"scored", "labelled"} and rows.count() > 200
+
+
 def picked_ids(spark, docs, labels):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, key double")
     lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
